@@ -10,16 +10,22 @@ and their distance; groups with few documents use their language's fences, then
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import table
 
 #: Relative error of the sketches.
 ALPHA = 0.01
 GAMMA = (1 + ALPHA) / (1 - ALPHA)
+GAMMA_LN = math.log(GAMMA)
+#: Bucket of values that are not above 0.
+ZERO = -100_000
 #: A group needs so many measured documents to have fences of its own.
 LEAST_GROUP = 100
 #: Fences lie so many quartile distances beyond the quartiles.
@@ -27,8 +33,8 @@ REACH = 3.0
 #: Metric: the least quartile distance, and whether low values are fenced too.
 METRICS = {
     "symbol_ratio": (0.03, False),
-    "repeat_ratio": (0.06, False),
-    "dup_line_ratio": (0.06, False),
+    "repeat_ratio": (0.1, False),
+    "dup_line_ratio": (0.1, False),
     "mean_word_chars": (0.6, True),
 }
 #: Fixed rules that hold everywhere.
@@ -36,7 +42,7 @@ MIN_WORDS, MOST_REPEATED_PERCENT = 50, 50
 
 BLANKS = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_lines long, n_repeat_words long"
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words")
 
 
 def measure_text(text: str | None) -> tuple[int, int, int, int, int, int]:
@@ -64,9 +70,9 @@ def measure_text(text: str | None) -> tuple[int, int, int, int, int, int]:
     return len(words), len(text) - blanks, symbols, len(lines) - len(set(lines)), len(lines), repeated
 
 
-@F.pandas_udf(MEASURES)
+@F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in MEASURES]))
 def measures(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([measure_text(x) for x in text], columns=[c.split()[0] for c in MEASURES.split(", ")])
+    return pd.DataFrame([measure_text(x) for x in text], columns=MEASURES)
 
 
 def ratios() -> dict[str, Column]:
@@ -104,13 +110,6 @@ def sketches(measured: DataFrame) -> DataFrame:
     ).agg(F.sum("n").alias("n"))
 
 
-import math  # noqa: E402
-
-GAMMA_LN = math.log(GAMMA)
-#: Bucket of values that are not above 0.
-ZERO = -100_000
-
-
 def fences(measured: DataFrame) -> DataFrame:
     """(q_level, q_lang, q_source, lows, highs): maps from metric to fence; groups with too few documents have no row, but for the corpus."""
     group = ["q_level", "q_lang", "q_source", "metric"]

@@ -1,11 +1,16 @@
 """The registered queries of this subpackage and their SQL."""
 
+from tidemark.llm.lines import OP8_SQL, op8_line_dedup
 from tidemark.llm.mixing import OP4_SQL, op4_mixing
+from tidemark.llm.quality import op6_quality_rules
 
 QUERIES = {
     "op4_mixing": op4_mixing,
+    "op6_quality_rules": op6_quality_rules,
+    "op8_line_dedup": op8_line_dedup,
 }
 
 SQL = {
     "op4_mixing": OP4_SQL,
+    "op8_line_dedup": OP8_SQL,
 }
