@@ -2,9 +2,11 @@
 
 from tidemark.llm.lines import OP8_SQL, op8_line_dedup
 from tidemark.llm.mixing import OP4_SQL, op4_mixing
+from tidemark.llm.packing import op2_packing
 from tidemark.llm.quality import op6_quality_rules
 
 QUERIES = {
+    "op2_packing": op2_packing,
     "op4_mixing": op4_mixing,
     "op6_quality_rules": op6_quality_rules,
     "op8_line_dedup": op8_line_dedup,
