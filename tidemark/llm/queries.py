@@ -2,6 +2,7 @@
 
 from tidemark.llm.lines import OP8_SQL, op8_line_dedup
 from tidemark.llm.mixing import OP4_SQL, op4_mixing
+from tidemark.llm.near import OP9_SQL, op9_near_dedup
 from tidemark.llm.packing import op2_packing
 from tidemark.llm.quality import op6_quality_rules
 
@@ -10,9 +11,11 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op6_quality_rules": op6_quality_rules,
     "op8_line_dedup": op8_line_dedup,
+    "op9_near_dedup": op9_near_dedup,
 }
 
 SQL = {
     "op4_mixing": OP4_SQL,
     "op8_line_dedup": OP8_SQL,
+    "op9_near_dedup": OP9_SQL,
 }
