@@ -1,5 +1,7 @@
 """The registered queries of this subpackage and their SQL."""
 
+from tidemark.llm.ctw import op1_lm_scoring
+from tidemark.llm.langid import op3_language_id
 from tidemark.llm.lines import OP8_SQL, op8_line_dedup
 from tidemark.llm.mixing import OP4_SQL, op4_mixing
 from tidemark.llm.near import OP9_SQL, op9_near_dedup
@@ -7,7 +9,9 @@ from tidemark.llm.packing import op2_packing
 from tidemark.llm.quality import op6_quality_rules
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_packing": op2_packing,
+    "op3_language_id": op3_language_id,
     "op4_mixing": op4_mixing,
     "op6_quality_rules": op6_quality_rules,
     "op8_line_dedup": op8_line_dedup,
