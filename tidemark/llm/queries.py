@@ -7,19 +7,24 @@ from tidemark.llm.mixing import OP4_SQL, op4_mixing
 from tidemark.llm.near import OP9_SQL, op9_near_dedup
 from tidemark.llm.packing import op2_packing
 from tidemark.llm.quality import op6_quality_rules
+from tidemark.llm.syncmers import op7_fingerprints
+from tidemark.llm.warc import OP5_SQL, op5_warc
 
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
     "op4_mixing": op4_mixing,
+    "op5_warc": op5_warc,
     "op6_quality_rules": op6_quality_rules,
+    "op7_fingerprints": op7_fingerprints,
     "op8_line_dedup": op8_line_dedup,
     "op9_near_dedup": op9_near_dedup,
 }
 
 SQL = {
     "op4_mixing": OP4_SQL,
+    "op5_warc": OP5_SQL,
     "op8_line_dedup": OP8_SQL,
     "op9_near_dedup": OP9_SQL,
 }
