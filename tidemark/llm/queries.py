@@ -1,6 +1,7 @@
 """The registered queries of this subpackage and their SQL."""
 
 from tidemark.llm.ctw import op1_lm_scoring
+from tidemark.llm.extract import op10_html_text
 from tidemark.llm.langid import op3_language_id
 from tidemark.llm.lines import OP8_SQL, op8_line_dedup
 from tidemark.llm.mixing import OP4_SQL, op4_mixing
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_fingerprints": op7_fingerprints,
     "op8_line_dedup": op8_line_dedup,
     "op9_near_dedup": op9_near_dedup,
+    "op10_html_text": op10_html_text,
 }
 
 SQL = {
