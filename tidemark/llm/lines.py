@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, table
+from tidemark.llm.common import table, written
 
 #: Lines of fewer words stay, however often they occur; lines of fewer than FUZZY_WORDS words go only if equal.
 LEAST_WORDS, FUZZY_WORDS = 5, 10
@@ -27,38 +27,32 @@ LEAST_WORDS, FUZZY_WORDS = 5, 10
 _LAST = (1 << 63) - 1
 
 
-def _hash(text: Column) -> Column:
-    return F.unhex(F.md5(text))
-
-
-def _line_rows(docs: DataFrame) -> DataFrame:
-    """(ld_doc, ld_text, ld_no, ld_line) of each line with enough words."""
-    rows = docs.select(
-        F.coalesce("doc_id", F.lit(_LAST)).alias("ld_doc"), F.xxhash64("text").alias("ld_text"), F.posexplode(F.split("text", "\n")).alias("ld_no", "ld_line")
-    )
-    return rows.where(F.regexp_count("ld_line", F.lit(WORD)) >= LEAST_WORDS)
+#: Words of an SQL string: other blanks become spaces, then a split at single spaces, which needs no regex.
+_WORDS = "filter(split(translate({0}, '\t\x0b\x0c\r', '    '), ' '), w -> w <> '')"
+#: Bits of the filter that says which documents hold suspect lines.
+_BITS = 1 << 23
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
-    """(lid, place, line): each distinct line, with where it stands first."""
+    """(lid, place, keys): each distinct line, where it stands first, and the keys of its halves (null for short lines)."""
+    lines = F.expr(f"transform(split(text, '\n'), (x, i) -> struct(i as ld_no, x as line, {_WORDS.format('x')} as words))")
+    rows = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("ld_doc"), F.xxhash64("text").alias("ld_text"), F.explode(lines).alias("l"))
+    rows = rows.where(F.size("l.words") >= LEAST_WORDS)
+    keys = F.when(F.size("l.words") >= FUZZY_WORDS, _half_keys())
     return (
-        _line_rows(docs)
-        .groupBy(_hash(F.col("ld_line")).alias("lid"))
-        .agg(F.min(F.struct("ld_doc", "ld_text", "ld_no")).alias("place"), F.first("ld_line").alias("line"))
+        rows.select(F.unhex(F.md5("l.line")).alias("lid"), F.struct("ld_doc", "ld_text", "l.ld_no").alias("place"), keys.alias("keys"))
+        .groupBy("lid")
+        .agg(F.min("place").alias("place"), F.first("keys").alias("keys"))
     )
 
 
-def _words(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(f"({WORD})"), F.lit(1))
-
-
 def _half_keys() -> Column:
-    """Keys of the first and last halves of ``words``."""
-    n = F.size("words")
+    """Keys of the first and last halves of the words."""
+    words, n = F.col("l.words"), F.size("l.words")
     keys = []
     for k in (F.floor(n / 2).cast("int"), F.floor((n + 1) / 2).cast("int")):
-        keys.append(F.xxhash64(F.lit("head"), F.array_join(F.slice("words", F.lit(1), k), " ")))
-        keys.append(F.xxhash64(F.lit("tail"), F.array_join(F.slice("words", n - k + 1, k), " ")))
+        keys.append(F.xxhash64(F.lit("head"), F.slice(words, F.lit(1), k)))
+        keys.append(F.xxhash64(F.lit("tail"), F.slice(words, n - k + 1, k)))
     return F.array_distinct(F.array(*keys))
 
 
@@ -72,27 +66,55 @@ def one_word_apart(a: str, b: str) -> Column:
     )
 
 
-def near_repeats(lines: DataFrame) -> DataFrame:
-    """(lid): the lines to which an earlier line is alike."""
-    long = lines.select("lid", "place", _words(F.col("line")).alias("words")).where(F.size("words") >= FUZZY_WORDS)
-    keys = long.select("lid", F.explode(_half_keys()).alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    suspects = keys.join(shared, "key", "left_semi").select("lid").distinct()
-    fuzzy = long.join(suspects, "lid", "left_semi")
-    variants = fuzzy.select("lid", "place", F.explode(F.expr("sequence(0, size(words))")).alias("p"), "words").select(
-        F.when(F.col("p") == 0, _hash(F.array_join("words", " ")))
-        .otherwise(_hash(F.array_join(F.expr("concat(slice(words, 1, p - 1), slice(words, p + 1, size(words)))"), " ")))
-        .alias("variant"),
-        "p", "lid", "place",
+def suspects(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(lid, place, words): the lines that share a half with another line."""
+    keyed = lines.where("keys is not null").select(F.xxhash64("lid").alias("line"), F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    some = keyed.join(shared, "key", "left_semi").select("line").distinct()
+    wanted = written(
+        lines.select("lid", "place", F.xxhash64("lid").alias("line")).join(some, "line", "left_semi")
+        .groupBy(F.col("place.ld_doc").alias("ld_of"), F.col("place.ld_text").alias("ld_of_text"))
+        .agg(F.collect_list(F.struct("place.ld_no", "lid")).alias("ld_wanted")),
+        "wanted-lines",
+    )
+    bit = lambda c: F.pmod(F.col(c), F.lit(_BITS))
+    mask = lambda c: F.expr(f"shiftleft(1L, cast(pmod({c}, 64) as int))")
+    # At most _BITS / 64 rows, however many documents: a filter before the shuffle that may let others pass.
+    bits = wanted.groupBy(F.floor(bit("ld_of_text") / 64).alias("ld_word")).agg(F.bit_or(mask("ld_of_text")).alias("ld_mask"))
+    texts = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("ld_doc"), F.xxhash64("text").alias("ld_text"), "text")
+    texts = texts.withColumn("ld_word", F.floor(bit("ld_text") / 64)).join(F.broadcast(bits), "ld_word").where(F.col("ld_mask").bitwiseAND(mask("ld_text")) != 0)
+    same = (F.col("ld_doc") == F.col("ld_of")) & (F.col("ld_text") == F.col("ld_of_text"))
+    found = F.expr(
+        f"""element_at(transform(array(split(text, '\n')), l -> transform(ld_wanted, w ->
+            struct(w.lid, w.ld_no, {_WORDS.format("element_at(l, w.ld_no + 1)")} as words))), 1)"""
     )
-    by_p = variants.groupBy("variant", "p").agg(F.min(F.struct("place", "lid")).alias("first"), F.count(F.lit(1)).alias("n"))
+    rows = texts.join(wanted, same).select("ld_doc", "ld_text", F.explode(found).alias("w"))
+    return rows.select(F.col("w.lid"), F.struct("ld_doc", "ld_text", "w.ld_no").alias("place"), "w.words").dropDuplicates(["lid"])
+
+
+#: (p, variant) for p = 0 (the whole line) to the number of words. A line's hash is the exclusive or of the hashes of (word,
+#: number); without word p it is that of the words before p and of the words after p with numbers less by 1.
+_VARIANTS = """
+    element_at(transform(array(aggregate(sequence(1, size(words)), struct(0L as a, 0L as b, array(struct(0L as a, 0L as b)) as upto),
+        (s, i) -> struct(s.a ^ xxhash64(element_at(words, i), i) as a, s.b ^ xxhash64(element_at(words, i), i - 1) as b,
+            concat(s.upto, array(struct(s.a ^ xxhash64(element_at(words, i), i) as a, s.b ^ xxhash64(element_at(words, i), i - 1) as b))) as upto))),
+        s -> transform(sequence(0, size(words)), p -> struct(p, if(p = 0, s.a, element_at(s.upto, p).a ^ s.b ^ element_at(s.upto, p + 1).b) as variant))), 1)
+"""
+
+
+def near_repeats(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(lid): the lines to which an earlier line is alike."""
+    fuzzy = written(suspects(docs, lines), "suspect-lines")
+    variants = fuzzy.select("place", F.explode(F.expr(_VARIANTS)).alias("v")).select("v.variant", "v.p", "place")
+    by_p = variants.groupBy("variant", "p").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
     same = W.partitionBy("variant")
     whole = F.min(F.when(F.col("p") == 0, F.col("first"))).over(same)
     earliest = F.when(F.col("p") == 0, F.min("first").over(same)).otherwise(F.least(F.col("first"), whole))
     firsts = by_p.withColumn("earliest", earliest).where((F.col("n") > 1) | (F.col("earliest") < F.col("first"))).select("variant", "p", "earliest")
-    pairs = variants.join(firsts, ["variant", "p"]).where(F.col("place") > F.col("earliest.place")).select("lid", F.col("earliest.lid").alias("other")).distinct()
-    a, b = fuzzy.select("lid", F.col("words").alias("a")), fuzzy.select(F.col("lid").alias("other"), F.col("words").alias("b"))
-    return pairs.join(a, "lid").join(b, "other").where(one_word_apart("a", "b")).select("lid").distinct()
+    pairs = variants.join(firsts, ["variant", "p"]).where(F.col("place") > F.col("earliest")).select("place", "earliest").distinct()
+    a = fuzzy.select("lid", "place", F.col("words").alias("a"))
+    b = fuzzy.select(F.col("place").alias("earliest"), F.col("words").alias("b"))
+    return pairs.join(a, "place").join(b, "earliest").where(one_word_apart("a", "b")).select("lid").distinct()
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -105,8 +127,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     table gives an empty result. Columns whose names begin with ``ld_`` are replaced.
     """
     docs = docs.select([c for c in docs.columns if not c.startswith("ld_")])
-    lines = distinct_lines(docs)
-    kept = lines.join(near_repeats(lines), "lid", "left_anti").groupBy(
+    lines = written(distinct_lines(docs), "lines")
+    kept = lines.select("lid", "place").join(near_repeats(docs, lines), "lid", "left_anti").groupBy(
         F.col("place.ld_doc").alias("ld_of"), F.col("place.ld_text").alias("ld_of_text")
     ).agg(F.collect_list("place.ld_no").alias("ld_kept"))
     keyed = docs.withColumns({"ld_doc": F.coalesce("doc_id", F.lit(_LAST)), "ld_text": F.xxhash64("text")})
@@ -114,7 +136,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     # One pass over a document: its lines, the numbers of those that count, of those that stay; then the text.
     parts = F.expr(
         f"""element_at(transform(array(split(text, '\n')), l -> element_at(transform(array(
-            transform(l, x -> regexp_count(x, r'{WORD}'))), c -> element_at(transform(array(
+            transform(l, x -> size({_WORDS.format("x")}))), c -> element_at(transform(array(
             struct(filter(sequence(0, size(l) - 1), i -> element_at(c, i + 1) between 1 and {LEAST_WORDS - 1}) as short,
                    size(filter(c, x -> x > 0)) as n, size(filter(c, x -> x >= {LEAST_WORDS})) as n_long)), s ->
             struct(s.n as n, cast(s.n - s.n_long + coalesce(size(ld_kept), 0) as int) as n_kept,
