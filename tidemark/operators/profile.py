@@ -117,8 +117,9 @@ def correlation(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFr
 
 
 def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Each column as its rank, ties sharing their mean rank, of an aggregated table."""
-    return df.withColumns({c: F.rank().over(W.orderBy(c)) + (F.count(F.lit(1)).over(W.partitionBy(c)) - 1) / 2.0 for c in columns})
+    """Each column as its rank, ties sharing their mean rank and nulls without one, of an aggregated table."""
+    rank = lambda c: F.rank().over(W.orderBy(F.col(c).asc_nulls_last())) + (F.count(F.lit(1)).over(W.partitionBy(c)) - 1) / 2.0
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), rank(c)) for c in columns})
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str], method: str = "pearson") -> DataFrame:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-SQL: dict = {}
+from tidemark.plans import advanced, basic
+
+QUERIES: dict = {**basic.QUERIES, **advanced.QUERIES}
+SQL: dict = {**basic.SQL, **advanced.SQL}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Monthly total by region, gap-free, split 70/30 in time, seasonal-naive errors on the held-out months."""
+    return advanced.flagship(spark, sf_dir)
