@@ -324,7 +324,8 @@ def ctw_scores(docs: DataFrame, parts: int = 5, held: int = 1) -> DataFrame:
     blocks = max(LEAST_BLOCKS, -(-int(size) // BLOCK_BYTES))
     buckets = min(LEAST_BUCKETS * max(1, blocks // 500), MOST_BUCKETS)
     block = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int")
-    rows = docs.select("doc_id", "text", (fold("doc_id", parts) == held).alias("held_out"), block.alias("block"))
+    # Ids go through Python as text: beside nulls pandas would make them floating-point numbers.
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", (fold("doc_id", parts) == held).alias("held_out"), block.alias("block"))
     counts = written(
         rows.groupBy("block").applyInPandas(lambda x: _block_counts(x, buckets), "block int, bucket int, kind string, items binary, counts binary"), "ctw-counts"
     )
@@ -338,9 +339,9 @@ def ctw_scores(docs: DataFrame, parts: int = 5, held: int = 1) -> DataFrame:
     values = counts.groupBy("bucket").applyInPandas(lambda x: _bucket_values(x, top.value), "block int, bucket int, kind string, items binary, values binary")
     scored = rows.groupBy("block").cogroup(values.groupBy("block")).applyInPandas(
         lambda a, b: _block_scores(a, b, buckets, n_tokens, n_distinct, n_ends),
-        "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double",
+        "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double",
     )
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op1_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -86,7 +86,7 @@ def training_sample(docs: DataFrame, held: int = 0, parts: int = 5) -> DataFrame
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
     sizes = [(r["lang"], r["n"]) for r in sizes.collect()]
     if not sizes:
-        return rows.select("lang", F.lit(None).cast("binary").alias("bits")).limit(0)
+        return rows.select("lang", F.lit(0).alias("k"), F.lit(None).cast("binary").alias("bits")).limit(0)
     share = max(1, MOST_ROWS // len(sizes))
     # Twice the share by hash, then exactly the share.
     cuts = docs.sparkSession.createDataFrame([(k, min(1.0, 2.0 * share / n)) for k, n in sizes], "lang string, part double")
@@ -104,7 +104,7 @@ def identify(docs: DataFrame, held: int = 0, parts: int = 5) -> DataFrame:
     names begin with ``li_`` are replaced; all others pass through.
     """
     docs = docs.select([c for c in docs.columns if not c.startswith("li_")])
-    sample = training_sample(docs, held, parts).orderBy("lang", "k").collect() if "lang" in docs.columns else []
+    sample = training_sample(docs.select("doc_id", "text", "lang"), held, parts).orderBy("lang", "k").collect() if "lang" in docs.columns else []
     if not sample:
         return docs.withColumns({"li_lang": F.lit(UNKNOWN), "li_score": F.lit(0.0)})
     model = docs.sparkSession.sparkContext.broadcast(fit([bytes(r["bits"]) for r in sample], [r["lang"] for r in sample]))

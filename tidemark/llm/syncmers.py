@@ -139,7 +139,7 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 ))
             last = now
         out = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-        yield out.astype({"doc_id": "Int64"})
+        yield out
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -152,7 +152,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     if docs.isEmpty():
         return docs.sparkSession.createDataFrame([], schema)
-    return in_slices(docs).mapInPandas(_compare, schema)
+    # Ids go through Python as text: beside nulls pandas would make them floating-point numbers.
+    rows = in_slices(docs).withColumn("doc_id", F.col("doc_id").cast("string"))
+    found = rows.mapInPandas(_compare, schema.replace("doc_id long", "doc_id string"))
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op7_fingerprints(spark, sf_dir: str) -> DataFrame:

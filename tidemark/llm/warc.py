@@ -51,7 +51,7 @@ def _open(root: str):
     return fs.FileSystem.from_uri(root)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str = DATE) -> bytes:
+def record(page_id: int | str | None, url: str | None, payload: bytes, digest: str, refers_to: int | str | None, date: str = DATE) -> bytes:
     """One WARC record: a response with its payload, or a revisit of ``refers_to`` without."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
@@ -96,7 +96,10 @@ def write_archives(pages: DataFrame, root: str) -> DataFrame:
     firsts = ids.groupBy("w_digest").agg(F.min("w_id").alias("w_first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     revisits = ids.join(firsts, "w_digest").where("w_id <> w_first").distinct()
     same = (F.coalesce("page_id", F.lit(_LAST)) == F.col("w_id")) & (F.col("digest") == F.col("w_digest"))
-    rows = rows.join(revisits, same, "left").select("page_id", "url", "html", "digest", "key", F.col("w_first").alias("refers_to"))
+    # Ids go to Python as text: beside nulls pandas would make them floating-point numbers.
+    rows = rows.join(revisits, same, "left").select(
+        F.col("page_id").cast("string").alias("page_id"), "url", "html", "digest", "key", F.col("w_first").cast("string").alias("refers_to")
+    )
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, path = _open(root)
@@ -104,12 +107,12 @@ def write_archives(pages: DataFrame, root: str) -> DataFrame:
         try:
             for frame in batches:
                 places = []
-                for page_id, url, text, digest, key, first in frame.astype(object).where(frame.notna(), None).itertuples(index=False):
+                for page_id, url, text, digest, key, first in frame.itertuples(index=False):
                     if out is None:
                         out = system.open_output_stream(f"{path}/{name}", compression=None)
                     data = _gzip(record(page_id, url, text.encode("utf-8"), digest, first))
                     out.write(data)
-                    places.append((key, page_id, url, "response" if first is None else "revisit", name, at, len(data)))
+                    places.append((key, None if page_id is None else int(page_id), url, "response" if first is None else "revisit", name, at, len(data)))
                     at += len(data)
                 yield pd.DataFrame(places, columns=[c.split()[0] for c in MANIFEST.split(", ")]).astype({"page_id": "Int64"})
         finally:
