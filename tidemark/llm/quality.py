@@ -165,3 +165,52 @@ def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
         "doc_id", *[F.col(f"q_m.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"),
     )
+
+
+_VALUE = "CASE WHEN bucket = {zero} THEN 0.0 ELSE 2.0 * pow({g!r}, bucket) / ({g!r} + 1) END".format(zero=ZERO, g=GAMMA)
+_SLACK = "CASE metric " + " ".join(f"WHEN '{k}' THEN {v[0]}" for k, v in METRICS.items()) + " END"
+_PARTED = "(PARTITION BY level, lang, source, metric"
+
+OP6_SQL = rf"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), dup AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1
+), tri AS (
+  SELECT doc_id, i, w[i:i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t)
+), rep AS (
+  SELECT doc_id, i FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1
+), cov AS (
+  SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM rep) GROUP BY 1
+), m AS (
+  SELECT t.doc_id, lang, source, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars, len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(n_dup, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(cov.n, 0) AS n_repeat_words
+  FROM t LEFT JOIN dup ON dup.doc_id = t.doc_id LEFT JOIN cov ON cov.doc_id = t.doc_id
+), r AS (
+  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words AS base_failed FROM m
+), x AS (
+  SELECT doc_id, lang, source, base_failed, 'symbol_ratio' AS metric, n_symbols / greatest(word_chars, 1) AS v FROM r
+  UNION ALL SELECT doc_id, lang, source, base_failed, 'repeat_ratio', n_repeat_words / greatest(n_words, 1) FROM r
+  UNION ALL SELECT doc_id, lang, source, base_failed, 'dup_line_ratio', n_dup_lines / greatest(n_lines, 1) FROM r
+  UNION ALL SELECT doc_id, lang, source, base_failed, 'mean_word_chars', word_chars / greatest(n_words, 1) FROM r
+), c AS (
+  SELECT level, CASE WHEN level < 2 THEN lang ELSE '' END AS lang, CASE WHEN level < 1 THEN source ELSE '' END AS source, metric,
+    CASE WHEN v > 0 THEN ceil(ln(v) / {GAMMA_LN!r})::INT ELSE {ZERO} END AS bucket, count(*) AS n
+  FROM x, (VALUES (0), (1), (2)) l(level) WHERE NOT base_failed GROUP BY ALL
+), s AS (
+  SELECT *, sum(n) OVER {_PARTED} ORDER BY bucket) AS upto, sum(n) OVER {_PARTED}) AS total, {_VALUE} AS value FROM c
+), q AS (
+  SELECT level, lang, source, metric, min(value) FILTER (upto >= ceil(total * 0.25)) AS q1, min(value) FILTER (upto >= ceil(total * 0.75)) AS q3
+  FROM s WHERE total >= {LEAST_GROUP} OR level = 2 GROUP BY ALL
+), f AS (
+  SELECT level, lang, source, metric, CASE WHEN metric = 'mean_word_chars' THEN q1 - {REACH} * greatest(q3 - q1, {_SLACK}) ELSE -1 END AS low, q3 + {REACH} * greatest(q3 - q1, {_SLACK}) AS high FROM q
+), v AS (
+  SELECT x.doc_id, bool_and(coalesce(x.v >= coalesce(a.low, b.low, c.low) AND x.v <= coalesce(a.high, b.high, c.high), true)) AS fine FROM x
+  LEFT JOIN f a ON a.level = 0 AND a.lang = x.lang AND a.source = x.source AND a.metric = x.metric
+  LEFT JOIN f b ON b.level = 1 AND b.lang = x.lang AND b.metric = x.metric
+  LEFT JOIN f c ON c.level = 2 AND c.metric = x.metric GROUP BY 1
+)
+SELECT r.doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+  base_failed, NOT base_failed AND fine AS kept FROM r JOIN v ON v.doc_id = r.doc_id
+"""

@@ -7,7 +7,7 @@ from tidemark.llm.lines import OP8_SQL, op8_line_dedup
 from tidemark.llm.mixing import OP4_SQL, op4_mixing
 from tidemark.llm.near import OP9_SQL, op9_near_dedup
 from tidemark.llm.packing import op2_packing
-from tidemark.llm.quality import op6_quality_rules
+from tidemark.llm.quality import OP6_SQL, op6_quality_rules
 from tidemark.llm.syncmers import op7_fingerprints
 from tidemark.llm.warc import OP5_SQL, op5_warc
 
@@ -27,6 +27,7 @@ QUERIES = {
 SQL = {
     "op4_mixing": OP4_SQL,
     "op5_warc": OP5_SQL,
+    "op6_quality_rules": OP6_SQL,
     "op8_line_dedup": OP8_SQL,
     "op9_near_dedup": OP9_SQL,
 }
