@@ -15,7 +15,9 @@ a rank within these, so that no task holds a whole length.
 
 from __future__ import annotations
 
+import codecs
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -33,7 +35,7 @@ CAPACITY, END_ID = 2048, 0
 #: Pieces per split of a length, and the most splits.
 SPLIT_ROWS, MOST_SPLITS = 100_000, 256
 #: Words whose ids a task keeps, and the longest of them.
-CACHE_WORDS, CACHE_BYTES = 300_000, 64
+CACHE_WORDS, CACHE_BYTES = 400_000, 64
 
 PIECES = T.ArrayType(T.StructType([
     T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()),
@@ -46,39 +48,95 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: A line that is letters of Latin alphabets in lower case, with or without punctuation but apostrophes behind them, or else any line.
+_SIMPLE = re.compile(r"^(?:([a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff\u0100-\u017f]+)([!-&(-/:-@\[-`{-~]*)|(.*))$", re.M)
+
+
 class WordIds:
-    """Ids of texts by a tokenizer that drops white space, word by word.
+    """Ids of texts by a lower-casing BPE tokenizer that drops white space, word by word.
 
     It splits at white space before anything else, so the ids of a text are those of its
-    words; words come back often, and their ids are kept.
+    words; words come back often, and their ids are kept. A new word of Latin letters, with or without punctuation behind them, has one
+    or two parts that the tokenizer's own model encodes directly, many parts in one call: the id of a part's last
+    token, and no other, ends a word. Any other new word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.ends[i] = token.endswith("</w>")
+        # The model's character for each byte, as the tokenizer's byte-level step has it; blanks only part words.
+        visible = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        by_byte = {}
+        for c in range(0x80, 0x180):
+            for byte, shown in zip(chr(c).encode(), visible.pre_tokenize_str(chr(c))[0][0]):
+                by_byte[byte] = shown
+        self.shown = "".join(chr(b) if b < 0x80 else by_byte.get(b, "\ufffe") for b in range(256))
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        if not new:
+            return {}
+        found = _SIMPLE.findall(b"\n".join(new).decode().lower())
+        if len(found) != len(new):  # lower-casing made a line break, which no letter does
+            found = [("", "", "x")] * len(new)
+        parts = self.parts
+        wanted = {x[0] for x in found}
+        wanted.update([x[1] for x in found])
+        wanted.discard("")
+        if len(parts) > CACHE_WORDS:
+            parts = self.parts = {}
+        unknown = [x for x in wanted if x not in parts]
+        for i in range(0, len(unknown), 1000):
+            some = unknown[i : i + 1000]
+            text = codecs.charmap_decode(" ".join(some).encode(), "strict", self.shown)[0]
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            assert len(cuts) == len(some)
+            blob, start = ids.tobytes(), 0
+            for part, end in zip(some, cuts.tolist()):
+                parts[part] = blob[start:end]
+                start = end
+        parts[""] = b""
+        fresh = {w: parts[core] + parts[tail] for w, (core, tail, _) in zip(new, found) if core}
+        rest = [w for w, x in zip(new, found) if not x[0]]
+        for raw, x in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
+            fresh[raw] = np.array(x.ids, "<u4").tobytes()
+        return fresh
 
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        split = [(x or "").encode("utf-8", "replace").split() for x in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        for words in split:
-            known = self.known
-            new = [w for w in set(words) if w not in known]
-            if new:
-                ids = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-                fresh = {w: np.array(x.ids, "<u4").tobytes() for w, x in zip(new, ids)}
-                known.update((w, b) for w, b in fresh.items() if len(w) <= CACHE_BYTES)
-                yield b"".join([known[w] if w in known else fresh[w] for w in words])
-            else:
+        for i in range(0, len(texts), 128):
+            raws = [(x or "").encode("utf-8", "replace") for x in texts[i : i + 128]]
+            # The tokenizer lower-cases too, but for its special tokens, which are in lower case and begin with "<|".
+            split = [x.split() if b"<|" in x else x.lower().split() for x in raws]
+            if len(self.words) > CACHE_WORDS:
+                self.words = {}
+            fresh = self._learn([w for w in set().union(*split) if w not in self.words])
+            long = {w: fresh.pop(w) for w in [w for w in fresh if len(w) > CACHE_BYTES]}
+            self.words.update(fresh)
+            known = {**self.words, **long} if long else self.words
+            for words in split:
                 yield b"".join(map(known.__getitem__, words))
 
 
 _loaded: dict[str, WordIds] = {}
 
 
+def word_ids(path: str) -> WordIds:
+    """One for each Python process, which serves many tasks."""
+    if path not in _loaded:
+        _loaded[path] = WordIds(path)
+    return _loaded[path]
+
+
 def _pieces_of(ids: bytes, capacity: int, end_id: int) -> list[tuple[int, int, int, int]]:
     ids += end_id.to_bytes(4, "little")
     step = 4 * capacity
@@ -91,7 +149,7 @@ def cut(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_
 
     @F.pandas_udf(PIECES)
     def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = _loaded.setdefault(path, WordIds(path)) if path not in _loaded else _loaded[path]
+        words = word_ids(path)
         for texts in batches:
             yield pd.Series([_pieces_of(x, capacity, end_id) for x in words.batch(texts.tolist())], dtype=object)
 
