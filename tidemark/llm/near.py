@@ -7,9 +7,11 @@ its points whose weight is below the shingle's count. Weights are cut into dyadi
 runs until its time exceeds the signature's largest component. Two signatures then agree in a
 component with the probability of the weighted Jaccard similarity of the multisets.
 
-Signatures are cut into bands. Documents that share a band are compared, by multiset overlap
-of all their shingles, with pivots of that band instead of each other; documents that this
-leaves in different classes of one band are then compared in full, so no link is lost.
+Signatures are cut into bands. Documents that share a band are first compared, by multiset overlap
+of all their shingles, with one pivot of that band, which shares most bands with others. Where a cluster of documents, joined by shared
+bands, is then still in several classes, those outside of its largest class are compared with the whole cluster, in blocks of a
+bounded number of bytes: an inverted index of a block gives the overlaps of one text with all of the block's at once, and
+only links between classes leave it. So no link is lost, and no pairs are written out.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from tidemark.llm.hashing import chunks, mix, shingle_hashes
 WIDTH, SIMILARITY = 5, 0.8
 #: Bands of so many components: a pair at the threshold shares a band with probability 1 - (1 - 0.8 ** 5) ** 24 > 0.9999.
 BANDS, ROWS = 24, 5
-#: Rounds of comparison with a pivot for each band.
-PIVOT_ROUNDS = 3
+#: Bytes of text in a block of compared texts, and of those they are compared with.
+QUERY_BYTES, BLOCK_BYTES = 2 << 20, 8 << 20
 
 _LAST = (1 << 63) - 1
 _STEP = np.uint64(0xD1B54A32D192ED03)
@@ -115,21 +117,77 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=float)
 
 
+def block_links(rows: pd.DataFrame, similar: float) -> pd.DataFrame:
+    """(a, b): for every query of a block a document of each other class that it is linked to."""
+    members, queries = rows[~rows["query"]], rows[rows["query"]]
+    comp, rep = members["comp"].to_numpy(np.int64), members["rep"].to_numpy(np.int64)
+    bags = [_counted(x) for x in members["text"]]
+    size = np.array([b[1].sum() for b in bags], np.int64)
+    value = np.concatenate([np.zeros(0, np.uint64), *[b[0] for b in bags]])
+    count = np.concatenate([np.zeros(0, np.int64), *[b[1] for b in bags]])
+    owner = np.repeat(np.arange(len(bags)), [len(b[0]) for b in bags])
+    order = np.argsort(value, kind="stable")
+    value, count, owner = value[order], count[order], owner[order]
+    out = []
+    for one, own, text in zip(queries["rep"], queries["comp"], queries["text"]):
+        mine, n = _counted(text)
+        low, high = np.searchsorted(value, mine, "left"), np.searchsorted(value, mine, "right")
+        lengths = high - low
+        at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(low, lengths)
+        both = np.bincount(owner[at], np.minimum(np.repeat(n, lengths), count[at]), len(bags))
+        near = (both / np.maximum(size + n.sum() - both, 1) >= similar) & (comp != own)
+        _, first = np.unique(comp[near], return_index=True)
+        out += [(one, other) for other in rep[near][first]]
+    return pd.DataFrame(out, columns=["a", "b"]).astype(np.int64)
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(id, comp): the least id of the connected component of every id in ``links`` (a, b)."""
-    both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least("a", F.min("b")).alias("comp")), "labels")
+    """(id, comp): the least id of the connected component of every id in ``links`` (a, b).
+
+    Each round points every node at its least neighbour, follows the pointers twice, and contracts: links go on between the nodes
+    reached, so that stars are done in one round and the links left shrink with every round.
+    """
+    edges = written(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    labels = None
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
-        hooked = labels.join(near, "id").select("id", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        parent = labels.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
-        moved = hooked.join(parent, "comp", "left").select("id", F.least("comp", F.coalesce("up", "comp")).alias("comp"), "old")
-        moved = written(moved.withColumn("moved", F.col("comp") < F.col("old")), "labels")
-        labels = moved.select("id", "comp")
-        if moved.where("moved").isEmpty():
+        ends = edges.select(F.col("a").alias("id"), F.col("b").alias("near")).union(edges.select(F.col("b").alias("id"), F.col("a").alias("near")))
+        first = written(ends.groupBy("id").agg(F.min("near").alias("near")).select("id", F.least("id", "near").alias("up")), "pointers")
+        second = first.select(F.col("id").alias("up"), F.col("up").alias("root"))
+        roots = written(first.join(second, "up").select("id", "root"), "pointers")
+        if labels is None:
+            labels = roots.select("id", F.col("root").alias("comp"))
+        else:
+            moved = roots.select(F.col("id").alias("comp"), "root")
+            labels = written(labels.join(moved, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")), "labels")
+        to = edges.join(roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b")
+        edges = written(to.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
+        if edges.isEmpty():
             return labels
 
 
+def _links_within_clusters(buckets: DataFrame, labels: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """Links between the classes, given by ``labels``, of documents that shared bands connect."""
+    stars = buckets.join(buckets.groupBy("band").agg(F.min("rep").alias("a")), "band").select("a", F.col("rep").alias("b")).where("a <> b").distinct()
+    clusters = components(stars).select(F.col("id").alias("rep"), F.col("comp").alias("cluster"))
+    named = clusters.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "cluster", F.coalesce("comp", "rep").alias("comp"))
+    bytes_of = texts.select("rep", F.octet_length("text").cast("long").alias("bytes"))
+    sized = written(named.join(bytes_of, "rep"), "clusters")
+    classes = sized.groupBy("cluster", "comp").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    summed = classes.groupBy("cluster").agg(
+        F.max_by("comp", F.struct("n", -F.col("comp"))).alias("largest"), F.max(F.struct("n", -F.col("comp"), "bytes"))["bytes"].alias("largest_bytes"),
+        F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n_comps"),
+    ).where("n_comps > 1")
+    blocks = lambda b, size: F.ceil(b / F.lit(size)).cast("int")
+    plan = summed.select("cluster", "largest", blocks(F.col("bytes") - F.col("largest_bytes"), QUERY_BYTES).alias("n_q"), blocks(F.col("bytes"), BLOCK_BYTES).alias("n_m"))
+    rows = sized.join(plan, "cluster")
+    every = lambda n: F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1)
+    mine = lambda n: F.pmod(F.xxhash64("rep"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    asked = rows.where("comp <> largest").select("cluster", mine("n_q").alias("i"), F.explode(every("n_m")).alias("j"), "rep", "comp", F.lit(True).alias("query"))
+    held = rows.select("cluster", F.explode(every("n_q")).alias("i"), mine("n_m").alias("j"), "rep", "comp", F.lit(False).alias("query"))
+    both = asked.union(held).join(texts.select("rep", "text"), "rep")
+    return both.groupBy("cluster", "i", "j").applyInPandas(lambda x: block_links(x, similar), "a long, b long")
+
+
 def near_classes(docs: DataFrame, similar: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id) of every row of ``docs``: the least doc_id of its class.
 
@@ -149,31 +207,14 @@ def near_classes(docs: DataFrame, similar: float = SIMILARITY) -> DataFrame:
     texts = written(named.join(buckets.select("rep").distinct(), "rep").dropDuplicates(["rep"]), "candidate-texts")
     links = worded.select("md5", "id").join(reps.select("md5", "rep"), "md5").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        a, b = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
-        close = pairs.distinct().join(b, "b").join(a, "a").where(similarity("ta", "tb") >= similar)
-        return written(close.select("a", "b"), "verified")
-
-    found = None
-    for k in range(PIVOT_ROUNDS + 1):
-        groups = buckets.withColumn("comp", F.col("rep"))
-        if found is not None:
-            labels = components(found)
-            groups = buckets.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", F.coalesce("comp", "rep").alias("comp"))
-        open_bands = groups.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias("pivot")).where("c0 < c1")
-        if k < PIVOT_ROUNDS:
-            pivots = open_bands.select("band", "pivot")
-            pairs = groups.join(pivots, "band")
-            if found is not None:
-                own = groups.select("band", F.col("rep").alias("pivot"), F.col("comp").alias("pivot_comp"))
-                pairs = pairs.join(own, ["band", "pivot"]).where("comp <> pivot_comp")
-            pairs = pairs.where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
-        else:
-            left = groups.join(open_bands.select("band"), "band")
-            right = left.select("band", F.col("rep").alias("b"), F.col("comp").alias("other"))
-            pairs = left.withColumnRenamed("rep", "a").join(right, "band").where("a < b and comp <> other").select("a", "b")
-        new = verified(pairs)
-        found = new if found is None else found.union(new)
+    weight = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    weighed = buckets.join(weight, "band")
+    shares = weighed.groupBy("rep").agg(F.sum("n").alias("shares"))
+    pivots = weighed.join(shares, "rep").groupBy("band").agg(F.max_by("rep", F.struct("shares", -F.col("rep"))).alias("pivot"))
+    pairs = buckets.join(pivots, "band").where("rep <> pivot").select(F.col("rep").alias("b"), F.col("pivot").alias("a")).distinct()
+    a, b = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
+    close = written(pairs.join(b, "b").join(a, "a").where(similarity("ta", "tb") >= similar).select("a", "b"), "verified")
+    found = close.union(written(_links_within_clusters(buckets, components(close), texts, similar), "verified"))
     labels = components(found.union(links))
     return (
         signed.select("id").join(labels, "id", "left")
