@@ -435,6 +435,19 @@ def test_near_classes_equal_all_pairs(spark, docs, awkward, empty):
     assert kept == set(brute_classes(rows).values())
 
 
+def test_rows_without_or_with_one_doc_id_are_classed_by_text(spark):
+    a, b, c, d, e = (" ".join(words(80, 700 + i, 5000)) for i in range(5))
+    near_e = e + " more"
+    rows = [(1, a), (2, b), (None, a), (None, b), (None, c), (None, c + " more"), (7, d), (7, e), (8, near_e), (None, "\n"), (None, "\n"), (9, " "), (9, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    order = lambda x: (x[0] is None, x[0] or 0, x[1])
+    kept = sorted(((x["doc_id"], x["text"]) for x in near.dedup_near(df).collect()), key=order)
+    assert [k for k in kept if k[1] not in (c, c + " more")] == sorted([(1, a), (2, b), (7, d), (7, e), (9, " "), (None, "\n"), (None, "\n")], key=order)
+    assert sum(k[1] in (c, c + " more") for k in kept) == 1
+    classes = Counter((x["doc_id"], x["class_id"]) for x in near.near_classes(df).collect())
+    assert classes == Counter([(1, 1), (2, 2), (None, 1), (None, 2), (None, None), (None, None), (7, 7), (7, 7), (8, 7), (None, None), (None, None), (9, 9), (9, 9)])
+
+
 def test_signatures_estimate_the_weighted_similarity():
     a = ("a b c d e f g h i j " * 3 + " ".join(f"w{i}" for i in range(300))).encode()
     b = ("a b c d e f g h i j " * 2 + " ".join(f"w{i}" for i in range(270))).encode()

@@ -20,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import table, written
+from tidemark.llm.common import WORD, table, written
 from tidemark.llm.hashing import chunks, mix, shingle_hashes
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -33,7 +33,6 @@ BANDS, ROWS = 24, 5
 #: Bytes of text in a block of compared texts, and of those they are compared with.
 QUERY_BYTES, BLOCK_BYTES = 2 << 20, 8 << 20
 
-_LAST = (1 << 63) - 1
 _STEP = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -174,7 +173,7 @@ def _links_within_clusters(buckets: DataFrame, labels: DataFrame, texts: DataFra
     sized = written(named.join(bytes_of, "rep"), "clusters")
     classes = sized.groupBy("cluster", "comp").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
     summed = classes.groupBy("cluster").agg(
-        F.max_by("comp", F.struct("n", -F.col("comp"))).alias("largest"), F.max(F.struct("n", -F.col("comp"), "bytes"))["bytes"].alias("largest_bytes"),
+        F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.max(F.struct("n", "comp", "bytes"))["bytes"].alias("largest_bytes"),
         F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("n_comps"),
     ).where("n_comps > 1")
     blocks = lambda b, size: F.ceil(b / F.lit(size)).cast("int")
@@ -188,50 +187,75 @@ def _links_within_clusters(buckets: DataFrame, labels: DataFrame, texts: DataFra
     return both.groupBy("cluster", "i", "j").applyInPandas(lambda x: block_links(x, similar), "a long, b long")
 
 
-def near_classes(docs: DataFrame, similar: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id) of every row of ``docs``: the least doc_id of its class.
+def _node(text: str) -> Column:
+    """The node of a text, a hash of its md5: equal texts are one node, whatever their doc_ids."""
+    return F.xxhash64(F.unhex(F.md5(text)))
 
-    Documents are linked if their texts are equal or their shingle multisets overlap by
-    ``similar`` or more; classes are the connected components. Texts without words are in
-    classes of their own, even if equal. A null doc_id has a null class. Rows with one doc_id count as one document. An empty table gives
-    an empty result. Columns other than doc_id and text are not read.
-    """
-    ids = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.unhex(F.md5("text")).alias("md5"), text_bands(F.col("text")).alias("bands"))
+
+def _row_classes(docs: DataFrame, similar: float) -> DataFrame:
+    """(doc_id, node, class_id, best) of every row of ``docs``; node is null for texts without words, best is the (doc_id, node) that stays of a class."""
+    ids = docs.select("doc_id", _node("text").alias("node"), text_bands(F.col("text")).alias("bands"))
     signed = written(ids, "signatures")
     worded = signed.where(F.size("bands") > 0)
-    reps = worded.groupBy("md5").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
+    reps = written(worded.groupBy(F.col("node").alias("rep")).agg(F.min("doc_id").alias("of"), F.first("bands").alias("bands")), "representatives")
     member = reps.select("rep", F.explode("bands").alias("band"))
-    shared = member.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("first")).where("n > 1")
+    shared = member.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = written(member.join(shared.select("band"), "band").select("band", "rep").distinct(), "bands")
-    named = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("rep"), "text")
-    texts = written(named.join(buckets.select("rep").distinct(), "rep").dropDuplicates(["rep"]), "candidate-texts")
-    links = worded.select("md5", "id").join(reps.select("md5", "rep"), "md5").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    wanted = reps.select("rep", "of").join(buckets.select("rep").distinct(), "rep")
+    named = docs.select("doc_id", _node("text").alias("node"), "text")
+    found = named.join(wanted, (F.col("node") == F.col("rep")) & F.col("doc_id").eqNullSafe(F.col("of")))
+    texts = written(found.select("rep", "text").dropDuplicates(["rep"]), "candidate-texts")
 
     weight = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
     weighed = buckets.join(weight, "band")
     shares = weighed.groupBy("rep").agg(F.sum("n").alias("shares"))
-    pivots = weighed.join(shares, "rep").groupBy("band").agg(F.max_by("rep", F.struct("shares", -F.col("rep"))).alias("pivot"))
+    pivots = weighed.join(shares, "rep").groupBy("band").agg(F.max_by("rep", F.struct("shares", "rep")).alias("pivot"))
     pairs = buckets.join(pivots, "band").where("rep <> pivot").select(F.col("rep").alias("b"), F.col("pivot").alias("a")).distinct()
     a, b = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
     close = written(pairs.join(b, "b").join(a, "a").where(similarity("ta", "tb") >= similar).select("a", "b"), "verified")
-    found = close.union(written(_links_within_clusters(buckets, components(close), texts, similar), "verified"))
-    labels = components(found.union(links))
-    return (
-        signed.select("id").join(labels, "id", "left")
-        .select(F.nullif("id", F.lit(_LAST)).alias("doc_id"), F.nullif(F.coalesce("comp", "id"), F.lit(_LAST)).alias("class_id"))
-    )
+    links = close.union(written(_links_within_clusters(buckets, components(close), texts, similar), "verified"))
+    labels = components(links).withColumnRenamed("id", "rep")
+
+    first = F.struct(F.col("of").isNull().alias("last"), F.col("of").alias("doc_id"), F.col("rep").alias("node"))
+    classed = reps.select("rep", "of").join(labels, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"), first.alias("first"))
+    firsts = classed.groupBy("comp").agg(F.min("first").alias("best"))
+    best = classed.select("rep", "comp").join(firsts, "comp").select("rep", "best")
+    rows = signed.select("doc_id", F.when(F.size("bands") > 0, F.col("node")).alias("node")).join(best, F.col("node") == F.col("rep"), "left")
+    class_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id"))
+    return rows.select("doc_id", "node", class_id.alias("class_id"), "best")
+
+
+def _stays() -> Column:
+    """Whether a row of ``_row_classes`` is the one that stays of its class, or one of its repeats."""
+    return F.col("node").isNull() | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("node") == F.col("best.node")))
+
+
+def near_classes(docs: DataFrame, similar: float = SIMILARITY) -> DataFrame:
+    """(doc_id, class_id) of every row of ``docs``: the least doc_id of its class.
+
+    Texts are linked if they are equal or their shingle multisets overlap by
+    ``similar`` or more; classes are the connected components of texts. Texts without words are in
+    classes of their own, even if equal. doc_ids don't link: rows with a null or the same doc_id are classed by their texts. The class_id is null
+    only where all of a class have null doc_ids. An empty table gives an empty result. Columns other than doc_id and text are not read.
+    """
+    return _row_classes(docs, similar).select("doc_id", "class_id")
 
 
 def dedup_near(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each class, that of the least doc_id; rows without a doc_id stay."""
-    gone = near_classes(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    """``docs`` with one row of each class, that of the least doc_id (null last).
+
+    Of texts without words each doc_id keeps one row a text, and all rows without a doc_id stay.
+    """
+    gone = _row_classes(docs, SIMILARITY).where(~_stays()).select(F.col("doc_id").alias("nd_of"), F.col("node").alias("nd_text")).distinct()
+    keyed = docs.withColumn("nd_node", F.coalesce(_node("text"), F.lit(0)))
+    kept = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("nd_of")) & (F.col("nd_node") == F.col("nd_text")), "left_anti")
+    alone = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    return kept.where(~alone).dropDuplicates(["doc_id", "nd_node"]).union(kept.where(alone)).drop("nd_node")
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return near_classes(docs).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    return _row_classes(docs, SIMILARITY).select("doc_id", "class_id", _stays().alias("kept"))
 
 
 OP9_SQL = r"""
