@@ -311,6 +311,14 @@ def test_fingerprints(docs, awkward, empty):
     assert syncmers.fingerprints(awkward).count() == awkward.count() and syncmers.fingerprints(empty).count() == 0
 
 
+def test_only_empty_texts_have_no_anchor():
+    texts = [" ".join(words(20, 4000 + i))[:n] for i in range(20) for n in range(syncmers.K, 56)]
+    found = [syncmers.anchors(t) for t in texts]
+    assert all(len(at) and at.max() <= len(t) - syncmers.K for (at, _), t in zip(found, texts))
+    alike = [syncmers.likeness(found[i], found[i + 24]) for i in range(len(texts) - 24)]  # another text of the same length
+    assert max(alike) == 0 and len(syncmers.anchors("")[0]) == 0
+
+
 def test_anchors_are_closed_syncmers():
     text = " ".join(words(60, 8))
     at, _ = syncmers.anchors(text)

@@ -3,7 +3,8 @@
 A run of ``K`` code points is an anchor if the least hash among its runs of ``S`` code points is that of the first
 or the last of them. That depends on the run alone, so equal passages have equal anchors wherever they
 stand. A fingerprint is the anchors' positions and hashes in order; two fingerprints are as alike
-as the anchors that can be matched in the same order on both sides. Texts shorter than ``K`` have one anchor, the whole text.
+as the anchors that can be matched in the same order on both sides. Texts shorter than ``K`` have one anchor, the whole text. Texts with
+fewer than ``K - S`` runs may have no syncmer; theirs is the run of least hash. So only empty texts have no anchor.
 
 Every document is also compared with the next one in descending order of id. Documents are
 cut into slices by quantiles of the id; the first document of each slice also goes to the slice before it, so
@@ -34,7 +35,7 @@ _FIRST = -(1 << 63)
 
 
 def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, 32-bit hashes) of the closed syncmers of a text."""
+    """(positions, 32-bit hashes) of the closed syncmers of a text, or of its run of least hash if it has none."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     if len(points) < K:
         if not len(points):
@@ -53,9 +54,15 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
     if covered < width:
         least = np.minimum(least[: covered - width], least[width - covered :])
     at = np.flatnonzero((h[: len(least)] == least) | (h[width - 1 :] == least))
+    none = not len(at)
+    if none:
+        at = np.arange(len(least))
     out = np.zeros(len(at), np.uint64)
     for j in range(0, K, S):
         out = mix(out + h[np.minimum(at + j, len(h) - 1)])
+    if none:
+        first = np.argmin(out)
+        at, out = at[first : first + 1], out[first : first + 1]
     return at.astype(np.uint32), (out >> np.uint64(32)).astype(np.uint32)
 
 
