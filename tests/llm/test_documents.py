@@ -257,6 +257,17 @@ def test_mixing(docs, awkward, empty):
     assert mixing.mix_sources(awkward).count() == awkward.count() and mixing.mix_sources(empty).count() == 0
 
 
+def test_splits_leave_the_order_of_size_and_id(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(d, " ".join(words(r.choice((3, 4)), d)), r.choice("ab")) for d in r.sample(range(-(10**6), 10**6), 300)]
+    rows += [(None, " ".join(words(3, 9000 + i)), "a") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).cache()
+    taken = lambda: sorted(((x["doc_id"], x["text"], x["mix_copies"]) for x in mixing.mix_sources(df).collect()), key=str)
+    whole = taken()
+    monkeypatch.setattr(mixing, "SPLIT_ROWS", 40)
+    assert taken() == whole and len({x[2] for x in whole}) > 1
+
+
 # Quality
 
 

@@ -7,11 +7,13 @@ random offset a source, emits the document once for every integer boundary it cr
 Documents stand in order of size within their source, so the copies fall evenly over
 short and long ones and the words taken stay near the target. The prefix sum is the rank of
 the document times the copies a document; the rank is a bucket offset plus a rank within
-the bucket (source, size, split), so that no task sees a whole source.
+the bucket (source, size, split), so that no task sees a whole source. Splits are ranges of doc_id, so the rank is that of
+(size, doc_id) with any number of them.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,6 +24,19 @@ from tidemark.llm.common import n_words, table
 SPLIT_ROWS, MOST_SPLITS = 400_000, 256
 
 
+def in_splits(docs: DataFrame, splits: int) -> DataFrame:
+    """``docs`` with mix_tie, which orders rows without a doc_id, and mix_split, ranges of (doc_id, mix_tie), null ids last."""
+    tied = docs.withColumn("mix_tie", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
+    if splits == 1:
+        return tied.withColumn("mix_split", F.lit(0))
+    keyed = tied.withColumn("mix_key", F.col("doc_id").cast("double"))
+    bounds = sorted(set(keyed.approxQuantile("mix_key", [i / splits for i in range(1, splits)], 1 / (4 * splits))))
+    cut = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="mix_key", outputCol="mix_range", handleInvalid="keep")
+    of_tie = F.floor((F.col("mix_tie").cast("double") / F.lit(2.0**64) + 0.5) * F.lit(splits)).cast("int")
+    split = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1) + of_tie).otherwise(F.col("mix_range").cast("int"))
+    return cut.transform(keyed).withColumn("mix_split", split).drop("mix_key", "mix_range")
+
+
 def source_targets(sizes: DataFrame, share: float, weights: tuple[int, ...], cap: float) -> DataFrame:
     """``sizes`` has (mix_source, mix_source_size), a row a source; adds mix_target.
 
@@ -56,8 +71,7 @@ def mix_sources(
     """
     docs = docs.select([c for c in docs.columns if not c.startswith("mix_")])
     splits = max(1, min(MOST_SPLITS, docs.count() // SPLIT_ROWS))
-    split = F.pmod(F.xxhash64("doc_id"), F.lit(splits)) if splits > 1 else F.lit(0)
-    sized = docs.withColumns({"mix_size": n_words("text"), "mix_split": split.cast("int")})
+    sized = in_splits(docs, splits).withColumn("mix_size", n_words("text"))
     buckets = sized.groupBy(F.col("source").alias("mix_source"), "mix_size", "mix_split").agg(F.count(F.lit(1)).alias("mix_n"))
     sources = buckets.groupBy("mix_source").agg(F.sum(F.col("mix_size") * F.col("mix_n")).alias("mix_source_size"))
     targets = source_targets(sources, share, weights, cap)
@@ -68,7 +82,7 @@ def mix_sources(
         "mix_before", "mix_source_size", "mix_target",
     )
     same = F.expr("source <=> mix_source and mix_size = mix_bucket_size and mix_split = mix_bucket_split")
-    rank = F.col("mix_before") + F.row_number().over(W.partitionBy("source", "mix_size", "mix_split").orderBy("doc_id"))
+    rank = F.col("mix_before") + F.row_number().over(W.partitionBy("source", "mix_size", "mix_split").orderBy(F.col("doc_id").asc_nulls_last(), "mix_tie"))
     each = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     return (
@@ -79,7 +93,7 @@ def mix_sources(
             (F.floor(F.expr("mix_rank * mix_each + mix_offset")) - F.floor(F.expr("(mix_rank - 1) * mix_each + mix_offset"))).cast("long"),
         )
         .withColumn("mix_taken", F.col("mix_copies") * F.col("mix_size"))
-        .drop("mix_split", "mix_source", "mix_bucket_size", "mix_bucket_split", "mix_before", "mix_rank", "mix_each", "mix_offset")
+        .drop("mix_split", "mix_tie", "mix_source", "mix_bucket_size", "mix_bucket_split", "mix_before", "mix_rank", "mix_each", "mix_offset")
     )
 
 
