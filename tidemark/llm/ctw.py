@@ -8,16 +8,19 @@ are mixed half and half (Willems, Shtarkov and Tjalkens 1995). Given the trainin
 mixture of the estimates along its path, each weighed by the posterior of its node.
 
 Training counts the runs of DEPTH + 1 bytes of each block of documents, so that Spark moves
-distinct runs and not positions, packed by block and bucket. All runs with the same two nearest context
+distinct runs and not positions, packed by block and bucket. Counts of ``FAN`` blocks at a time are merged until so many groups
+of blocks are left at most; what meets in a task grows with the distinct runs of a bucket, not with the number of blocks. All runs with the same two nearest context
 bytes share a bucket, where the nodes of depth 2 and more are worked out; depths 0 and 1 have at most 256 * 255
-nodes, which the driver broadcasts. Every block then gets the code lengths of its own runs back, and scores its texts.
+nodes, which the driver broadcasts. Code lengths go back the same way, from groups of blocks to their members, and every block scores its texts.
 Words of a block are counted for the base score in the same way.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,8 +36,11 @@ BLOCK_BYTES, LEAST_BLOCKS = 16 << 20, 12
 #: Buckets of runs; more for many blocks.
 LEAST_BUCKETS, MOST_BUCKETS = 64, 16_384
 END = 255
-#: Entries of the table by which runs are numbered; beyond, they are sorted.
-TABLE_ENTRIES = 1 << 26
+#: Positions whose runs are sorted at once, which bounds a task's memory; groups of blocks whose counts meet in one task.
+PART, FAN = 1 << 21, 64
+#: Multiplier that scatters the two nearest context bytes over the buckets, and its inverse modulo 2 ** 16.
+_SCATTER = 40503
+_GATHER = pow(_SCATTER, -1, 1 << 16)
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -153,38 +159,73 @@ def top_levels(part: pd.DataFrame, depth: int = DEPTH) -> dict[int, Level]:
     return {1: one, 0: Level(np.zeros(len(at), np.int64), node[order][at], add(zeros), add(ones), sums)}
 
 
-def run_numbers(data: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct runs of a block, and for each byte from number ``depth`` on the number of the run that ends there.
-
-    Runs are numbered byte by byte, from the symbol backwards.
-    """
-    m = len(data) - depth
-    code, keys = data[depth:].astype(np.int64), np.arange(256, dtype=np.int64)
-    for j in range(depth + 1):
-        if j:
-            code = code * 256 + data[depth - j : depth - j + m]
-        if j == 0 or len(keys) * 256 <= TABLE_ENTRIES:
-            seen = np.zeros(len(keys) * (256 if j else 1), bool)
-            seen[code] = True
-            used = np.flatnonzero(seen)
-            number = np.zeros(len(seen), np.int32)
-            number[used] = np.arange(len(used), dtype=np.int32)
-            code = number[code].astype(np.int64)
-        else:
-            used, code = np.unique(code, return_inverse=True)
-        keys = keys[used >> 8] | (used & 255) << (8 * (depth + 1 - j)) if j else used
-    return keys, code
-
-
-def block_bytes(texts: list[str | None], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """All texts' bytes with end symbols, ``depth`` ends in front; where each text starts; the texts in lower case."""
-    raws = [(x or "").encode("utf-8", "replace").lower() for x in texts]
-    end = bytes([END])
-    # Every text is preceded by `depth` end symbols, the last of which is the end of the text before it.
-    gap = end * depth
-    data = np.frombuffer(gap + b"".join([x + end + gap for x in raws]), np.uint8)
-    starts = np.cumsum([0] + [len(x) + 1 + depth for x in raws])[:-1]
-    return data, starts, raws
+class Block:
+    """The bytes of some texts in lower case, each behind ``depth`` end symbols and followed by one."""
+
+    def __init__(self, texts: list[str | None], depth: int = DEPTH, part: int = PART):
+        self.depth, self.part = depth, part
+        self.raws = [(x or "").encode("utf-8", "replace").lower() for x in texts]
+        end = bytes([END])
+        self.data = np.frombuffer(b"".join([part for x in self.raws for part in (end * depth, x, end)]), np.uint8)
+        #: Where each text's end symbols begin.
+        self.bounds = np.cumsum([0] + [len(x) + 1 + depth for x in self.raws])
+
+    def parts(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(run, number of the text) of every scored position, at most ``part`` at a time. A run: context bytes, the nearest first, then the symbol."""
+        depth, data, bounds = self.depth, self.data, self.bounds
+        for low in range(depth, len(data), self.part):
+            high = min(low + self.part, len(data))
+            runs = data[low:high].astype(np.int64)
+            for j in range(1, depth + 1):
+                runs |= data[low - j : high - j].astype(np.int64) << 8 * (depth + 1 - j)
+            first, last = np.searchsorted(bounds, low, "right") - 1, np.searchsorted(bounds, high, "left")
+            text = np.repeat(np.arange(first, last), np.diff(np.clip(bounds[first : last + 1], low, high)))
+            scored = np.arange(low, high) - bounds[text] >= depth
+            yield runs[scored], text[scored]
+
+
+def scattered(runs: np.ndarray) -> np.ndarray:
+    """Runs with the two nearest context bytes scattered, so that buckets of equal numbers of byte pairs are ranges."""
+    return ((runs >> 32) * _SCATTER & 0xFFFF) << 32 | runs & 0xFFFFFFFF
+
+
+def gathered(runs: np.ndarray) -> np.ndarray:
+    return ((runs >> 32) * _GATHER & 0xFFFF) << 32 | runs & 0xFFFFFFFF
+
+
+def summed(runs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs in order, and the sums of their numbers."""
+    order = np.argsort(runs, kind="stable")
+    runs = runs[order]
+    at = _groups(runs)
+    return runs[at], np.add.reduceat(n[order], at) if len(at) else n
+
+
+def run_counts(block: Block, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct scattered runs of a block in order, and how often they stand in texts that aren't ``held`` out."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for runs, text in block.parts():
+        key = scattered(runs) << 1 | held[text]
+        key.sort()
+        run = key >> 1
+        at = _groups(run)
+        found.append((run[at], np.add.reduceat(~key & 1, at) if len(at) else at))
+    return found[1] if len(found) == 2 else summed(*(np.concatenate(x) for x in zip(*found)))
+
+
+def sums_by_text(block: Block, runs: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """For every text the sum of its runs' values; ``runs`` are scattered, distinct and in order."""
+    out = np.zeros(len(block.raws))
+    for own, text in block.parts():
+        own = scattered(own)
+        order = np.argsort(own)
+        own = own[order]
+        at = _groups(own)
+        place = np.searchsorted(runs, own[at])
+        each = np.empty(len(own), np.float32)
+        each[order] = np.repeat(value[place], np.diff(np.append(at, len(own))))
+        out += np.bincount(text, each, len(out))
+    return out
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -195,127 +236,148 @@ def _unpack(blob: bytes, kind) -> np.ndarray:
     return np.frombuffer(zlib.decompress(blob), kind)
 
 
-def _run_buckets(runs: np.ndarray, buckets: int) -> np.ndarray:
-    return (runs >> 8 * (DEPTH - 1)) * 40503 % 65537 % buckets
+def _pack_runs(runs: np.ndarray) -> bytes:
+    return _pack(np.diff(runs, prepend=0))
 
 
-def _scored_runs(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, buckets: int):
-    """The block's runs in order of bucket and run, their buckets, each position's run, and which runs belong to texts."""
-    keys, code = run_numbers(data)
-    edge = np.zeros(len(code) + 1, np.int32)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + lengths, -1)
-    wanted = np.bincount(code[np.cumsum(edge[:-1]) > 0], minlength=len(keys)) > 0
-    bucket = np.where(wanted, _run_buckets(keys, buckets), buckets)  # runs between texts come last
-    order = np.lexsort((keys, bucket))
-    place = np.empty(len(keys), np.int64)
-    place[order] = np.arange(len(keys))
-    return keys[order], bucket[order], place[code]
+def _unpack_runs(blob: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(blob, np.int64))
 
 
 def _block_counts(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """(block, bucket, kind, items, counts): distinct runs and words of a block with their counts in its training texts."""
-    data, starts, raws = block_bytes(frame["text"].tolist())
-    training = ~frame["held_out"].to_numpy(bool)
-    lengths = np.array([len(x) + 1 for x in raws])
-    runs, bucket, code = _scored_runs(data, starts, lengths, buckets)
-    edge = np.zeros(len(code) + 1, np.int32)
-    np.add.at(edge, starts[training], 1)
-    np.add.at(edge, (starts + lengths)[training], -1)
-    n = np.bincount(code[np.cumsum(edge[:-1]) > 0], minlength=len(runs)).astype(np.uint32)
+    block, held_out = Block(frame["text"].tolist()), frame["held_out"].to_numpy(bool)
+    runs, n = run_counts(block, held_out)
     words: Counter = Counter()
     other: set = set()
-    for raw, t in zip(raws, training):
-        (words.update if t else other.update)(raw.split())
+    for raw, held in zip(block.raws, held_out):
+        (other.update if held else words.update)(raw.split())
     for w in other:
         words.setdefault(w, 0)
-    held: list[list[bytes]] = [[] for _ in range(buckets)]
+    mine: list[list[bytes]] = [[] for _ in range(buckets)]
     for w in words:
-        held[zlib.crc32(w) % buckets].append(w)
-    out, at = [], np.searchsorted(bucket, np.arange(buckets + 1))
+        mine[zlib.crc32(w) % buckets].append(w)
+    out, at = [], np.searchsorted((runs >> 32) * buckets >> 16, np.arange(buckets + 1))
     for k in range(buckets):
         i, j = at[k], at[k + 1]
         if j > i:
-            out.append((k, "run", _pack(np.diff(runs[i:j], prepend=0)), _pack(n[i:j])))
-        if held[k]:
-            out.append((k, "word", zlib.compress(b"\n".join(held[k]), 1), _pack(np.array([words[w] for w in held[k]], np.uint32))))
+            out.append((k, "run", _pack_runs(runs[i:j]), _pack(n[i:j])))
+        if mine[k]:
+            out.append((k, "word", _pack_words(mine[k]), _pack(np.array([words[w] for w in mine[k]], np.int64))))
     out = pd.DataFrame(out, columns=["bucket", "kind", "items", "counts"])
     out.insert(0, "block", int(frame["block"].iloc[0]))
     return out
 
 
-def _runs_of(frame: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The runs of each row, and all distinct runs with their counts."""
-    each = [np.cumsum(_unpack(x, np.int64)) for x in frame["items"]]
-    if not each:
-        return each, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    runs, number = np.unique(np.concatenate(each), return_inverse=True)
-    n = np.bincount(number, np.concatenate([_unpack(x, np.uint32) for x in frame["counts"]]), len(runs))
-    return each, runs, n.astype(np.int64)
+def _pack_words(words: list[bytes]) -> bytes:
+    return zlib.compress(b"\n".join(words), 1)
+
+
+def _unpack_words(blob: bytes) -> list[bytes]:
+    return zlib.decompress(blob).split(b"\n")
+
+
+def _runs_of(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs of all rows with the sums of their counts."""
+    runs, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    own = frame[frame["kind"] == "run"]
+    # Eight rows at a time, so that no more than the sums and a few rows are unpacked at once.
+    for i in range(0, len(own), 8):
+        some = own.iloc[i : i + 8]
+        parts = [(runs, n), *((_unpack_runs(x), _unpack(c, np.int64)) for x, c in zip(some["items"], some["counts"]))]
+        runs, n = summed(*(np.concatenate(x) for x in zip(*parts)))
+    return runs, n
 
 
 def _words_of(frame: pd.DataFrame) -> Counter:
     words: Counter = Counter()
-    for items, counts in zip(frame["items"], frame["counts"]):
-        for w, n in zip(zlib.decompress(items).split(b"\n"), _unpack(counts, np.uint32).tolist()):
+    own = frame[frame["kind"] == "word"]
+    for items, counts in zip(own["items"], own["counts"]):
+        for w, n in zip(_unpack_words(items), _unpack(counts, np.int64).tolist()):
             words[w] += n
     return words
 
 
+def _merged(frame: pd.DataFrame, fan: int) -> pd.DataFrame:
+    """A bucket's counts over some blocks, as those of one."""
+    block, bucket, out = int(frame["block"].iloc[0]) // fan, int(frame["bucket"].iloc[0]), []
+    runs, n = _runs_of(frame)
+    if len(runs):
+        out.append((block, bucket, "run", _pack_runs(runs), _pack(n)))
+    if words := _words_of(frame):
+        out.append((block, bucket, "word", _pack_words(list(words)), _pack(np.array(list(words.values()), np.int64))))
+    return pd.DataFrame(out, columns=["block", "bucket", "kind", "items", "counts"])
+
+
 def _bucket_tops(frame: pd.DataFrame) -> pd.DataFrame:
     """Depth 1 nodes over a bucket's runs; under context -1 the number of training words and of distinct ones."""
-    _, runs, n = _runs_of(frame[frame["kind"] == "run"])
-    two = build_levels(runs, n, 2)[2]
+    runs, n = _runs_of(frame)
+    two = build_levels(gathered(runs), n, 2)[2]
     keys, sums = _parents(two, 8)
     parent = (two.key >> 16) << 8 | (two.key & 255)
     order = np.argsort(parent, kind="stable")
     at = _groups(parent[order])
     add = lambda x: np.add.reduceat(x[order], at).astype(np.int64) if len(at) else np.zeros(0, np.int64)
     nodes = pd.DataFrame({"context": keys >> 8, "node": keys & 255, "zeros": add(two.zeros), "ones": add(two.ones), "children": sums})
-    counts = [x for x in _words_of(frame[frame["kind"] == "word"]).values() if x]
+    counts = [x for x in _words_of(frame).values() if x]
     return pd.concat([nodes, pd.DataFrame({"context": [-1], "node": [-1], "zeros": [sum(counts)], "ones": [len(counts)], "children": [0.0]})])
 
 
-def _bucket_values(frame: pd.DataFrame, top: dict[int, Level]) -> pd.DataFrame:
-    """(block, bucket, kind, items, values): for every block's runs log10 of their probabilities, for its words their counts."""
-    own = frame[frame["kind"] == "run"]
-    each, runs, n = _runs_of(own)
-    value = code_log10(runs, build_levels(runs, n, 2) | top).astype(np.float32)
-    out = [(b, k, "run", None, _pack(value[np.searchsorted(runs, x)])) for b, k, x in zip(own["block"], own["bucket"], each)]
-    own = frame[frame["kind"] == "word"]
-    words = _words_of(own)
-    for b, k, items in zip(own["block"], own["bucket"], own["items"]):
-        out.append((b, k, "word", items, _pack(np.array([words[w] for w in zlib.decompress(items).split(b"\n")], np.int64))))
+VALUES = "block int, bucket int, kind string, items binary, values binary"
+
+
+def _for_members(frame: pd.DataFrame, runs: np.ndarray, value: np.ndarray, words: dict[bytes, int]) -> pd.DataFrame:
+    """(block, bucket, kind, items, values): the values of each row's runs, the counts of its words."""
+    out = []
+    for block, bucket, kind, items in zip(frame["block"], frame["bucket"], frame["kind"], frame["items"]):
+        if kind == "run":
+            out.append((block, bucket, kind, items, _pack(value[np.searchsorted(runs, _unpack_runs(items))])))
+        else:
+            out.append((block, bucket, kind, items, _pack(np.array([words[w] for w in _unpack_words(items)], np.int64))))
     return pd.DataFrame(out, columns=["block", "bucket", "kind", "items", "values"])
 
 
-def _block_scores(frame: pd.DataFrame, known: pd.DataFrame, buckets: int, n_tokens: int, n_distinct: int, n_ends: int) -> pd.DataFrame:
-    data, starts, raws = block_bytes(frame["text"].tolist())
-    lengths = np.array([len(x) + 1 for x in raws])
-    runs, bucket, code = _scored_runs(data, starts, lengths, buckets)
-    value = np.zeros(len(runs))
+def _bucket_values(frame: pd.DataFrame, top: dict[int, Level]) -> pd.DataFrame:
+    """For every row's runs log10 of their probabilities, for its words their counts."""
+    runs, n = _runs_of(frame)
+    plain, levels = gathered(runs), build_levels(gathered(runs), n, 2) | top
+    value = np.concatenate([np.zeros(0, np.float32), *(code_log10(plain[i : i + PART], levels).astype(np.float32) for i in range(0, len(plain), PART))])
+    return _for_members(frame, runs, value, _words_of(frame))
+
+
+def _passed_down(members: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    """The values of a group of blocks, for each of them."""
+    runs, value, words = np.zeros(0, np.int64), np.zeros(0, np.float32), {}
+    for kind, items, values in zip(known["kind"], known["items"], known["values"]):
+        if kind == "run":
+            runs, value = _unpack_runs(items), _unpack(values, np.float32)
+        else:
+            words = dict(zip(_unpack_words(items), _unpack(values, np.int64).tolist()))
+    return _for_members(members, runs, value, words)
+
+
+def _block_scores(frame: pd.DataFrame, known: pd.DataFrame, n_tokens: int, n_distinct: int, n_ends: int) -> pd.DataFrame:
+    block = Block(frame["text"].tolist())
     got = known[known["kind"] == "run"].sort_values("bucket")
-    own = np.concatenate([_unpack(x, np.float32) for x in got["values"]])
-    assert len(own) == int((bucket < buckets).sum()), "the block's runs have changed"
-    value[: len(own)] = own
-    sums = np.add.reduceat(value[code], np.column_stack([starts, starts + lengths]).ravel())[::2]
+    runs, value = (np.concatenate([np.zeros(0, kind), *map(unpack, got[c])]) for c, kind, unpack in (("items", np.int64, _unpack_runs), ("values", np.float32, lambda x: _unpack(x, np.float32))))
+    sums = sums_by_text(block, runs, value)
     got = known[known["kind"] == "word"]
-    words = [w for x in got["items"] for w in zlib.decompress(x).split(b"\n")]
+    words = [w for x in got["items"] for w in _unpack_words(x)]
     where = dict(zip(words, range(len(words))))
     c = np.concatenate([*(_unpack(x, np.int64) for x in got["values"]), [n_ends]]).astype(float)
     logs = np.log10((c + 0.5) / (n_tokens + 0.5 * (n_distinct + 1)))
     out = []
-    for raw in raws:
+    for raw in block.raws:
         i = np.append(np.fromiter(map(where.__getitem__, raw.split()), np.int64), len(words))
-        out.append((len(i), int((c[i] > 0).sum()), logs[i].sum()))
-    out = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score"])
+        out.append((len(i), int((c[i] > 0).sum()), logs[i].sum(), len(raw) + 1))
+    out = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "n_bytes"])
     return pd.DataFrame({"doc_id": frame["doc_id"].array, "held_out": frame["held_out"].array, **out, "score": sums})
 
 
 def ctw_scores(docs: DataFrame, parts: int = 5, held: int = 1) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row.
 
-    Texts with fold(doc_id) == ``held`` are not learned from. A null text is empty: its end is scored all the same. Repeated
+    bits_per_byte is the code length over the number of bytes and the end. Texts with fold(doc_id) == ``held`` are not learned from. A null text is empty: its end is scored all the same. Repeated
     rows count and are scored each. A null doc_id belongs to the fold of the empty text. An empty table gives an empty result; without training texts every byte has probability 1/256.
     Columns other than doc_id and text are not read.
     """
@@ -323,25 +385,35 @@ def ctw_scores(docs: DataFrame, parts: int = 5, held: int = 1) -> DataFrame:
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + DEPTH + 1)).first()[0] or 0
     blocks = max(LEAST_BLOCKS, -(-int(size) // BLOCK_BYTES))
     buckets = min(LEAST_BUCKETS * max(1, blocks // 500), MOST_BUCKETS)
-    block = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int")
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
     # Ids go through Python as text: beside nulls pandas would make them floating-point numbers.
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", (fold("doc_id", parts) == held).alias("held_out"), block.alias("block"))
-    counts = written(
-        rows.groupBy("block").applyInPandas(lambda x: _block_counts(x, buckets), "block int, bucket int, kind string, items binary, counts binary"), "ctw-counts"
-    )
-    nodes = counts.groupBy("bucket").applyInPandas(_bucket_tops, "context long, node long, zeros long, ones long, children double")
+    schema = "block int, bucket int, kind string, items binary, counts binary"
+    counts = [written(rows.groupBy("block").applyInPandas(lambda x: _block_counts(x, buckets), schema), "ctw-counts")]
+    fan = FAN
+    while blocks > fan:
+        blocks = -(-blocks // fan)
+        counts.append(written(counts[-1].groupBy("bucket", F.floor(F.col("block") / fan)).applyInPandas(lambda x: _merged(x, fan), schema), "ctw-counts"))
+    nodes = counts[-1].groupBy("bucket").applyInPandas(_bucket_tops, "context long, node long, zeros long, ones long, children double")
     # At most 256 * 255 + 1 rows.
     nodes = nodes.groupBy("context", "node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "children")]).toPandas()
     n_ends = docs.where(fold("doc_id", parts) != held).count()
     words = nodes[nodes["context"] < 0]
     n_tokens, n_distinct = int(words["zeros"].sum()) + n_ends, int(words["ones"].sum()) + (n_ends > 0)
     top = spark.sparkContext.broadcast(top_levels(nodes[nodes["context"] >= 0]))
-    values = counts.groupBy("bucket").applyInPandas(lambda x: _bucket_values(x, top.value), "block int, bucket int, kind string, items binary, values binary")
+    values = counts.pop().groupBy("bucket").applyInPandas(lambda x: _bucket_values(x, top.value), VALUES)
+    while counts:
+        members = counts.pop().withColumn("group", F.floor(F.col("block") / fan).cast("int"))
+        of_groups = values.withColumnRenamed("block", "group").withColumn("block", F.lit(0))
+        values = members.groupBy("bucket", "group").cogroup(of_groups.groupBy("bucket", "group")).applyInPandas(_passed_down, VALUES)
     scored = rows.groupBy("block").cogroup(values.groupBy("block")).applyInPandas(
-        lambda a, b: _block_scores(a, b, buckets, n_tokens, n_distinct, n_ends),
-        "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double",
+        lambda a, b: _block_scores(a, b, n_tokens, n_distinct, n_ends),
+        "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, n_bytes long, score double",
+    )
+    return scored.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score",
+        (F.col("score") * F.lit(-math.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
-    return scored.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op1_lm_scoring(spark, sf_dir: str) -> DataFrame:
