@@ -8,7 +8,6 @@ import pytest
 from tidemark.plans import registry
 
 SF = "/root/testdata/sf0.001"
-#: Too few rows at this size for the SQL's windows to be defined in the same way.
 NAMES = sorted(registry.QUERIES)
 
 
@@ -46,10 +45,7 @@ def test_matches_sql(spark, duck, name):
     assert not bad, bad[:3]
 
 
-SLOW = ("o91", "o93", "o94", "o95_compare_all", "o116", "o109", "o108", "o106", "o107", "o115")
-
-
-@pytest.mark.parametrize("name", [n for n in NAMES if n not in registry.SQL and not n.startswith(SLOW)])
+@pytest.mark.parametrize("name", [n for n in NAMES if n not in registry.SQL])
 def test_gives_rows(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
 

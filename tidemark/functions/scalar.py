@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.profile import exact_quantiles
+
 
 def filter_in(df: DataFrame, column: str, values: Sequence) -> DataFrame:
     return df.where(F.col(column).isin(list(values)))
@@ -42,8 +44,8 @@ def from_log_scale(column: str) -> Column:
 
 def clip_upper_quantile(df: DataFrame, column: str, q: float = 0.99) -> DataFrame:
     """Values above the exact quantile become the quantile; a one-row aggregate is broadcast."""
-    top = df.agg(F.percentile(column, F.lit(q)).alias("__top"))
-    return df.crossJoin(F.broadcast(top)).withColumn(column, F.least(F.col(column), F.col("__top"))).drop("__top")
+    top = exact_quantiles(df, column, (q,)).select(F.col("q")[0].alias("__top"))
+    return df.join(F.broadcast(top), how="left").withColumn(column, F.least(F.col(column), F.col("__top"))).drop("__top")
 
 
 def clip_lower(column: str, low: float = 0.0) -> Column:
@@ -78,12 +80,25 @@ def class_index(df: DataFrame, label: str, classes: Sequence[str], name: str = "
 
 
 def fill_nonfinite(df: DataFrame, key: Sequence[str], columns: Sequence[str], order: str = "ds") -> DataFrame:
-    """Infinite and NaN values as null; then the last value before, the first after, 0."""
-    back = W.partitionBy(*key).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy(*key).orderBy(order).rowsBetween(0, W.unboundedFollowing)
+    """Infinite and NaN values as null; then the last value before, the first after, 0.
+
+    Ranges of (key, order) are filled by themselves and stitched by the last and first values of the ranges around, a row a key and range, so that
+    no task holds a whole key.
+    """
     finite = {c: F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), F.col(c)) for c in columns}
-    df = df.withColumns(finite)
-    return df.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(back), F.first(c, ignorenulls=True).over(ahead), F.lit(0.0)) for c in columns})
+    rows = df.withColumns(finite).repartitionByRange(*key, order).withColumn("__part", F.spark_partition_id())
+    near = W.partitionBy(*key, "__part").orderBy(order)
+    back, ahead = near.rowsBetween(W.unboundedPreceding, 0), near.rowsBetween(0, W.unboundedFollowing)
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("o"), F.col(c).alias("v"))))["v"]
+    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("o"), F.col(c).alias("v"))))["v"]
+    ends = rows.groupBy(*key, "__part").agg(*[x for i, c in enumerate(columns) for x in (first(c).alias(f"__f{i}"), last(c).alias(f"__l{i}"))])
+    along = W.partitionBy(*key).orderBy("__part")
+    before, after = along.rowsBetween(W.unboundedPreceding, -1), along.rowsBetween(1, W.unboundedFollowing)
+    around = {f"__b{i}": F.last(f"__l{i}", ignorenulls=True).over(before) for i in range(len(columns))} | {f"__a{i}": F.first(f"__f{i}", ignorenulls=True).over(after) for i in range(len(columns))}
+    ends = ends.withColumns(around).select(*key, "__part", *around)
+    rows = rows.join(ends, [*key, "__part"])
+    filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(back), F.col(f"__b{i}"), F.first(c, ignorenulls=True).over(ahead), F.col(f"__a{i}"), F.lit(0.0)) for i, c in enumerate(columns)}
+    return rows.withColumns(filled).select(*df.columns)
 
 
 def drop_constant_columns(df: DataFrame, columns: Sequence[str], eps: float = 1e-12) -> DataFrame:

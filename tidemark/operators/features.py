@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -17,12 +17,12 @@ from tidemark.operators.series import as_arrays, ordered, with_index
 
 
 def distribution_features(df: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Mean, sample deviation, biased skewness and kurtosis, mean and median absolute deviation, quartile distance, coefficient of variation."""
+    """Mean, sample deviation, biased skewness and kurtosis, mean and median absolute deviation, quartile distance, coefficient of variation (by the absolute mean)."""
     centre = df.groupBy(*key).agg(F.avg("y").alias("__m"), F.percentile("y", F.lit(0.5)).alias("__md"))
     return df.join(centre, list(key)).groupBy(*key).agg(
         F.avg("y").alias("mean"), F.stddev("y").alias("std"), F.skewness("y").alias("skew"), F.kurtosis("y").alias("kurtosis"),
         F.avg(F.abs(F.col("y") - F.col("__m"))).alias("mean_abs_dev"), F.percentile(F.abs(F.col("y") - F.col("__md")), F.lit(0.5)).alias("median_abs_dev"),
-        (F.percentile("y", F.lit(0.75)) - F.percentile("y", F.lit(0.25))).alias("iqr"), F.expr("try_divide(stddev(y), avg(y))").alias("cv"),
+        (F.percentile("y", F.lit(0.75)) - F.percentile("y", F.lit(0.25))).alias("iqr"), F.expr("try_divide(stddev(y), abs(avg(y)))").alias("cv"),
     )
 
 
@@ -31,12 +31,12 @@ def acf_features(df: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def peak_features(df: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Number, mean and population deviation of the peaks; a run of equal values counts once, and the ends are no peaks."""
+    """Number of the peaks, their mean (null without any) and sample deviation (null for fewer than two); a run of equal values counts once, and the ends are no peaks."""
     w = ordered(key)
     runs = df.withColumn("__p", F.lag("y").over(w)).where("__p is null or y <> __p")
     peaks = runs.withColumns({"__b": F.lag("y").over(w), "__a": F.lead("y").over(w)})
     top = F.when((F.col("y") > F.col("__b")) & (F.col("y") > F.col("__a")), F.col("y"))
-    return peaks.groupBy(*key).agg(F.count(top).alias("n_peaks"), F.coalesce(F.avg(top), F.lit(0.0)).alias("peak_mean"), F.coalesce(F.stddev_pop(top), F.lit(0.0)).alias("peak_std"))
+    return peaks.groupBy(*key).agg(F.count(top).alias("n_peaks"), F.avg(top).alias("peak_mean"), F.stddev(top).alias("peak_std"))
 
 
 def zero_crossing(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -99,33 +99,37 @@ def histogram_entropy(df: DataFrame, key: Sequence[str], bins: int = 10) -> Data
     return histogram(df, "y", bins, key).withColumn("p", p).groupBy(*key).agg(F.sum(-F.col("p") * F.ln("p")).alias("histogram_entropy"))
 
 
-SCALES = (4, 6, 8, 12, 16, 24)
+def log_scales(n: str, least: int) -> Column:
+    """Ten whole numbers in equal steps of their logarithm from ``least`` to a quarter of ``n``, those below 2 and repeats left out."""
+    step = f"(log10({n} div 4) - log10({least})) / 9"
+    return F.expr(f"filter(array_distinct(transform(sequence(0, 9), i -> cast(floor(pow(10D, log10({least}) + i * {step}) + 1e-9D) as int))), s -> s >= 2 and {n} div s >= 2)")
 
 
-def _segments(df: DataFrame, key: Sequence[str], value: str, scales: Sequence[int]) -> DataFrame:
-    """Every series cut into whole segments of every scale: columns scale, seg, i."""
+def _segments(df: DataFrame, key: Sequence[str], least: int) -> DataFrame:
+    """Every series of 10 values or more cut into whole segments of every scale: columns scale, seg, i."""
     n = F.count("y").over(W.partitionBy(*key))
-    rows = with_index(df.withColumn("__n", n), key).withColumn("scale", F.explode(F.array(*map(F.lit, scales))))
+    rows = with_index(df.withColumn("__n", n), key).where("__n >= 10").withColumn("scale", F.explode(log_scales("__n", least)))
     rows = rows.withColumns({"seg": F.floor(F.col("t") / F.col("scale")), "i": F.col("t") % F.col("scale")})
     return rows.where(F.col("seg") < F.floor(F.col("__n") / F.col("scale")))
 
 
-def dfa_exponent(df: DataFrame, key: Sequence[str], scales: Sequence[int] = SCALES) -> DataFrame:
-    """Slope of ln fluctuation over ln scale; the fluctuation is the root mean square about each segment's line of the profile."""
+def dfa_exponent(df: DataFrame, key: Sequence[str], least: int = 4) -> DataFrame:
+    """Slope of ln fluctuation over ln scale; the fluctuation is the mean over segments of the root mean square about the segment's line of the profile."""
     profile = df.withColumn("__d", F.col("y") - F.avg("y").over(W.partitionBy(*key)))
     profile = profile.withColumn("__c", F.sum("__d").over(ordered(key).rowsBetween(W.unboundedPreceding, 0)))
-    rest = _segments(profile, key, "__c", scales).groupBy(*key, "scale", "seg").agg((F.regr_syy("__c", "i") - F.coalesce(F.regr_sxy("__c", "i") * F.regr_slope("__c", "i"), F.lit(0.0))).alias("sse"))
-    by_scale = rest.groupBy(*key, "scale").agg(F.sqrt(F.sum(F.greatest("sse", F.lit(0.0))) / (F.first("scale") * F.count(F.lit(1)))).alias("f")).where("f > 0")
+    sse = F.regr_syy("__c", "i") - F.coalesce(F.regr_sxy("__c", "i") * F.regr_slope("__c", "i"), F.lit(0.0))
+    rest = _segments(profile, key, least).groupBy(*key, "scale", "seg").agg(sse.alias("sse"))
+    by_scale = rest.groupBy(*key, "scale").agg(F.avg(F.sqrt(F.greatest("sse", F.lit(0.0)) / F.col("scale"))).alias("f")).where("f > 0")
     return by_scale.groupBy(*key).agg(F.regr_slope(F.ln("f"), F.ln("scale")).alias("dfa"))
 
 
-def hurst_exponent(df: DataFrame, key: Sequence[str], scales: Sequence[int] = SCALES) -> DataFrame:
-    """Slope of ln rescaled range over ln scale."""
+def hurst_exponent(df: DataFrame, key: Sequence[str], least: int = 1) -> DataFrame:
+    """Slope of ln rescaled range over ln scale; ranges are over sample deviations."""
     seg = [*key, "scale", "seg"]
-    rows = _segments(df, key, "y", scales)
+    rows = _segments(df, key, least)
     rows = rows.withColumn("__d", F.col("y") - F.avg("y").over(W.partitionBy(*seg)))
     rows = rows.withColumn("__c", F.sum("__d").over(W.partitionBy(*seg).orderBy("i").rowsBetween(W.unboundedPreceding, 0)))
-    ratio = rows.groupBy(*seg).agg((F.max("__c") - F.min("__c")).alias("range"), F.stddev_pop("y").alias("s")).where("s > 0")
+    ratio = rows.groupBy(*seg).agg((F.max("__c") - F.min("__c")).alias("range"), F.stddev("y").alias("s")).where("s > 0")
     by_scale = ratio.groupBy(*key, "scale").agg(F.avg(F.col("range") / F.col("s")).alias("rs")).where("rs > 0")
     return by_scale.groupBy(*key).agg(F.regr_slope(F.ln("rs"), F.ln("scale")).alias("hurst"))
 

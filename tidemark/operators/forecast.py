@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -176,14 +173,33 @@ def _scaled(train: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]
     return logs.join(constants, list(key)).withColumn("y", (F.col("y") - F.col("low")) / F.col("range")).select(*key, "ds", "y"), constants
 
 
-def _fit(windows: DataFrame, step: int, extra: Sequence[str] = (), ridge: float = 1e-3):
-    """A linear model, over all series, of the target's step from the window and the extra columns."""
-    rows = windows.withColumn("label", F.col("target")[step]).withColumn("lags", array_to_vector("x"))
-    if extra:
-        rows = VectorAssembler(inputCols=["lags", *extra], outputCol="features").transform(rows)
-    else:
-        rows = rows.withColumnRenamed("lags", "features")
-    return LinearRegression(regParam=ridge, elasticNetParam=0.0, solver="normal").fit(rows.select("features", "label"))
+def _fit(windows: DataFrame, steps: int, extra: Sequence[str] = (), ridge: float = 1e-3) -> list[tuple[list[float], float]]:
+    """(coefficients, intercept) for every step of the target: linear models, over all series, from the window and the extra columns.
+
+    All steps share one pass: each task sums products of columns, the sums over tasks are as many as products, and the driver solves for the
+    coefficients with a ridge on columns of unit variance.
+    """
+    x = F.concat("x", F.array(*extra)) if extra else F.col("x")
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for frame in batches:
+            if len(frame):
+                z = np.column_stack([np.ones(len(frame)), np.stack(frame["x"].to_numpy()), np.stack(frame["target"].to_numpy())]).astype(float)
+                total = z.T @ z if total is None else total + z.T @ z
+        if total is not None:
+            yield pd.DataFrame({"place": np.arange(total.size), "value": total.ravel()})
+
+    parts = windows.select(x.alias("x"), F.slice("target", 1, steps).alias("target")).mapInPandas(sums, "place int, value double")
+    rows = parts.groupBy("place").agg(F.sum("value").alias("value")).orderBy("place").collect()
+    if not rows:
+        raise ValueError("no series is long enough for a window")
+    products = np.array([r["value"] for r in rows]).reshape(int(round(len(rows) ** 0.5)), -1)
+    products, n = products / products[0, 0], len(products) - steps
+    means, spread = products[0], products - np.outer(products[0], products[0])
+    left = spread[1:n, 1:n] + np.diag(ridge * np.maximum(np.diag(spread)[1:n], 1e-9))
+    weights = np.linalg.solve(left, spread[1:n, n:])
+    return [(weights[:, i].tolist(), float(means[n + i] - weights[:, i] @ means[1:n])) for i in range(steps)]
 
 
 def _last_windows(scaled: DataFrame, key: Sequence[str], lookback: int) -> DataFrame:
@@ -201,21 +217,18 @@ def _unscaled(df: DataFrame, constants: DataFrame, key: Sequence[str], model: st
 
 
 def window_regressor_direct(train: DataFrame, key: Sequence[str], h: int, lookback: int = 12) -> DataFrame:
-    """A linear model for every step ahead, each fitted once over all series."""
+    """A linear model for every step ahead, all fitted in one pass over all series."""
     scaled, constants = _scaled(train, key)
-    windows = lag_windows(scaled, key, lookback, h).cache()
-    models = [_fit(windows, i) for i in range(h)]
-    windows.unpersist()
+    models = _fit(lag_windows(scaled, key, lookback, h), h)
     last = _last_windows(scaled, key, lookback)
-    values = F.array(*[F.expr(_linear(m.coefficients, m.intercept)) for m in models])
+    values = F.array(*[F.expr(_linear(*m)) for m in models])
     return _unscaled(last.withColumn("yhats", values), constants, key, "window_direct")
 
 
 def window_regressor_recursive(train: DataFrame, key: Sequence[str], h: int, lookback: int = 12) -> DataFrame:
     """One one-step linear model, fed with its own forecasts."""
     scaled, constants = _scaled(train, key)
-    m = _fit(lag_windows(scaled, key, lookback, 1), 0)
-    step = _linear(m.coefficients, m.intercept, f"slice(w, -{lookback}, {lookback})")
+    step = _linear(*_fit(lag_windows(scaled, key, lookback, 1), 1)[0], f"slice(w, -{lookback}, {lookback})")
     run = f"slice(aggregate(sequence(1, {h}), x, (w, i) -> concat(w, array({step}))), -{h}, {h})"
     return _unscaled(_last_windows(scaled, key, lookback).withColumn("yhats", F.expr(run)), constants, key, "window_recursive")
 
@@ -224,11 +237,9 @@ def window_regressor_with_features(train: DataFrame, features: DataFrame, column
     """As direct, with the series' features (one row a key) beside the lags."""
     scaled, constants = _scaled(train, key)
     features = features.select(*key, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in columns])
-    windows = lag_windows(scaled, key, lookback, h).join(features, list(key)).cache()
-    models = [_fit(windows, i, columns) for i in range(h)]
-    windows.unpersist()
+    models = _fit(lag_windows(scaled, key, lookback, h).join(features, list(key)), h, columns)
     last = _last_windows(scaled, key, lookback).join(features, list(key)).withColumn("x", F.concat("x", F.array(*columns)))
-    values = F.array(*[F.expr(_linear(m.coefficients, m.intercept)) for m in models])
+    values = F.array(*[F.expr(_linear(*m)) for m in models])
     return _unscaled(last.withColumn("yhats", values), constants, key, "window_features")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,12 +19,41 @@ def mean_by_year(df: DataFrame, y: str = "y") -> DataFrame:
     return df.groupBy(F.year("ds").alias("year")).agg(F.avg(y).alias("mean"))
 
 
+def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float], by: Sequence[str] = (), ranges: int = 200) -> DataFrame:
+    """(by, n, q): the quantiles of every group, interpolated between neighbours, without a task or buffer that holds a group.
+
+    Approximate quantiles cut each group into ranges. Counts by range say in which ranges the wanted ranks lie; only their rows are ranked.
+    """
+    names = [f"__by{i}" for i in range(len(by))]
+    rows = df.where(F.col(column).isNotNull()).select(*[F.col(b).alias(n) for b, n in zip(by, names)], F.col(column).cast("double").alias("__x"))
+    cuts = rows.groupBy(*names).agg(F.percentile_approx("__x", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(20 * ranges)).alias("__cuts"))
+    same = [F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}")) for n in names]
+    meet = lambda a, b: a.alias("a").join(F.broadcast(b.alias("b")), reduce(lambda x, y: x & y, same), "inner").drop(*[F.col(f"b.{n}") for n in names]) if names else a.crossJoin(F.broadcast(b))
+    placed = meet(rows, cuts).withColumn("__range", F.expr("size(filter(__cuts, c -> c < __x))")).drop("__cuts")
+    counts = placed.groupBy(*names, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    group = W.partitionBy(*names)
+    counts = counts.withColumns({"__upto": F.sum("__n").over(group.orderBy("__range").rowsBetween(W.unboundedPreceding, 0)), "__all": F.sum("__n").over(group)})
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor((F.col("__all") - 1) * F.lit(s)), F.ceil((F.col("__all") - 1) * F.lit(s))) for s in shares])))
+    wanted = counts.withColumn("__ranks", F.filter(ranks, lambda r: (r >= F.col("__upto") - F.col("__n")) & (r < F.col("__upto"))))
+    wanted = wanted.where(F.size("__ranks") > 0).select(*names, F.col("__range").alias("__in"), (F.col("__upto") - F.col("__n")).alias("__before"), "__ranks", "__all")
+    hits = meet(placed, wanted).where("__range = __in").groupBy(*names, "__in", "__before", "__ranks", "__all", "__x").agg(F.count(F.lit(1)).alias("__n"))
+    last = F.col("__before") + F.sum("__n").over(W.partitionBy(*names, "__in").orderBy("__x").rowsBetween(W.unboundedPreceding, 0))
+    found = hits.withColumn("__last", last).withColumn("__rank", F.explode(F.filter("__ranks", lambda r: (r >= F.col("__last") - F.col("__n")) & (r < F.col("__last")))))
+    values = found.groupBy(*names).agg(F.map_from_entries(F.collect_list(F.struct("__rank", "__x"))).alias("__m"), F.first("__all").alias("n"))
+    at = lambda s: (F.col("n") - 1) * F.lit(s)
+    value = lambda s: F.element_at("__m", F.floor(at(s))) + (at(s) - F.floor(at(s))) * (F.element_at("__m", F.ceil(at(s))) - F.element_at("__m", F.floor(at(s))))
+    return values.select(*[F.col(n).alias(b) for b, n in zip(by, names)], "n", F.array(*[value(s) for s in shares]).alias("q"))
+
+
+def _beside(rows: DataFrame, few: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``rows`` with the columns of ``few``, a row a group."""
+    return rows.join(few, list(by), "left") if by else rows.crossJoin(F.broadcast(few))
+
+
 def describe(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*by).agg(
-        F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev(column).alias("std"), F.min(column).alias("min"), q.alias("q"), F.max(column).alias("max")
-    )
-    return out.select(*by, "n", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
+    q = exact_quantiles(df, column, (0.25, 0.5, 0.75), by).drop("n")
+    sums = df.groupBy(*by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+    return _beside(sums, q, by).select(*by, "n", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
 
 
 def adjusted_skew(column: str | Column) -> Column:
@@ -55,9 +85,8 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 
 
 def quartile_fences(df: DataFrame, column: str, by: Sequence[str] = (), k: float = 1.5) -> DataFrame:
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     spread = F.col("q")[2] - F.col("q")[0]
-    return df.groupBy(*by).agg(q.alias("q")).select(
+    return exact_quantiles(df, column, (0.25, 0.5, 0.75), by).select(
         *by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"),
         (F.col("q")[0] - k * spread).alias("low"), (F.col("q")[2] + k * spread).alias("high"),
     )
@@ -117,9 +146,20 @@ def correlation(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFr
 
 
 def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Each column as its rank, ties sharing their mean rank and nulls without one, of an aggregated table."""
-    rank = lambda c: F.rank().over(W.orderBy(F.col(c).asc_nulls_last())) + (F.count(F.lit(1)).over(W.partitionBy(c)) - 1) / 2.0
-    return df.withColumns({c: F.when(F.col(c).isNotNull(), rank(c)) for c in columns})
+    """Each column as its rank, ties sharing their mean rank and nulls without one.
+
+    Ranks come from counts by value: ranges of values are summed first, so that no task sorts a whole column.
+    """
+    for c in columns:
+        counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("__v")).agg(F.count(F.lit(1)).alias("__n")).repartitionByRange("__v")
+        counts = counts.withColumn("__part", F.spark_partition_id())
+        parts = counts.groupBy("__part").agg(F.sum("__n").alias("__sum"), F.min("__v").alias("__low"))
+        before = F.coalesce(F.sum("__sum").over(W.orderBy("__low").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        parts = parts.select("__part", before.alias("__before"))  # a row a partition
+        inside = F.coalesce(F.sum("__n").over(W.partitionBy("__part").orderBy("__v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        ranks = counts.join(F.broadcast(parts), "__part").select("__v", (F.col("__before") + inside + (F.col("__n") + 1) / 2.0).alias("__rank"))
+        df = df.join(ranks, F.col(c) == F.col("__v"), "left").withColumn(c, F.col("__rank")).drop("__v", "__rank")
+    return df
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str], method: str = "pearson") -> DataFrame:
@@ -134,6 +174,11 @@ def corr_matrix(df: DataFrame, columns: Sequence[str], method: str = "pearson")
     return one.select(F.explode(rows).alias("x")).select("x.*")
 
 
+def strong_pairs(matrix: DataFrame, limit: float = 0.95) -> DataFrame:
+    """The pairs of a correlation matrix whose coefficient is above ``limit`` in absolute value."""
+    return matrix.where(F.abs("r") > limit)
+
+
 def trend_slope(df: DataFrame, key: Sequence[str], y: str | Column = "y", t: str = "t") -> DataFrame:
     y = F.col(y) if isinstance(y, str) else y
     return df.groupBy(*key).agg(F.regr_slope(y, F.col(t)).alias("slope"), F.regr_intercept(y, F.col(t)).alias("intercept"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, MultilayerPerceptronClassifier, OneVsRest
 from pyspark.ml.clustering import BisectingKMeans, KMeans
@@ -111,6 +113,7 @@ def _clusters(df: DataFrame, key: str, vec: str, ks: Sequence[int], make) -> Dat
         found = model.transform(rows).select(key, vec, F.col("prediction").alias("cluster"))
         part = silhouette(found, key, vec, "cluster").select(key, F.lit(k).alias("k"), "cluster", "silhouette", F.lit(float(model.summary.trainingCost)).alias("inertia"))
         out = part if out is None else out.unionByName(part)
+    rows.unpersist()
     return out
 
 
@@ -139,31 +142,41 @@ def adjacent_vs_distant(df: DataFrame, label: str, order: str, vec: str, seed: i
     return near.join(far, label)
 
 
-def seeded(key: str, seed: int) -> Column:
-    return F.xxhash64(F.col(key), F.lit(seed))
+def scramble(key: str | Column, seed: int) -> Column:
+    """A fixed scramble of a key: the md5 of its text and the seed."""
+    return F.md5(F.concat_ws(":", (F.col(key) if isinstance(key, str) else key).cast("string"), F.lit(str(seed))))
 
 
 def sample_per_class(df: DataFrame, label: str, key: str, n: int, seed: int = 7) -> DataFrame:
     """Exactly n rows of every label, or all if it has fewer."""
-    k = F.row_number().over(W.partitionBy(label).orderBy(seeded(key, seed), key))
+    k = F.row_number().over(W.partitionBy(label).orderBy(scramble(key, seed), key))
     return df.withColumn("__k", k).where(F.col("__k") <= n).drop("__k")
 
 
 def stratified_split(df: DataFrame, label: str, key: str, shares: Sequence[tuple[str, float]] = (("train", 0.7), ("val", 0.15), ("test", 0.15)), seed: int = 7) -> DataFrame:
-    """Column split with floor(n * share) rows of each label for every name, the rest for the last."""
-    k = F.row_number().over(W.partitionBy(label).orderBy(seeded(key, seed), key))
-    n = F.count(F.lit(1)).over(W.partitionBy(label))
+    """Column split with floor(n * share) rows of each label for every name, the rest for the last.
+
+    A row's rank in its label is that within its slice, by the first two digits of the scramble, and the counts of the slices before, so that no task holds a whole label.
+    """
+    rows = df.withColumn("__s", scramble(key, seed)).withColumn("__slice", F.substring("__s", 1, 2))
+    counts = rows.groupBy(F.col(label).alias("__label"), F.col("__slice").alias("__in")).agg(F.count(F.lit(1)).alias("__c"))
+    every = W.partitionBy("__label")
+    before = F.coalesce(F.sum("__c").over(every.orderBy("__in").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("__label", "__in", before.alias("__before"), F.sum("__c").over(every).alias("__n"))
+    rows = rows.join(counts, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__slice") == F.col("__in")))
+    k = F.col("__before") + F.row_number().over(W.partitionBy(label, "__slice").orderBy("__s", key))
     out, upto = None, F.lit(0)
     for name, share in shares[:-1]:
-        upto = upto + F.floor(n * F.lit(float(share)))
-        out = F.when(k <= upto, name) if out is None else out.when(k <= upto, name)
-    return df.withColumn("split", out.otherwise(shares[-1][0]))
+        upto = upto + F.floor(F.col("__n") * F.lit(float(share)))
+        out = F.when(F.col("__k") <= upto, name) if out is None else out.when(F.col("__k") <= upto, name)
+    return rows.withColumn("__k", k).withColumn("split", out.otherwise(shares[-1][0])).select(*df.columns, "split")
 
 
 def block_split(df: DataFrame, label: str, frame: str, block: int, shares: Sequence[tuple[str, int]] = (("train", 70), ("val", 15), ("test", 15))) -> DataFrame:
     """Column split by blocks of neighbouring frames, so that no block is torn; shares in percent of a fixed scramble of (label, block)."""
     number = F.floor(F.col(frame) / block)
-    place = F.pmod((F.crc32(F.col(label).cast("string")) % 1009) * 31 + number * 7919, F.lit(100))
+    mark = F.substring(scramble(F.concat_ws(":", F.col(label).cast("string"), number.cast("string")), 7), 1, 8)
+    place = F.conv(mark, 16, 10).cast("long") % 100
     out, upto = None, 0
     for name, share in shares[:-1]:
         upto += share
@@ -171,26 +184,63 @@ def block_split(df: DataFrame, label: str, frame: str, block: int, shares: Seque
     return df.withColumns({"block": number, "split": out.otherwise(shares[-1][0])})
 
 
-def knn_classify(train: DataFrame, test: DataFrame, key: str, label: str, vec: str, k: int = 3) -> DataFrame:
-    """(key, label, prediction): vote of the k nearest, ties by nearness; compares each test row with all training rows, which are a bounded set."""
-    t = train.select(F.col(key).alias("__k"), F.col(label).alias("__l"), F.col(vec).alias("__v"))
-    near = test.select(key, label, vec).crossJoin(t).select(key, label, "__k", "__l", euclidean(vec, "__v").alias("d"))
-    top = near.withColumn("r", F.row_number().over(W.partitionBy(key).orderBy("d", "__k"))).where(F.col("r") <= k)
+#: Bytes of training vectors that meet a test row at once, and test rows of a block.
+TRAIN_BYTES, TEST_ROWS = 8 << 20, 4096
+
+
+def _vote(top: DataFrame, key: str, label: str, k: int) -> DataFrame:
+    """(key, label, prediction) from neighbours (key, label, __k, __l, d): the vote of the k nearest, ties by nearness."""
+    top = top.withColumn("r", F.row_number().over(W.partitionBy(key).orderBy("d", "__k"))).where(F.col("r") <= k)
     votes = top.groupBy(key, label, "__l").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("first"))
     best = votes.withColumn("w", F.row_number().over(W.partitionBy(key).orderBy(F.desc("n"), "first"))).where("w = 1")
     return best.select(key, label, F.col("__l").alias("prediction"))
 
 
+def knn_classify(train: DataFrame, test: DataFrame, key: str, label: str, vec: str, k: int = 3) -> DataFrame:
+    """(key, label, prediction): vote of the k nearest of all training rows, ties by nearness, then by key.
+
+    Test rows and training rows are cut into blocks by hash; every block of the one meets every block of the other in a task of
+    bounded size, as one matrix product, and only the k nearest of each test row and block leave it. Keys are unique.
+    """
+    sizes = train.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("w")).first()
+    n_train, n_test = max(1, -(-int(sizes["n"] or 0) * int(sizes["w"] or 1) * 8 // TRAIN_BYTES)), max(1, -(-test.count() // TEST_ROWS))
+    block = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    plain = lambda df: df.select(F.col(key).cast("long").alias("key"), F.col(label).cast("string").alias("label"), F.col(vec).cast("array<double>").alias("v"), block(n_train if df is train else n_test).alias("own"))
+    a = plain(test).withColumnRenamed("own", "i").withColumn("j", every(n_train))
+    b = plain(train).withColumnRenamed("own", "j").withColumn("i", every(n_test))
+
+    def nearest(tests: pd.DataFrame, trains: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(tests) and len(trains):
+            trains = trains.sort_values("key")
+            x, y = np.stack(tests["v"].to_numpy()), np.stack(trains["v"].to_numpy())
+            keys, labels, least = trains["key"].to_numpy(), trains["label"].to_numpy(), min(k, len(trains))
+            for i in range(0, len(x), 256):
+                part = x[i : i + 256]
+                square = (part * part).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * part @ y.T
+                # A few more than k by the product, which is rounded, then the distances themselves.
+                some = np.argpartition(square, min(least + 4, len(y)) - 1, axis=1)[:, : least + 4]
+                for row, own, near in zip(tests.iloc[i : i + 256].itertuples(index=False), part, some):
+                    near = np.sort(near)
+                    d = np.sqrt(((y[near] - own) ** 2).sum(1))
+                    for at in np.argsort(d, kind="stable")[:least]:
+                        out.append((row.key, row.label, keys[near[at]], labels[near[at]], d[at]))
+        return pd.DataFrame(out, columns=[key, label, "__k", "__l", "d"])
+
+    kind = dict(test.dtypes)
+    found = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(nearest, f"`{key}` long, `{label}` string, __k long, __l string, d double")
+    out = _vote(found, key, label, k)
+    return out.select(F.col(key).cast(kind[key]), F.col(label).cast(kind[label]), F.col("prediction").cast(kind[label]))
+
+
 def knn_classify_approx(train: DataFrame, test: DataFrame, key: str, label: str, vec: str, k: int = 3, reach: float = 1.0, bucket: float = 1.0, tables: int = 8, seed: int = 7) -> DataFrame:
     """As knn_classify over random-projection buckets, for training sets too large to compare with; rows without a neighbour within ``reach`` have no prediction."""
     v = lambda df: df.select(key, label, array_to_vector(F.col(vec).cast("array<double>")).alias("f"))
     train, test = v(train), v(test)
     model = BucketedRandomProjectionLSH(inputCol="f", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(train)
     near = model.approxSimilarityJoin(test, train, reach, "d").select(F.col(f"datasetA.{key}").alias(key), F.col(f"datasetA.{label}").alias(label), F.col(f"datasetB.{key}").alias("__k"), F.col(f"datasetB.{label}").alias("__l"), "d")
-    top = near.withColumn("r", F.row_number().over(W.partitionBy(key).orderBy("d", "__k"))).where(F.col("r") <= k)
-    votes = top.groupBy(key, label, "__l").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("first"))
-    best = votes.withColumn("w", F.row_number().over(W.partitionBy(key).orderBy(F.desc("n"), "first"))).where("w = 1")
-    return best.select(key, label, F.col("__l").alias("prediction"))
+    return _vote(near, key, label, k)
 
 
 def _with_features(df: DataFrame, key: str, label: str, vec: str) -> DataFrame:
@@ -207,7 +257,7 @@ def margin_classifier(train: DataFrame, test: DataFrame, key: str, label: str, v
     """(key, label, prediction) of scaling, principal components and one-vs-rest linear margins."""
     steps = [
         StandardScaler(inputCol="features", outputCol="scaled", withMean=True), PCA(k=k, inputCol="scaled", outputCol="components"),
-        OneVsRest(classifier=LinearSVC(maxIter=iterations, regParam=reg, featuresCol="components", labelCol=label), featuresCol="components", labelCol=label),
+        OneVsRest(parallelism=8, classifier=LinearSVC(maxIter=iterations, regParam=reg, featuresCol="components", labelCol=label), featuresCol="components", labelCol=label),
     ]
     model = Pipeline(stages=steps).fit(_with_features(train, key, label, vec))
     return model.transform(_with_features(test, key, label, vec)).select(key, label, "prediction")

@@ -12,21 +12,13 @@ from tidemark.operators import forecast as R
 from tidemark.operators import profile as P
 from tidemark.operators import series as T
 from tidemark.operators import vectors as V
-from tidemark.plans.basic import FACTS, monthly, rounded, series_sql
+from tidemark.plans.basic import FACTS, monthly, query_into, rounded, series_sql
 from tidemark.sources.tables import facts, table
 
 QUERIES, SQL = {}, {}
 
 
-def query(name: str, sql: str | None = None):
-    def register(f):
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = sql
-        return f
-
-    return register
-
+query = query_into(QUERIES, SQL)
 
 KEY = ["region"]
 REGION = series_sql("region")
@@ -78,9 +70,13 @@ def _(spark, sf):
     return rounded(D.acf(monthly(spark, sf), KEY, 12), r=6, limit=6)
 
 
-@query("o79_pacf")
+@query("o79_pacf", f"""WITH RECURSIVE {ACF}, a AS (SELECT region, list(r ORDER BY lag) AS r FROM acf GROUP BY 1),
+s AS (SELECT region, r, 1::BIGINT AS lag, [r[1]] AS phi, 1 - r[1] * r[1] AS v, r[1] AS pacf FROM a UNION ALL
+  SELECT region, r, lag + 1, list_append(list_transform(range(1, lag + 1), lambda j: phi[j] - last * phi[lag + 1 - j]), last), v * (1 - last * last), last FROM (
+    SELECT *, (r[lag + 1] - list_sum(list_transform(range(1, lag + 1), lambda j: phi[j] * r[lag + 1 - j]))) / v AS last FROM s WHERE lag < 12))
+SELECT region, lag, round(pacf, 8) AS pacf FROM s""")
 def _(spark, sf):
-    return rounded(D.pacf(monthly(spark, sf), KEY, 12), pacf=8)
+    return rounded(D.pacf(monthly(spark, sf), KEY, 12).withColumn("lag", F.col("lag").cast("long")), pacf=8)
 
 
 @query("o80_adf_table")
@@ -127,12 +123,22 @@ def _(spark, sf):
     return rounded(R.ses(split(spark, sf)[0], KEY, 12).select("region", "ds", "yhat"), yhat=2)
 
 
-@query("o87_holt_winters")
+_HW = ", ".join(f"({a}::DOUBLE, {b}::DOUBLE, {g}::DOUBLE, {p}::DOUBLE)" for a, b, g, p in R.HOLT_WINTERS_GRID)
+
+
+@query("o87_holt_winters", f"""WITH RECURSIVE {REGION}, tr AS (SELECT region, k, y FROM numbered WHERE k <= floor(n * 0.7::DOUBLE)),
+i AS (SELECT region, avg(y) FILTER (k <= 12) AS m1, avg(y) FILTER (k > 12 AND k <= 24) AS m2, list(y ORDER BY k) FILTER (k <= 12) AS first FROM tr GROUP BY 1),
+s AS (SELECT region, a, b, g, phi, 12::BIGINT AS k, m1 AS level, (m2 - m1) / 12 AS trend, list_transform(first, lambda x: x - m1) AS season, 0::DOUBLE AS sse FROM i, (VALUES {_HW}) v(a, b, g, phi) UNION ALL
+  SELECT region, a, b, g, phi, k + 1, l, phi * trend + b * (l - level - phi * trend), list_append(season[2:], season[1] + g * (y - l - season[1])), sse + (y - e - season[1]) ** 2 FROM (
+    SELECT s.*, tr.y, level + phi * trend AS e, level + phi * trend + a * (tr.y - season[1] - (level + phi * trend)) AS l FROM s JOIN tr ON tr.region = s.region AND tr.k = s.k + 1)),
+f AS (SELECT * FROM s QUALIFY k = max(k) OVER (PARTITION BY region)), best AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY region ORDER BY sse, a, b, g, phi) = 1)
+SELECT best.region, 'holt_winters' AS model, n.ds::VARCHAR AS ds, round(greatest(0, level + trend * phi * (1 - phi ** (n.k - best.k)) / (1 - phi) + season[(n.k - best.k - 1) % 12 + 1]), 2) AS yhat
+FROM best JOIN numbered n ON n.region = best.region AND n.k > best.k AND n.k <= best.k + 24""")
 def _(spark, sf):
     return rounded(R.holt_winters(split(spark, sf)[0], KEY, 24), yhat=2)
 
 
-ORDERS = [(p, 1, q) for p in range(3) for q in range(3)]
+ORDERS = [(p, d, q) for d in (0, 1) for p in range(6) for q in range(6)]
 
 
 @query("o88_arma_grid")
@@ -145,6 +151,20 @@ def _(spark, sf):
     return rounded(R.select_arma(R.arma_grid(split(spark, sf)[0], KEY, ORDERS, 24), KEY).drop("yhats"), aic=4, bic=4, p_value=6)
 
 
+_FITS = f"""{FACTS}, t AS (SELECT country, count(*) AS n FROM facts GROUP BY 1), fits AS (SELECT country, p, 1::BIGINT AS d, q, ((n * (p + 2) + 13 * q) % 29)::DOUBLE AS aic, ((n * (q + 3) + 7 * p) % 11)::DOUBLE AS bic, ((n * 31 + 17 * p + 5 * q) % 100) / 400 AS p_value
+  FROM t, range(0, 3) a(p), range(0, 3) b(q))"""
+
+
+@query("o89_select_arma_rule", f"WITH {_FITS} SELECT * FROM fits QUALIFY row_number() OVER (PARTITION BY country ORDER BY (p_value <= 0.05)::INT, bic, aic, p, d, q) = 1")
+def _(spark, sf):
+    """The rule of o89 by itself, over criteria derived from counts."""
+    orders = spark.createDataFrame([(p, 1, q) for p in range(3) for q in range(3)], "p long, d long, q long")
+    n = T.series_by_config(P.value_counts(facts(spark, sf), ["country"]), orders)
+    criteria = {"aic": "n * (p + 2) + 13 * q", "bic": "n * (q + 3) + 7 * p", "p_value": "n * 31 + 17 * p + 5 * q"}
+    aic, bic, p_value = (F.expr(f"cast(({x}) % {m} as double)") for x, m in zip(criteria.values(), (29, 11, 100)))
+    return R.select_arma(n.select("country", "p", "d", "q", aic.alias("aic"), bic.alias("bic"), (p_value / 400).alias("p_value")), ["country"])
+
+
 @query("o90_trend_fourier")
 def _(spark, sf):
     return rounded(R.trend_fourier(split(spark, sf)[0], KEY, 24), yhat=2)
@@ -162,14 +182,14 @@ def _(spark, sf):
 
 @query("o93_window_regressor_with_features")
 def _(spark, sf):
-    train = held(spark, sf, 6)[0]
+    train = held(spark, sf, 12)[0]
     feats = X.distribution_features(train, KEY).select("region", "skew", "cv").join(X.acf_features(train, KEY), KEY)
-    return rounded(R.window_regressor_with_features(train, feats, ["skew", "cv", "acf1", "acf2"], KEY, 6), yhat=2)
+    return rounded(R.window_regressor_with_features(train, feats, ["skew", "cv", "acf1", "acf2"], KEY, 12), yhat=2)
 
 
 @query("o94_tune_on_validation")
 def _(spark, sf):
-    return rounded(R.tune_on_validation(held(spark, sf, 12)[0], KEY, [6, 12], 6), rmse=2)
+    return rounded(R.tune_on_validation(held(spark, sf, 12)[0], KEY, [6, 12, 18]), rmse=2)
 
 
 _ERRORS = """e AS (SELECT region, 'flat' AS model, avg(abs(y - 0)) AS mae, sqrt(avg(y * y)) AS rmse FROM naive GROUP BY 1
@@ -200,7 +220,7 @@ COUNTRY, CKEY = series_sql("country"), ["country"]
 @query("o96_distribution_features", f"""WITH {COUNTRY}, c AS (SELECT country, avg(y) AS m, quantile_cont(y, 0.5) AS md FROM series GROUP BY 1),
 g AS (SELECT country, avg(y) AS m, stddev_pop(y) AS s FROM series GROUP BY 1)
 SELECT s.country, round(avg(y), 4) AS mean, round(stddev_samp(y), 2) AS std, round(avg(((y - g.m) / g.s) ** 3), 6) AS skew, round(avg(((y - g.m) / g.s) ** 4) - 3, 6) AS kurtosis, round(avg(abs(y - c.m)), 2) AS mean_abs_dev,
-round(quantile_cont(abs(y - c.md), 0.5), 4) AS median_abs_dev, round(quantile_cont(y, 0.75) - quantile_cont(y, 0.25), 4) AS iqr, round(stddev_samp(y) / avg(y), 6) AS cv
+round(quantile_cont(abs(y - c.md), 0.5), 4) AS median_abs_dev, round(quantile_cont(y, 0.75) - quantile_cont(y, 0.25), 4) AS iqr, round(stddev_samp(y) / abs(avg(y)), 6) AS cv
 FROM series s JOIN c ON c.country = s.country JOIN g ON g.country = s.country GROUP BY s.country""")
 def _(spark, sf):
     return rounded(X.distribution_features(monthly(spark, sf, "country"), CKEY), mean=4, std=2, skew=6, kurtosis=6, mean_abs_dev=2, median_abs_dev=4, iqr=4, cv=6)
@@ -213,7 +233,7 @@ def _(spark, sf):
 
 @query("o98_peak_features", f"""WITH {COUNTRY}, r AS (SELECT country, ds, y FROM (SELECT *, lag(y) OVER (PARTITION BY country ORDER BY ds) AS p FROM series) WHERE p IS NULL OR p <> y),
 q AS (SELECT country, y, lag(y) OVER w AS b, lead(y) OVER w AS a FROM r WINDOW w AS (PARTITION BY country ORDER BY ds))
-SELECT country, count(*) FILTER (y > b AND y > a) AS n_peaks, round(coalesce(avg(y) FILTER (y > b AND y > a), 0), 3) AS peak_mean, round(coalesce(stddev_pop(y) FILTER (y > b AND y > a), 0), 2) AS peak_std FROM q GROUP BY 1""")
+SELECT country, count(*) FILTER (y > b AND y > a) AS n_peaks, round(avg(y) FILTER (y > b AND y > a), 3) AS peak_mean, round(stddev_samp(y) FILTER (y > b AND y > a), 2) AS peak_std FROM q GROUP BY 1""")
 def _(spark, sf):
     return rounded(X.peak_features(monthly(spark, sf, "country"), CKEY), peak_mean=3, peak_std=2)
 
@@ -251,20 +271,23 @@ def _(spark, sf):
     return rounded(X.histogram_entropy(monthly(spark, sf, "country"), CKEY), histogram_entropy=6)
 
 
-_SCALES = "(VALUES (4), (6), (8), (12), (16), (24)) v(scale)"
+def _scales(least: int) -> str:
+    step = f"(log10(n // 4) - log10({least})) / 9"
+    return f"""sc AS (SELECT region, n, unnest(list_distinct([floor(pow(10::DOUBLE, log10({least}) + i * {step}) + 1e-9)::BIGINT FOR i IN range(10)])) AS scale FROM (SELECT DISTINCT region, n FROM numbered WHERE n >= 10)),
+scales AS (SELECT region, scale FROM sc WHERE scale >= 2 AND n // scale >= 2)"""
 
 
-@query("o103_dfa", f"""WITH {REGION}, prof AS (SELECT region, k - 1 AS t, n, sum(d) OVER (PARTITION BY region ORDER BY k) AS c FROM (SELECT *, y - avg(y) OVER (PARTITION BY region) AS d FROM numbered)),
-g AS (SELECT region, scale, t // scale AS seg, regr_syy(c, t % scale) - coalesce(regr_sxy(c, t % scale) * regr_slope(c, t % scale), 0) AS sse FROM prof, {_SCALES} WHERE t // scale < n // scale GROUP BY 1, 2, 3),
-f AS (SELECT region, scale, sqrt(sum(greatest(sse, 0)) / (scale * count(*))) AS f FROM g GROUP BY 1, 2)
+@query("o103_dfa", f"""WITH {REGION}, {_scales(4)}, prof AS (SELECT region, k - 1 AS t, n, sum(d) OVER (PARTITION BY region ORDER BY k) AS c FROM (SELECT *, y - avg(y) OVER (PARTITION BY region) AS d FROM numbered)),
+g AS (SELECT region, scale, t // scale AS seg, regr_syy(c, t % scale) - coalesce(regr_sxy(c, t % scale) * regr_slope(c, t % scale), 0) AS sse FROM prof JOIN scales USING (region) WHERE t // scale < n // scale GROUP BY 1, 2, 3),
+f AS (SELECT region, scale, avg(sqrt(greatest(sse, 0) / scale)) AS f FROM g GROUP BY 1, 2)
 SELECT region, round(regr_slope(ln(f), ln(scale)), 6) AS dfa FROM f WHERE f > 0 GROUP BY 1""")
 def _(spark, sf):
     return rounded(X.dfa_exponent(monthly(spark, sf), KEY), dfa=6)
 
 
-@query("o103_hurst", f"""WITH {REGION}, g AS (SELECT region, scale, (k - 1) // scale AS seg, (k - 1) % scale AS i, y FROM numbered, {_SCALES} WHERE (k - 1) // scale < n // scale),
+@query("o103_hurst", f"""WITH {REGION}, {_scales(1)}, g AS (SELECT region, scale, (k - 1) // scale AS seg, (k - 1) % scale AS i, y FROM numbered JOIN scales USING (region) WHERE (k - 1) // scale < n // scale),
 d AS (SELECT *, y - avg(y) OVER (PARTITION BY region, scale, seg) AS d FROM g), c AS (SELECT *, sum(d) OVER (PARTITION BY region, scale, seg ORDER BY i) AS c FROM d),
-r AS (SELECT region, scale, seg, max(c) - min(c) AS range, stddev_pop(y) AS s FROM c GROUP BY 1, 2, 3), a AS (SELECT region, scale, avg(range / s) AS rs FROM r WHERE s > 0 GROUP BY 1, 2)
+r AS (SELECT region, scale, seg, max(c) - min(c) AS range, stddev_samp(y) AS s FROM c GROUP BY 1, 2, 3), a AS (SELECT region, scale, avg(range / s) AS rs FROM r WHERE s > 0 GROUP BY 1, 2)
 SELECT region, round(regr_slope(ln(rs), ln(scale)), 6) AS hurst FROM a WHERE rs > 0 GROUP BY 1""")
 def _(spark, sf):
     return rounded(X.hurst_exponent(monthly(spark, sf), KEY), hurst=6)
@@ -284,15 +307,36 @@ def _(spark, sf):
     return rounded(X.canonical_features(monthly(spark, sf), KEY).select("region", "longstretch1", "mean3_stderr", "motif3_hh"), mean3_stderr=6, motif3_hh=6)
 
 
-@query("o104_canonical_features_all")
+_ACF40 = ACF.replace("range(1, 13)", "range(1, 41)")
+_MORE = f"""{_ACF40}, lagged AS (SELECT *, coalesce(lag(r) OVER w, 1) AS before, lead(r) OVER w AS after, -0.5 * ln(greatest(1 - r * r, 1e-12)) AS ami FROM acf WINDOW w AS (PARTITION BY region ORDER BY lag)),
+ami AS (SELECT *, lag(ami) OVER w AS ab, lead(ami) OVER w AS aa FROM lagged WINDOW w AS (PARTITION BY region ORDER BY lag)),
+ac AS (SELECT region, coalesce(min(lag - 1 + (before - exp(-1)) / (before - r)) FILTER (r < exp(-1) AND before >= exp(-1)), 40) AS f1ecac, coalesce(min(lag) FILTER (r < before AND r < after), 40)::DOUBLE AS first_min_ac,
+  coalesce(min(lag) FILTER (ami < ab AND ami < aa), 40)::DOUBLE AS fmmi FROM ami GROUP BY 1),
+zz AS (SELECT region, d / (SELECT stddev_samp(x.d) FROM d x WHERE x.region = d.region) AS z FROM d), zb AS (SELECT region, min(z) AS lo, max(z) AS hi FROM zz GROUP BY 1),
+zh AS (SELECT region, lo, hi, least(floor((z - lo) * 10 / (hi - lo)), 9) AS bin, count(*) AS n FROM zz JOIN zb USING (region) GROUP BY 1, 2, 3, 4),
+mo AS (SELECT region, lo + (bin + 0.5) * (hi - lo) / 10 AS mode_10 FROM zh QUALIFY row_number() OVER (PARTITION BY region ORDER BY n DESC, bin) = 1)"""
+SQL["o104_canonical_features_all"] = f"""SELECT * FROM ({SQL["o104_canonical_features"]}) JOIN (WITH {_MORE} SELECT region, round(f1ecac, 6) AS f1ecac, first_min_ac, fmmi, round(mode_10, 6) AS mode_10 FROM ac JOIN mo USING (region)) USING (region)"""
+
+
+@query("o104_canonical_features_all", SQL["o104_canonical_features_all"])
 def _(spark, sf):
-    return rounded(X.canonical_features(monthly(spark, sf, "country"), CKEY), f1ecac=6, mean3_stderr=6, mode_10=6, motif3_hh=6)
+    return rounded(X.canonical_features(monthly(spark, sf), KEY), f1ecac=6, mean3_stderr=6, mode_10=6, motif3_hh=6)
+
+
+def _by_region(sql: str) -> str:
+    """SQL over series of countries as SQL over series of regions."""
+    return sql.replace("country", "region").replace(COUNTRY.replace("country", "region"), REGION) if COUNTRY in sql else sql
+
 
+_PARTS = [SQL[f"o{x}"] for x in ("96_distribution_features", "97_acf_features", "98_peak_features", "99_zero_crossing", "100_spectral_features", "101_entropy_features", "102_histogram_entropy", "103_dfa", "103_hurst", "104_canonical_features_all")]
+_WIDE = "SELECT * FROM " + " JOIN ".join(f"({_by_region(x)})" + (" USING (region)" if i else "") for i, x in enumerate(_PARTS))
 
-@query("o105_feature_matrix")
+
+@query("o105_feature_matrix", _WIDE)
 def _(spark, sf):
-    df = X.feature_matrix(monthly(spark, sf), KEY)
-    return rounded(df, **{c: 6 for c in df.columns if c not in ("region", "n_peaks")})
+    df = X.feature_matrix(monthly(spark, sf), KEY).withColumn("max_power_m", F.col("max_power") / 1e6).drop("max_power")
+    digits = {"mean": 4, "std": 2, "mean_abs_dev": 2, "median_abs_dev": 4, "iqr": 4, "peak_mean": 3, "peak_std": 2, "max_power_m": 3, "dominant_freq": 8}
+    return rounded(df, **{c: digits.get(c, 6) for c in df.columns if c not in ("region", "n_peaks")})
 
 
 def vectors(spark, sf, least: int = 0, most: int = 1 << 62) -> DataFrame:
@@ -320,7 +364,13 @@ def _(spark, sf):
     return rounded(V.class_similarity(vectors(spark, sf), "label", "v"), distance=6, closer=6)
 
 
-QUERIES["o112_class_similarity"], SQL["o112_class_similarity"] = QUERIES["o58_percentile_of_pair"], SQL["o58_percentile_of_pair"]
+@query("o112_class_similarity", f"""WITH {CENTROIDS}, b AS (SELECT label_a AS label, label_b AS other, cosine FROM pairs UNION ALL SELECT label_b, label_a, cosine FROM pairs)
+SELECT label::BIGINT AS label, arg_min(other, cosine)::BIGINT AS closest, round(min(cosine), 6) AS distance FROM b GROUP BY 1""")
+def _(spark, sf):
+    """The most similar class of every class, by the cosine of centroids."""
+    pairs = V.class_similarity(vectors(spark, sf), "label", "v", "cosine")
+    both = pairs.select(F.col("label_a").alias("label"), F.col("label_b").alias("closest"), "distance").union(pairs.select("label_b", "label_a", "distance"))
+    return rounded(T.best_per_group(both, ["label"], ["distance", "closest"]), distance=6)
 
 
 @query("o110_pairwise_distance", f"WITH {CENTROIDS} SELECT label_a::BIGINT AS label_a, label_b::BIGINT AS label_b, round(cosine, 6) AS distance FROM pairs")
@@ -362,19 +412,23 @@ def _(spark, sf):
     return rounded(V.silhouette(_region_vectors(spark, sf), "country", "v", "region"), silhouette=6)
 
 
-@query("o75_sample_per_class")
+@query("o75_sample_per_class", "SELECT vec_id, label::BIGINT AS label FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5(vec_id || ':7'), vec_id) <= 10")
 def _(spark, sf):
-    return V.sample_per_class(vectors(spark, sf), "label", "vec_id", 10).select("vec_id", "label")
+    return rounded(V.sample_per_class(vectors(spark, sf), "label", "vec_id", 10).select("vec_id", "label"))
 
 
-@query("o76_stratified_split")
+@query("o76_stratified_split", """SELECT vec_id, label::BIGINT AS label, CASE WHEN k <= floor(n * 0.7::DOUBLE) THEN 'train' WHEN k <= floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(vec_id || ':7'), vec_id) AS k, count(*) OVER (PARTITION BY label) AS n FROM embeddings)""")
 def _(spark, sf):
-    return V.stratified_split(vectors(spark, sf), "label", "vec_id").select("vec_id", "label", "split")
+    return rounded(V.stratified_split(vectors(spark, sf), "label", "vec_id").select("vec_id", "label", "split"))
+
+
+_MARK = "('0x' || substr(md5(label || ':' || (vec_id // 20) || ':7'), 1, 8))::BIGINT % 100"
 
 
-@query("o77_block_split")
+@query("o77_block_split", f"SELECT vec_id, label::BIGINT AS label, vec_id // 20 AS block, CASE WHEN {_MARK} < 70 THEN 'train' WHEN {_MARK} < 85 THEN 'val' ELSE 'test' END AS split FROM embeddings")
 def _(spark, sf):
-    return V.block_split(vectors(spark, sf), "label", "vec_id", 20).select("vec_id", "label", "block", "split")
+    return rounded(V.block_split(vectors(spark, sf), "label", "vec_id", 20).select("vec_id", "label", "block", "split"))
 
 
 def _standard_features(spark, sf) -> tuple[DataFrame, list[str]]:
@@ -430,18 +484,18 @@ def _(spark, sf):
 
 @query("o114_dense_classifier")
 def _(spark, sf):
-    return V.dense_classifier(*_parts(spark, sf), "vec_id", "label", "v", [64, 24, 10], iterations=30)
+    return V.dense_classifier(*_parts(spark, sf), "vec_id", "label", "v", [64, 24, 10])
 
 
 @query("o115_margin_classifier")
 def _(spark, sf):
-    return V.margin_classifier(*_parts(spark, sf), "vec_id", "label", "v", 16, iterations=5)
+    return V.margin_classifier(*_parts(spark, sf), "vec_id", "label", "v", 16)
 
 
 @query("o116_tune_grid")
 def _(spark, sf):
     train, test = _parts(spark, sf)
-    return V.tune_grid(train.where("vec_id % 5 <> 1"), train.where("vec_id % 5 = 1"), "vec_id", "label", "v", [8], [0.01, 0.1])
+    return V.tune_grid(train.where("vec_id % 5 <> 1"), train.where("vec_id % 5 = 1"), "vec_id", "label", "v", [8, 16], [0.01, 0.1])
 
 
 @query("o117_classification_report", f"""WITH {_KNN}, c AS (SELECT label AS c FROM knn UNION SELECT prediction FROM knn), r AS (SELECT c, count(*) FILTER (label = c) AS support, count(*) FILTER (label = c AND prediction = c) AS hit, count(*) FILTER (prediction = c) AS said FROM c, knn GROUP BY c)

@@ -44,14 +44,22 @@ def rounded(df: DataFrame, **digits: int) -> DataFrame:
     return df.select(*out)
 
 
-def query(name: str, sql: str | None = None):
-    def register(f):
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = sql
-        return f
+def query_into(queries: dict, texts: dict):
+    """A decorator that registers a plan by name, with the SQL that checks it."""
 
-    return register
+    def query(name: str, sql: str | None = None):
+        def register(f):
+            queries[name] = f
+            if sql is not None:
+                texts[name] = sql
+            return f
+
+        return register
+
+    return query
+
+
+query = query_into(QUERIES, SQL)
 
 
 def monthly(spark, sf, key="region") -> DataFrame:
@@ -138,7 +146,7 @@ def _(spark, sf):
     return S.fill_nonfinite(df, ["event_type"], ["x"], "event_id").select("event_id", "x")
 
 
-@query("o20_drop_constant_columns")
+@query("o20_drop_constant_columns", "SELECT l_orderkey, l_quantity, l_discount FROM lineitem")
 def _(spark, sf):
     df = table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", F.lit(1.0).alias("constant"), "l_discount")
     return S.drop_constant_columns(df, ["l_quantity", "constant", "l_discount"])
@@ -330,6 +338,15 @@ def _(spark, sf):
     return rounded(P.corr_matrix(_region_months(spark, sf), ["asia", "europe", "africa"], "spearman"), r=6)
 
 
+_STRONG = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM o" for a, b in (("price", "logged"), ("price", "customer"), ("logged", "customer")))
+
+
+@query("o48_strong_pairs", f"WITH o AS (SELECT o_totalprice AS price, ln(1 + o_totalprice) AS logged, o_custkey AS customer FROM orders) SELECT a, b, round(r, 6) AS r FROM ({_STRONG}) WHERE abs(r) > 0.8")
+def _(spark, sf):
+    rows = table(spark, sf, "orders").select(F.col("o_totalprice").alias("price"), S.log_scale("o_totalprice").alias("logged"), F.col("o_custkey").alias("customer"))
+    return rounded(P.strong_pairs(P.corr_matrix(rows, ["price", "logged", "customer"]), 0.8), r=6)
+
+
 @query("o49_trend_slope", f"WITH {series_sql('country')} SELECT country, round(regr_slope(y, k - 1), 4) AS slope, round(regr_intercept(y, k - 1), 2) AS intercept FROM numbered GROUP BY 1")
 def _(spark, sf):
     return rounded(P.trend_slope(T.with_index(monthly(spark, sf, "country"), ["country"]), ["country"]), slope=4, intercept=2)
@@ -416,9 +433,11 @@ def _(spark, sf):
     return T.extremes(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", ["o_orderkey"], 5)
 
 
-@query("o71_sort_by_order", f"WITH {FACTS} SELECT region, round(sum(measure), 2) AS y FROM facts GROUP BY 1")
+@query("o71_sort_by_order", f"WITH {FACTS} SELECT region, round(sum(measure), 2) AS y, row_number() OVER (ORDER BY CASE region WHEN 'EUROPE' THEN 0 WHEN 'ASIA' THEN 1 WHEN 'AMERICA' THEN 2 ELSE 3 END, region) - 1 AS place FROM facts GROUP BY 1")
 def _(spark, sf):
-    return rounded(T.sort_by_order(T.total_by(facts(spark, sf), ["region"], "measure"), "region", ["EUROPE", "ASIA", "AMERICA"]), y=2)
+    # A row's place is its number in its partition and the rows in the partitions before, as the sort leaves them.
+    rows = T.sort_by_order(T.total_by(facts(spark, sf), ["region"], "measure"), "region", ["EUROPE", "ASIA", "AMERICA"]).coalesce(1)
+    return rounded(rows.withColumn("place", F.monotonically_increasing_id()), y=2)
 
 
 @query("o72_last_n", f"WITH {series_sql('country')} SELECT country, ds::VARCHAR AS ds, round(y, 2) AS y FROM numbered WHERE k > n - 12")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import advanced, basic
+from tidemark.plans import advanced, basic, files
 
-QUERIES: dict = {**basic.QUERIES, **advanced.QUERIES}
-SQL: dict = {**basic.SQL, **advanced.SQL}
+QUERIES: dict = {**basic.QUERIES, **advanced.QUERIES, **files.QUERIES}
+SQL: dict = {**basic.SQL, **advanced.SQL, **files.SQL}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

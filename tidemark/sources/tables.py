@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import struct
+import tempfile
+import uuid
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +38,51 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of that name where driver and executors share it, in the folder set as spark.checkpoint.dir; only a local session may go without."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def png(width: int, height: int, rgb: bytes) -> bytes:
+    """A PNG file of 8-bit RGB values, row by row, without compression."""
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = b"".join(b"\0" + rgb[i : i + 3 * width] for i in range(0, len(rgb), 3 * width))
+    head = struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows, 0)) + chunk(b"IEND", b"")
+
+
+def write_images(df: DataFrame, path: str) -> DataFrame:
+    """Write a PNG file for every row of ``df`` (label, name, width, height, rgb) to a folder a label in the shared folder ``path``; returns (label, name, path).
+
+    A task that is repeated writes the same files again.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        made: set = set()
+        for frame in batches:
+            out = []
+            for label, name, width, height, rgb in frame[["label", "name", "width", "height", "rgb"]].itertuples(index=False):
+                if label not in made:
+                    system.create_dir(f"{root}/{label}", recursive=True)
+                    made.add(label)
+                with system.open_output_stream(f"{root}/{label}/{name}.png", compression=None) as sink:
+                    sink.write(png(width, height, np.asarray(rgb, np.uint8).tobytes()))
+                out.append((label, name, f"{path}/{label}/{name}.png"))
+            yield pd.DataFrame(out, columns=["label", "name", "path"])
+
+    manifest = df.select(F.col("label").cast("string").alias("label"), F.col("name").cast("string").alias("name"), "width", "height", "rgb").mapInPandas(write, "label string, name string, path string")
+    manifest.write.parquet(f"{path}-manifest")
+    return df.sparkSession.read.parquet(f"{path}-manifest")
+
+
 def image_inventory(spark: SparkSession, path: str) -> DataFrame:
     """(label, n_images, avg_kb): files by the folder that names their class; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{png,jpg,jpeg}").load(path)
