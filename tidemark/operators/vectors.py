@@ -28,6 +28,8 @@ def cosine(a: str, b: str) -> Column:
     return F.expr(f"1 - try_divide({dot(a, b)}, sqrt({dot(a, a)}) * sqrt({dot(b, b)}))")
 
 
+#: Bytes of training vectors that meet test rows in a task, and rows of a block.
+TRAIN_BYTES, BLOCK_ROWS = 8 << 20, 4096
 METRICS = {"euclidean": euclidean, "cosine": cosine}
 
 
@@ -69,14 +71,36 @@ def class_similarity(df: DataFrame, label: str, vec: str, metric: str = "euclide
 
 
 def silhouette(df: DataFrame, key: str, vec: str, cluster: str) -> DataFrame:
-    """(key, cluster, silhouette) by plain Euclidean distance to all others: for moderate tables; 0 for clusters of one."""
-    a = df.select(F.col(key), F.col(cluster), F.col(vec).alias("__va"))
-    b = df.select(F.col(key).alias("__k"), F.col(cluster).alias("__c"), F.col(vec).alias("__vb"))
-    mean = a.join(b, F.col(key) != F.col("__k")).groupBy(key, cluster, "__c").agg(F.avg(euclidean("__va", "__vb")).alias("d"))
-    own, other = F.max(F.when(F.col("__c") == F.col(cluster), F.col("d"))), F.min(F.when(F.col("__c") != F.col(cluster), F.col("d")))
-    return mean.groupBy(key, cluster).agg(own.alias("own"), other.alias("other")).select(
-        key, cluster, F.when(F.col("own").isNull() | F.col("other").isNull(), F.lit(0.0)).otherwise(F.coalesce(F.expr("try_divide(other - own, greatest(own, other))"), F.lit(0.0))).alias("silhouette")
-    )
+    """(key, cluster, silhouette) by plain Euclidean distance to all others; 0 for clusters of one. Keys are unique.
+
+    Rows are cut into blocks; every two blocks meet in a task of bounded size, and only sums of distances by row and cluster leave it.
+    """
+    n = max(1, -(-df.count() // BLOCK_ROWS))
+    block, every = F.pmod(F.xxhash64(key), F.lit(n)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    plain = df.select(F.col(key).cast("string").alias("key"), F.col(cluster).cast("string").alias("cluster"), F.col(vec).cast("array<double>").alias("v"), block.alias("own"))
+    a = plain.withColumnRenamed("own", "i").withColumn("j", every)
+    b = plain.select(F.col("key").alias("other"), F.col("cluster").alias("theirs"), F.col("v").alias("w"), F.col("own").alias("j"), every.alias("i"))
+
+    def sums(rows: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(rows) and len(others):
+            y, theirs = np.stack(others["w"].to_numpy()), others["other"].to_numpy()
+            groups = {c: np.flatnonzero(others["theirs"].to_numpy() == c) for c in others["theirs"].unique()}
+            for own, mine, v in zip(rows["key"], rows["cluster"], rows["v"]):
+                d = np.sqrt(((y - v) ** 2).sum(1))
+                for c, at in groups.items():
+                    at = at[theirs[at] != own]
+                    if len(at):
+                        out.append((own, mine, c, float(d[at].sum()), len(at)))
+        return pd.DataFrame(out, columns=["key", "cluster", "c", "d", "n"])
+
+    found = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(sums, "key string, cluster string, c string, d double, n long")
+    mean = found.groupBy("key", "cluster", "c").agg((F.sum("d") / F.sum("n")).alias("d"))
+    own, other = F.max(F.when(F.col("c") == F.col("cluster"), F.col("d"))), F.min(F.when(F.col("c") != F.col("cluster"), F.col("d")))
+    value = F.when(F.col("own").isNull() | F.col("other").isNull(), F.lit(0.0)).otherwise(F.coalesce(F.expr("try_divide(other - own, greatest(own, other))"), F.lit(0.0)))
+    kinds = dict(df.dtypes)
+    rows = mean.groupBy("key", "cluster").agg(own.alias("own"), other.alias("other"))
+    return rows.select(F.col("key").cast(kinds[key]).alias(key), F.col("cluster").cast(kinds[cluster]).alias(cluster), value.alias("silhouette"))
 
 
 def _features(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -133,13 +157,25 @@ def best_k(clusters: DataFrame) -> DataFrame:
     return by_k.withColumn("best", F.row_number().over(W.orderBy(F.desc("silhouette"), "k")) == 1)
 
 
+def with_next(df: DataFrame, label: str, order: Sequence[str | Column], vec: str, name: str) -> DataFrame:
+    """Column ``name``: the vector of the next row of the label, null for its last.
+
+    Ranges of (label, order) are walked by themselves; the first vector of each range goes to the range before, so that no task holds a whole label.
+    """
+    places = {f"__o{i}": c if isinstance(c, Column) else F.col(c) for i, c in enumerate(order)}
+    rows = df.withColumns(places).repartitionByRange(label, *places).withColumn("__part", F.spark_partition_id())
+    firsts = rows.groupBy(label, "__part").agg(F.min_by(vec, F.struct(*places)).alias("__first"))
+    firsts = firsts.select(F.col(label).alias("__label"), F.col("__part").alias("__in"), F.lead("__first").over(W.partitionBy(label).orderBy("__part")).alias("__then"))
+    near = F.lead(vec).over(W.partitionBy(label, "__part").orderBy(*places))
+    joined = rows.join(firsts, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__part") == F.col("__in")))
+    return joined.withColumn(name, F.coalesce(near, "__then")).select(*df.columns, name)
+
+
 def adjacent_vs_distant(df: DataFrame, label: str, order: str, vec: str, seed: int = 7) -> DataFrame:
     """(label, adjacent, distant): mean absolute difference of neighbours, and of vectors paired by a seeded order."""
-    gap = lambda a, b: F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> abs(cast(x as double) - y)), 0D, (s, d) -> s + d) / size({a})")
-    near = df.withColumn("__n", F.lead(vec).over(W.partitionBy(label).orderBy(order))).where("__n is not null").groupBy(label).agg(F.avg(gap(vec, "__n")).alias("adjacent"))
-    mixed = W.partitionBy(label).orderBy(F.pmod(F.col(order) * 7919 + seed, F.lit(104729)), order)
-    far = df.withColumn("__n", F.lead(vec).over(mixed)).where("__n is not null").groupBy(label).agg(F.avg(gap(vec, "__n")).alias("distant"))
-    return near.join(far, label)
+    gap = F.expr(f"aggregate(zip_with({vec}, __n, (x, y) -> abs(cast(x as double) - y)), 0D, (s, d) -> s + d) / size({vec})")
+    mean = lambda how, name: with_next(df, label, how, vec, "__n").where("__n is not null").groupBy(label).agg(F.avg(gap).alias(name))
+    return mean([order], "adjacent").join(mean([F.pmod(F.col(order) * 7919 + seed, F.lit(104729)), order], "distant"), label)
 
 
 def scramble(key: str | Column, seed: int) -> Column:
@@ -184,10 +220,6 @@ def block_split(df: DataFrame, label: str, frame: str, block: int, shares: Seque
     return df.withColumns({"block": number, "split": out.otherwise(shares[-1][0])})
 
 
-#: Bytes of training vectors that meet a test row at once, and test rows of a block.
-TRAIN_BYTES, TEST_ROWS = 8 << 20, 4096
-
-
 def _vote(top: DataFrame, key: str, label: str, k: int) -> DataFrame:
     """(key, label, prediction) from neighbours (key, label, __k, __l, d): the vote of the k nearest, ties by nearness."""
     top = top.withColumn("r", F.row_number().over(W.partitionBy(key).orderBy("d", "__k"))).where(F.col("r") <= k)
@@ -203,7 +235,7 @@ def knn_classify(train: DataFrame, test: DataFrame, key: str, label: str, vec: s
     bounded size, as one matrix product, and only the k nearest of each test row and block leave it. Keys are unique.
     """
     sizes = train.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("w")).first()
-    n_train, n_test = max(1, -(-int(sizes["n"] or 0) * int(sizes["w"] or 1) * 8 // TRAIN_BYTES)), max(1, -(-test.count() // TEST_ROWS))
+    n_train, n_test = max(1, -(-int(sizes["n"] or 0) * int(sizes["w"] or 1) * 8 // TRAIN_BYTES)), max(1, -(-test.count() // BLOCK_ROWS))
     block = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     plain = lambda df: df.select(F.col(key).cast("long").alias("key"), F.col(label).cast("string").alias("label"), F.col(vec).cast("array<double>").alias("v"), block(n_train if df is train else n_test).alias("own"))
