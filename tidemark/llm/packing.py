@@ -1,16 +1,15 @@
 """Best-fit packing of documents into sequences of a fixed number of tokens.
 
-Documents become pieces of at most ``capacity`` tokens. Packing is bulk-synchronous. Pieces
-and gaps are held in order of size; in each superstep the longest pieces not yet placed sweep
-the gaps upwards from their successor, the least gap that holds them, and every gap takes as
-many as fit, so that all pieces of one length are placed at once. Pieces that
-want the same gap are told apart by rank, then the gaps are updated, and what found none opens sequences.
-
-Sizes are whole numbers up to ``capacity``, so the sweeps need only the number of pieces of each size
-(at most ``capacity`` rows at the driver, whatever the corpus). A superstep gives intervals: pieces
-of length L and ranks r0 to r1 lie from sequence s0 on, q to a sequence. Every piece finds its interval by a
-successor search with its length and rank; ranks come from counts by (length, split) and
-a rank within these, so that no task holds a whole length.
+Documents become pieces of at most ``capacity`` tokens. Packing is bulk-synchronous. In each superstep the pieces of
+the longest lengths not yet placed, a band of lengths, meet the gaps of all open sequences. Both are ranked by size: counts by
+size and split and ranks within these give every piece and every gap its place in one order without a task that holds a whole
+size. A sweep over the prefix counts says at which level of that order a gap opens and a piece closes it, so that each piece finds its
+successor, the smallest gap left that holds it; pieces that want the same gap have different ranks and so different levels, and
+a join by level brings them together. What finds no gap opens sequences, as many pieces to each as fit. Then the gaps are
+updated, and the next band follows.
+
+The driver holds counts by size (at most ``capacity`` of them, whatever the corpus) and the number of sequences; pieces and gaps are rows
+in written tables, so a superstep can be repeated if executors are lost.
 """
 
 from __future__ import annotations
@@ -19,12 +18,11 @@ import codecs
 import os
 import re
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,10 +30,10 @@ from pyspark.sql import types as T
 from tidemark.llm.common import table, written
 
 CAPACITY, END_ID = 2048, 0
-#: Pieces per split of a length, and the most splits.
-SPLIT_ROWS, MOST_SPLITS = 100_000, 256
-#: Words whose ids a task keeps, and the longest of them.
-CACHE_WORDS, CACHE_BYTES = 400_000, 64
+#: Rows per split of a size; ranks are the same for any number of splits.
+SPLIT_ROWS = 100_000
+#: Words and parts of words whose ids a task keeps, and the longest of them.
+CACHE_WORDS, CACHE_BYTES = 800_000, 64
 
 PIECES = T.ArrayType(T.StructType([
     T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()),
@@ -48,8 +46,9 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: A line that is letters of Latin alphabets in lower case, with or without punctuation but apostrophes behind them, or else any line.
-_SIMPLE = re.compile(r"^(?:([a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff\u0100-\u017f]+)([!-&(-/:-@\[-`{-~]*)|(.*))$", re.M)
+#: ASCII punctuation but apostrophes, and letters of Latin alphabets in lower case.
+_PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_LATIN = re.compile("[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff\u0100-\u017f]+")
 
 
 class WordIds:
@@ -78,38 +77,43 @@ class WordIds:
             for byte, shown in zip(chr(c).encode(), visible.pre_tokenize_str(chr(c))[0][0]):
                 by_byte[byte] = shown
         self.shown = "".join(chr(b) if b < 0x80 else by_byte.get(b, "\ufffe") for b in range(256))
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        if not new:
-            return {}
-        found = _SIMPLE.findall(b"\n".join(new).decode().lower())
-        if len(found) != len(new):  # lower-casing made a line break, which no letter does
-            found = [("", "", "x")] * len(new)
-        parts = self.parts
-        wanted = {x[0] for x in found}
-        wanted.update([x[1] for x in found])
-        wanted.discard("")
-        if len(parts) > CACHE_WORDS:
-            parts = self.parts = {}
-        unknown = [x for x in wanted if x not in parts]
-        for i in range(0, len(unknown), 1000):
-            some = unknown[i : i + 1000]
-            text = codecs.charmap_decode(" ".join(some).encode(), "strict", self.shown)[0]
+        #: Ids of words and of parts of words.
+        self.known: dict[bytes, bytes] = {b"": b""}
+
+    def _encode_parts(self, parts: list[bytes]) -> None:
+        for i in range(0, len(parts), 1000):
+            some = parts[i : i + 1000]
+            text = codecs.charmap_decode(b" ".join(some), "strict", self.shown)[0]
             ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
             assert len(cuts) == len(some)
             blob, start = ids.tobytes(), 0
             for part, end in zip(some, cuts.tolist()):
-                parts[part] = blob[start:end]
+                self.known[part] = blob[start:end]
                 start = end
-        parts[""] = b""
-        fresh = {w: parts[core] + parts[tail] for w, (core, tail, _) in zip(new, found) if core}
-        rest = [w for w, x in zip(new, found) if not x[0]]
-        for raw, x in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
-            fresh[raw] = np.array(x.ids, "<u4").tobytes()
-        return fresh
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Adds words in lower case; those with letters beyond ASCII may still have capitals."""
+        split, rest = [], []
+        for word in new:
+            core = word.rstrip(_PUNCTUATION)
+            if core.isalpha():  # ASCII letters
+                split.append((word, core, word[len(core) :]))
+            else:
+                rest.append((word, core))
+        whole = []
+        for word, core in rest:
+            if core and not core.isascii() and _LATIN.fullmatch(lower := core.decode().lower()):
+                split.append((word, lower.encode(), word[len(core) :]))
+            else:
+                whole.append(word)
+        wanted = {x[1] for x in split}.union([x[2] for x in split]).difference(self.known)
+        self._encode_parts(list(wanted))
+        known = self.known
+        for word, core, tail in split:
+            known[word] = known[core] + known[tail]
+        for word, x in zip(whole, self.tokenizer.encode_batch_fast([w.decode() for w in whole], add_special_tokens=False)):
+            known[word] = np.array(x.ids, "<u4").tobytes()
 
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
@@ -117,14 +121,15 @@ class WordIds:
             raws = [(x or "").encode("utf-8", "replace") for x in texts[i : i + 128]]
             # The tokenizer lower-cases too, but for its special tokens, which are in lower case and begin with "<|".
             split = [x.split() if b"<|" in x else x.lower().split() for x in raws]
-            if len(self.words) > CACHE_WORDS:
-                self.words = {}
-            fresh = self._learn([w for w in set().union(*split) if w not in self.words])
-            long = {w: fresh.pop(w) for w in [w for w in fresh if len(w) > CACHE_BYTES]}
-            self.words.update(fresh)
-            known = {**self.words, **long} if long else self.words
+            if len(self.known) > CACHE_WORDS:
+                self.known = {b"": b""}
+            new = list(set().union(*split).difference(self.known))
+            self._learn(new)
             for words in split:
-                yield b"".join(map(known.__getitem__, words))
+                yield b"".join(map(self.known.__getitem__, words))
+            for word in new:
+                if len(word) > CACHE_BYTES:
+                    del self.known[word]
 
 
 _loaded: dict[str, WordIds] = {}
@@ -153,75 +158,128 @@ def cut(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_
         for texts in batches:
             yield pd.Series([_pieces_of(x, capacity, end_id) for x in words.batch(texts.tolist())], dtype=object)
 
+    pieces = pieces.asNondeterministic()  # else a filter for empty arrays would run it once more
     return docs.select("doc_id", pieces(F.col("text")).alias("p")).select("doc_id", F.explode("p").alias("p")).select("doc_id", "p.*")
 
 
-def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
-    """Rows (length, r0, s0, q, offset) in order of length and r0, from the number of pieces of each length."""
-    gaps: list[int] = []
-    open_at: dict[int, list[tuple[int, int]]] = {}  # gap: ranges (first sequence, sequences)
-    rows, next_sequence = [], 0
-
-    def put(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in open_at:
-                insort(gaps, gap)
-                open_at[gap] = []
-            open_at[gap].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        while left:
-            at = bisect_left(gaps, length)
-            if at < len(gaps):
-                gap = gaps[at]
-                first, n = open_at[gap].pop(0)
-                if not open_at[gap]:
-                    del open_at[gap], gaps[at]
-            else:
-                gap, first = capacity, next_sequence
-                n = -(-left // (capacity // length))
-                next_sequence += n
-            q = gap // length
-            full = min(n, left // q)
-            rows.append((length, rank, first, q, capacity - gap))
-            put(gap - q * length, first, full)
-            placed = full * q
-            if full < n:
-                over = left - placed
-                put(gap - over * length, first + full, 1)
-                put(gap, first + full + 1, n - full - 1)
-                placed += over
-            left, rank = left - placed, rank + placed
-    return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
+def next_band(lengths: list[int], capacity: int) -> list[int]:
+    """The lengths that the next superstep places, from the longest on: those of which equally many fill a sequence, if these are few, or those of like length."""
+    longest = max(lengths)
+    fit = capacity // longest
+    low = capacity // (fit + 1) if fit <= 4 else int(longest * 0.7)
+    return [x for x in lengths if x > low]
+
+
+def sweep(gaps: dict[int, int], pieces: dict[int, int]) -> tuple[list[tuple], list[tuple], dict[int, int]]:
+    """One sweep over prefix counts, from the largest size downwards, for pieces of about one length.
+
+    A gap that holds several of the longest pieces is cut into as many slots, no more than the pieces need; each slot takes a piece at most. A slot opens a level, a piece
+    closes the highest one, so that it gets the smallest slot that is open, its successor. Returns (gap, slots, length of
+    all slots but the last, level of the first of these, level of the last slots) by gap, (length, first level, pieces with a slot) by length,
+    and the numbers of pieces without one. The k-th slot of a level, by size, belongs to its k-th piece.
+    """
+    longest, n = max(pieces), sum(pieces.values())
+    most = 1
+    while sum(min(g // longest, most) * c for g, c in gaps.items()) < n and most < max(gaps, default=0) // longest:
+        most *= 2
+    slots = {g: max(1, min(g // longest, most)) for g in gaps if g >= min(pieces)}
+    opened: dict[int, list] = {}
+    for g in sorted(slots):
+        m = slots[g]
+        if m > 1:
+            opened.setdefault(longest, []).append((g, True, gaps[g] * (m - 1)))
+        opened.setdefault(g - (m - 1) * longest, []).append((g, False, gaps[g]))
+    level, first, last, closed, left = 0, {}, {}, [], {}
+    for size in sorted({*opened, *pieces}, reverse=True):
+        for g, whole, count in opened.get(size, ()):
+            (first if whole else last)[g] = level
+            level += count
+        if size in pieces:
+            taken = min(pieces[size], level)
+            closed.append((size, level, taken))
+            level -= taken
+            if taken < pieces[size]:
+                left[size] = pieces[size] - taken
+    return [(g, m, longest, first.get(g, 0), last[g]) for g, m in slots.items()], closed, left
+
+
+def ranked(rows: DataFrame, size: str, order: list[str], split: Column) -> DataFrame:
+    """``rows`` with pk_rank, their places from 0 among those of equal ``size`` in order of split and ``order``, from counts by size and split."""
+    rows = rows.withColumn("pk_split", split)
+    sizes = rows.groupBy(F.col(size).alias("pk_size"), F.col("pk_split").alias("pk_of")).agg(F.count(F.lit(1)).alias("pk_n"))
+    before = F.coalesce(F.sum("pk_n").over(W.partitionBy("pk_size").orderBy("pk_of").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("pk_size", "pk_of", before.alias("pk_before"))
+    rank = F.col("pk_before") + F.row_number().over(W.partitionBy(size, "pk_split").orderBy(*order)) - 1
+    joined = rows.join(sizes, F.expr(f"{size} = pk_size and pk_split = pk_of"))
+    return joined.withColumn("pk_rank", rank.cast("long")).drop("pk_size", "pk_split", "pk_of", "pk_before")
+
+
+def superstep(pieces: DataFrame, gaps: DataFrame | None, counts: dict[int, int], n_sequences: int, capacity: int) -> tuple[DataFrame, DataFrame, int]:
+    """Places all pieces (length, pk_rank) of the lengths in ``counts``; returns their rows (length, pk_rank, sequence_id, offset), the gaps left and the number of sequences."""
+    spark = pieces.sparkSession
+    # At most one row a size, whatever the corpus.
+    by_size = {r["gap"]: r["n"] for r in gaps.groupBy("gap").agg(F.count(F.lit(1)).alias("n")).collect()} if gaps is not None else {}
+    opened, closed, left = sweep(by_size, counts)
+    band = pieces.where(F.col("length").between(min(counts), max(counts)))
+    levels, unplaced, parts = [], 0, []
+    for length, level, taken in closed:
+        levels.append((length, level, taken, unplaced))
+        unplaced += left.get(length, 0)
+    levels = spark.createDataFrame(levels, "pk_of int, pk_level long, pk_taken long, pk_unplaced long")
+    band = band.join(F.broadcast(levels), F.col("length") == F.col("pk_of"))
+    if sum(taken for _, _, taken in closed):
+        slots = spark.createDataFrame(opened, "pk_gap int, pk_slots int, pk_slot long, pk_first long, pk_last long")
+        splits = max(1, n_sequences // SPLIT_ROWS)
+        held = ranked(gaps.where(F.col("gap") >= min(counts)), "gap", ["sequence_id"], F.floor(F.col("sequence_id") * splits / n_sequences).cast("int"))
+        held = held.join(F.broadcast(slots), F.col("gap") == F.col("pk_gap")).withColumn("pk_no", F.explode(F.expr("sequence(0, pk_slots - 1)")))
+        own = held.select(
+            "sequence_id", "gap", "pk_no", F.expr("if(pk_no < pk_slots - 1, pk_slot, gap - (pk_slots - 1) * pk_slot)").alias("size"),
+            F.expr("if(pk_no < pk_slots - 1, pk_first + pk_rank * (pk_slots - 1) + pk_no, pk_last + pk_rank)").alias("level"),
+        )
+        asked = band.where("pk_rank < pk_taken").select("length", "pk_rank", F.expr("pk_level - 1 - pk_rank").alias("level"))
+        own = own.withColumn("k", F.row_number().over(W.partitionBy("level").orderBy(F.desc("size"))))
+        asked = asked.withColumn("k", F.row_number().over(W.partitionBy("level").orderBy(F.desc("length"))))
+        earlier = F.coalesce(F.sum("length").over(W.partitionBy("sequence_id").orderBy("pk_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        parts.append(asked.join(own, ["level", "k"]).select("length", "pk_rank", "sequence_id", (F.lit(capacity) - F.col("gap") + earlier).cast("long").alias("offset")))
+    if left:
+        fit = capacity // max(left)
+        place = F.col("pk_unplaced") + F.col("pk_rank") - F.col("pk_taken")
+        new = band.where("pk_rank >= pk_taken").withColumns({"pk_place": place, "sequence_id": F.lit(n_sequences) + F.floor(place / fit)})
+        earlier = F.coalesce(F.sum("length").over(W.partitionBy("sequence_id").orderBy("pk_place").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        parts.append(new.select("length", "pk_rank", "sequence_id", earlier.cast("long").alias("offset")))
+        n_sequences += -(-unplaced // fit)
+    placed = written(parts[0] if len(parts) == 1 else parts[0].union(parts[1]), "placed")
+    taken = placed.groupBy(F.col("sequence_id").alias("pk_of")).agg(F.sum("length").alias("pk_taken"))
+    if gaps is None:
+        rest = taken.select(F.col("pk_of").alias("sequence_id"), (F.lit(capacity) - F.col("pk_taken")).cast("int").alias("gap"))
+    else:
+        rest = gaps.join(taken, F.col("sequence_id") == F.col("pk_of"), "full").select(
+            F.coalesce("sequence_id", "pk_of").alias("sequence_id"), (F.coalesce("gap", F.lit(capacity)) - F.coalesce("pk_taken", F.lit(0))).cast("int").alias("gap")
+        )
+    return placed, written(rest.where("gap > 0"), "gaps"), n_sequences
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces``, a written table with doc_id, piece and length, with sequence_id and offset.
+    """``pieces``, a written table with doc_id, piece, length and ids_crc32, with sequence_id and offset.
 
-    Pieces of a length are placed in order of doc_id and piece within their split; repeated rows are packed each. An empty table gives an
+    Which of several pieces of one length goes where is settled by a hash of doc_id, piece and ids; repeated rows are packed each. An empty table gives an
     empty result. Columns of the names sequence_id and offset are replaced.
     """
     pieces = pieces.drop("sequence_id", "offset")
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    splits = max(1, min(MOST_SPLITS, sum(counts.values()) // SPLIT_ROWS))
-    keyed = pieces.withColumn("pk_split", F.pmod(F.xxhash64("doc_id"), F.lit(splits)).cast("int"))
-    sizes = keyed.groupBy(F.col("length").alias("pk_length"), F.col("pk_split").alias("pk_of")).agg(F.count(F.lit(1)).alias("pk_n"))
-    before = F.coalesce(F.sum("pk_n").over(W.partitionBy("pk_length").orderBy("pk_of").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("pk_length", "pk_of", before.alias("pk_before"))
-    rank = F.col("pk_before") + F.row_number().over(W.partitionBy("length", "pk_split").orderBy("doc_id", "piece")) - 1
-    ranked = keyed.join(sizes, F.expr("length = pk_length and pk_split = pk_of")).withColumn("pk_rank", rank)
-    rows = pieces.sparkSession.sparkContext.broadcast(plan(counts, capacity))
-
-    @F.pandas_udf("sequence_id long, offset long")
-    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        p, n = rows.value, rank.to_numpy()
-        size = length.to_numpy()
-        at = np.searchsorted(p[:, 0] << 44 | p[:, 1], size << 44 | n, side="right") - 1
-        from_start, q = n - p[at, 1], p[at, 3]
-        return pd.DataFrame({"sequence_id": p[at, 2] + from_start // q, "offset": p[at, 4] + from_start % q * size})
-
-    return ranked.withColumn("pk_place", place("length", "pk_rank")).select(*pieces.columns, "pk_place.sequence_id", "pk_place.offset")
+    counts = {r["length"]: r["n"] for r in pieces.groupBy(F.col("length").cast("int").alias("length")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+    bits = max(1, (sum(counts.values()) // SPLIT_ROWS).bit_length())
+    hashed = pieces.withColumn("pk_hash", F.xxhash64("doc_id", "piece", "ids_crc32", "start"))
+    rows = ranked(hashed, "length", ["pk_hash", "doc_id", "piece"], F.shiftrightunsigned("pk_hash", 64 - bits).cast("int"))
+    rows = written(rows.drop("pk_hash"), "ranked-pieces")
+    keys, gaps, n_sequences, placed = rows.select(F.col("length").cast("int").alias("length"), "pk_rank"), None, 0, None
+    while counts:
+        band = next_band(list(counts), capacity)
+        some, gaps, n_sequences = superstep(keys, gaps, {x: counts.pop(x) for x in band}, n_sequences, capacity)
+        placed = some if placed is None else placed.union(some)
+    placed = placed.select(F.col("length").alias("pk_length"), F.col("pk_rank").alias("pk_of"), "sequence_id", "offset")
+    return rows.join(placed, F.expr("length = pk_length and pk_rank = pk_of")).select(*pieces.columns, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
