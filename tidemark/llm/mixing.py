@@ -18,15 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import n_words, table
+from tidemark.llm.common import n_words, table, written
 
-#: Documents per split of a (source, size) bucket, and the most splits.
-SPLIT_ROWS, MOST_SPLITS = 400_000, 256
+#: Documents per split of the ids; ranks are the same for any number of splits.
+SPLIT_ROWS = 100_000
 
 
 def in_splits(docs: DataFrame, splits: int) -> DataFrame:
-    """``docs`` with mix_tie, which orders rows without a doc_id, and mix_split, ranges of (doc_id, mix_tie), null ids last."""
-    tied = docs.withColumn("mix_tie", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
+    """``docs`` with mix_tie, which orders rows with one doc_id or none, and mix_split, ranges of (doc_id, mix_tie), null ids last."""
+    tied = docs.withColumn("mix_tie", F.xxhash64("text"))
     if splits == 1:
         return tied.withColumn("mix_split", F.lit(0))
     keyed = tied.withColumn("mix_key", F.col("doc_id").cast("double"))
@@ -61,17 +61,21 @@ def source_targets(sizes: DataFrame, share: float, weights: tuple[int, ...], cap
 
 
 def mix_sources(
-    docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (3, 1, 2), cap: float = 2.0, seed: str = "mix"
+    docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (3, 1, 2), cap: float = 2.0, seed: str = "mix", keep: list[str] | None = None
 ) -> DataFrame:
-    """Every row of ``docs`` with mix_size, mix_source_size, mix_target, mix_copies, mix_taken.
+    """Every row of ``docs`` with mix_size, mix_source_size, mix_target, mix_copies, mix_taken; of its columns those in ``keep``, or all.
 
     Sources stand in order of code points with null last; ``weights`` repeat over them. A null
     text has size 0. A source without words has target 0 and takes no copies. Repeated rows count each. An empty table gives an empty result.
     Columns whose names begin with ``mix_`` are replaced; all others pass through.
     """
     docs = docs.select([c for c in docs.columns if not c.startswith("mix_")])
-    splits = max(1, min(MOST_SPLITS, docs.count() // SPLIT_ROWS))
+    columns = docs.columns if keep is None else [c for c in keep if c in docs.columns]
+    splits = max(1, docs.count() // SPLIT_ROWS)
     sized = in_splits(docs, splits).withColumn("mix_size", n_words("text"))
+    sized = sized.select(*dict.fromkeys([*columns, "doc_id", "source", "mix_tie", "mix_split", "mix_size"]))
+    if "text" not in columns:
+        sized = written(sized, "sized")  # words are counted once; with the texts it would be a copy of the corpus
     buckets = sized.groupBy(F.col("source").alias("mix_source"), "mix_size", "mix_split").agg(F.count(F.lit(1)).alias("mix_n"))
     sources = buckets.groupBy("mix_source").agg(F.sum(F.col("mix_size") * F.col("mix_n")).alias("mix_source_size"))
     targets = source_targets(sources, share, weights, cap)
@@ -93,7 +97,7 @@ def mix_sources(
             (F.floor(F.expr("mix_rank * mix_each + mix_offset")) - F.floor(F.expr("(mix_rank - 1) * mix_each + mix_offset"))).cast("long"),
         )
         .withColumn("mix_taken", F.col("mix_copies") * F.col("mix_size"))
-        .drop("mix_split", "mix_tie", "mix_source", "mix_bucket_size", "mix_bucket_split", "mix_before", "mix_rank", "mix_each", "mix_offset")
+        .select(*columns, "mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_taken")
     )
 
 
@@ -106,7 +110,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix_sources(docs).select(
+    return mix_sources(docs, keep=["doc_id"]).select(
         "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
         F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"),
     )
