@@ -112,23 +112,30 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - third] + following[:third]
 
 
+def _keyed(docs: DataFrame, *columns) -> DataFrame:
+    """Rows with key and tie, which order them, and key_d, a number in the same order: rows without a doc_id lie below all others, by a hash of their text."""
+    tie = F.xxhash64(F.coalesce("text", F.lit("")))
+    number = F.when(F.col("doc_id").isNull(), F.lit(-(2.0**64)) + tie / 2).otherwise(F.col("doc_id").cast("double"))
+    return docs.select(*columns, F.coalesce("doc_id", F.lit(_FIRST)).alias("key"), tie.alias("tie"), number.alias("key_d"))
+
+
 def in_slices(docs: DataFrame) -> DataFrame:
     """(doc_id, text, slice, extra) in partitions sorted by slice and descending id, extra rows, which only follow others, last."""
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(_FIRST)).alias("key"))
-    ids = docs.select(F.coalesce("doc_id", F.lit(_FIRST)).cast("double").alias("key_d"), F.coalesce("doc_id", F.lit(_FIRST)).alias("key"))
+    ids = _keyed(docs)
     n = ids.count()
     slices = max(1, min(MOST_SLICES, max(LEAST_SLICES, n // SLICE_ROWS), n))
     bounds = ids.approxQuantile("key_d", [i / slices for i in range(1, slices)], 1 / (4 * slices)) if slices > 1 else []
     cut = Bucketizer(splits=[-float("inf"), *sorted(set(bounds)), float("inf")], inputCol="key_d", outputCol="slice", handleInvalid="keep")
     # At most MOST_SLICES rows.
-    tops = sorted((r["slice"], r["key"]) for r in cut.transform(ids).groupBy("slice").agg(F.max("key").alias("key")).collect())
-    sent = [(key, tops[(i + 1) % len(tops)][0]) for i, (_, key) in enumerate(tops)]
-    sent = docs.sparkSession.createDataFrame(sent, "key long, also double")
-    placed = cut.transform(keyed.withColumn("key_d", F.col("key").cast("double"))).join(F.broadcast(sent), "key", "left")
+    tops = sorted((r["slice"], r["top"]["key"], r["top"]["tie"]) for r in cut.transform(ids).groupBy("slice").agg(F.max(F.struct("key", "tie")).alias("top")).collect())
+    sent = [(key, tie, tops[(i + 1) % len(tops)][0]) for i, (_, key, tie) in enumerate(tops)]
+    sent = docs.sparkSession.createDataFrame(sent, "key long, tie long, also double")
+    placed = cut.transform(_keyed(docs, "doc_id", F.coalesce("text", F.lit("")).alias("text"))).join(F.broadcast(sent), ["key", "tie"], "left")
     own = F.struct(F.col("slice"), F.lit(False).alias("extra"))
     copies = F.when(F.col("also").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("also").alias("slice"), F.lit(True).alias("extra"))))
-    rows = placed.select("doc_id", "text", "key", F.explode(copies).alias("s")).select("doc_id", "text", "key", F.col("s.slice").cast("int").alias("slice"), "s.extra")
-    return rows.repartition(slices, "slice").sortWithinPartitions("slice", "extra", F.desc("key"), F.xxhash64("text")).drop("key")
+    rows = placed.select("doc_id", "text", "key", "tie", F.explode(copies).alias("s")).select("doc_id", "text", "key", "tie", F.col("s.slice").cast("int").alias("slice"), "s.extra")
+    # By ranges, so that each slice has a task of its own.
+    return rows.repartitionByRange(slices, "slice").sortWithinPartitions("slice", "extra", F.desc("key"), F.desc("tie")).drop("key", "tie")
 
 
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
