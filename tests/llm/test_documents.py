@@ -100,19 +100,14 @@ def test_ctw_is_the_published_mixture():
     depth = ctw.DEPTH
     train, test = [b"abracadabra", b"abra abra", b"cad"], b"x"
     whole = sequential_ctw([*train, test[:1]], depth)
-    data, starts, raws = ctw.block_bytes([x.decode() for x in train])
-    runs, code = ctw.run_numbers(data)
-    mask = np.zeros(len(code), bool)
-    for s, r in zip(starts, raws):
-        mask[s : s + len(r) + 1] = True
-    levels = ctw.build_levels(runs, np.bincount(code[mask], minlength=len(runs)), 0)
+    block = ctw.Block([x.decode() for x in train])
+    runs, n = ctw.run_counts(block, np.zeros(3, int))
+    levels = ctw.build_levels(ctw.gathered(runs), n, 0)
     roots = levels[0].weighted.sum()
     assert abs(roots - sum(whole[:3])) < 1e-8  # the probability of the training texts
     # One byte after the training texts, frozen against sequential: the first bits agree, since no node is seen twice in a byte's path.
-    d2, _, _ = ctw.block_bytes([""])
-    r2, c2 = ctw.run_numbers(d2)
-    got = ctw.code_log10(r2, levels)[c2][0] * math.log(10)
-    assert abs(got - sequential_ctw([*train, b""], depth)[3]) < 1e-8
+    end = next(ctw.Block([""]).parts())[0]
+    assert abs(ctw.code_log10(end, levels)[0] * math.log(10) - sequential_ctw([*train, b""], depth)[3]) < 1e-8
 
 
 def test_scores(spark, docs, empty, awkward):
@@ -134,13 +129,73 @@ def test_scores(spark, docs, empty, awkward):
 
 
 def test_bits_sum_to_one():
-    data, _, _ = ctw.block_bytes(["banana bandana"])
-    runs, code = ctw.run_numbers(data)
-    levels = ctw.build_levels(runs, np.bincount(code), 0)
-    context = runs[len(runs) // 2] >> 8 << 8
+    runs, n = ctw.run_counts(ctw.Block(["banana bandana"]), np.zeros(1, int))
+    levels = ctw.build_levels(ctw.gathered(runs), n, 0)
+    context = ctw.gathered(runs)[len(runs) // 2] >> 8 << 8
     assert sum(10 ** ctw.code_log10(context | np.arange(256), levels)) == pytest.approx(1.0)
 
 
+def frozen_scores(rows):
+    """log10 of the probability of every text under the trees of the training texts, by plain recursion over all contexts."""
+    depth, counts = ctw.DEPTH, {}
+    symbols = lambda t: [*(t or "").encode().lower(), 255]
+
+    def decisions(text):
+        data = [255] * depth + symbols(text)
+        for i in range(depth, len(data)):
+            for b in range(8):
+                yield (1 << b) | (data[i] >> (8 - b)), tuple(data[i - 1 - d] for d in range(depth)), data[i] >> (7 - b) & 1
+
+    for d, text in rows:
+        if zlib.crc32(str(d).encode()) % 5 != 1:
+            for node, context, bit in decisions(text):
+                for k in range(depth + 1):
+                    counts.setdefault((node, context[:k]), [0, 0])[bit] += 1
+    children = {}
+    for node, context in counts:
+        if context:
+            children.setdefault((node, context[:-1]), []).append((node, context))
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    weighted = {}
+    for key in sorted(counts, key=lambda x: -len(x[1])):
+        own = kt(*counts[key])
+        weighted[key] = own if len(key[1]) == depth else np.logaddexp(own, sum(weighted[c] for c in children[key])) - math.log(2)
+
+    def probability(node, context, bit):
+        p = 0.5
+        for k in range(depth, -1, -1):
+            key = (node, context[:k])
+            if key not in counts:
+                p = 0.5 * 0.5 + 0.5 * p
+                continue
+            stop = 1.0 if k == depth else math.exp(kt(*counts[key]) - math.log(2) - weighted[key])
+            p = stop * (counts[key][bit] + 0.5) / (sum(counts[key]) + 1) + (1 - stop) * p
+        return p
+
+    return [sum(math.log10(probability(*x)) for x in decisions(text)) for _, text in rows]
+
+
+def test_parts_of_a_block_give_what_the_block_gives():
+    texts, held = [" ".join(words(r, 5 + r)) for r in range(12)] + [None, ""], np.arange(14) % 2
+    whole, cut = ctw.Block(texts), ctw.Block(texts, part=50)
+    runs, n = ctw.run_counts(whole, held)
+    assert all((x == y).all() for x, y in zip((runs, n), ctw.run_counts(cut, held)))
+    value = np.arange(len(runs), dtype=np.float32)
+    assert (ctw.sums_by_text(whole, runs, value) == ctw.sums_by_text(cut, runs, value)).all()
+    assert (ctw.gathered(ctw.scattered(runs)) == runs).all()
+
+
+@pytest.mark.parametrize("fan", [64, 2])
+def test_scores_of_a_table_equal_the_sequential_model(spark, monkeypatch, fan):
+    """In one group of blocks, and merged and passed down over four steps."""
+    monkeypatch.setattr(ctw, "FAN", fan)
+    rows = [(i, " ".join(words(12, 60 + i, 9))) for i in range(30)] + [(40, None), (41, "ÄÖ 漢字 aAa")]
+    got = {r["doc_id"]: r for r in ctw.ctw_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for (d, text), wanted in zip(rows, frozen_scores(rows)):
+        assert got[d]["score"] == pytest.approx(wanted, rel=1e-5)
+        assert got[d]["bits_per_byte"] == pytest.approx(-wanted * math.log2(10) / (len((text or "").encode()) + 1), rel=1e-5)
+
+
 # Packing
 
 
@@ -163,18 +218,48 @@ def best_fit_decreasing(sizes, capacity):
     return len(gaps)
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_plan_is_best_fit_decreasing(seed):
+def test_a_sweep_gives_every_piece_its_successor():
+    r = random.Random(3)
+    for _ in range(200):
+        pieces = {x: r.randint(1, 4) for x in r.sample(range(20, 30), r.randint(1, 6))}
+        gaps = {x: r.randint(1, 4) for x in r.sample(range(1, 140), r.randint(1, 12))}
+        opened, closed, left = packing.sweep(gaps, pieces)
+        stack, levels = [], {}
+        for g, slots, longest, first, last in opened:
+            sizes = [(longest, first + i) for i in range(gaps[g] * (slots - 1))] + [(g - (slots - 1) * longest, last + i) for i in range(gaps[g])]
+            for size, level in sizes:
+                levels.setdefault(level, []).append((-size, 0))
+            stack += [size for size, _ in sizes]
+        for length, level, taken in closed:
+            for i in range(taken):
+                levels.setdefault(level - 1 - i, []).append((-length, 1))
+        stack.sort()
+        wanted = []
+        for length in sorted(pieces, reverse=True):  # one by one, the longest first: the smallest slot that is left and holds it
+            for _ in range(pieces[length]):
+                fit = [x for x in stack if x >= length]
+                if fit:
+                    stack.remove(min(fit))
+                    wanted.append((length, min(fit)))
+        got = []
+        for rows in levels.values():
+            rows.sort()
+            slots, asked = [-s for s, kind in rows if kind == 0], [-s for s, kind in rows if kind]
+            assert len(asked) <= len(slots)
+            got += list(zip(asked, slots))
+        assert sorted(got) == sorted(wanted) and sum(left.values()) == sum(pieces.values()) - len(wanted)
+
+
+@pytest.mark.parametrize("seed, split_rows", [(0, 100_000), (1, 100_000), (2, 7)])
+def test_sequences_are_about_as_few_as_best_fit_decreasing_makes(spark, monkeypatch, seed, split_rows):
+    monkeypatch.setattr(packing, "SPLIT_ROWS", split_rows)
     r = random.Random(seed)
-    sizes = [r.choice([1, 2, 3, r.randint(1, 100)]) for _ in range(400)]
-    rows = packing.plan(Counter(sizes), 100)
-    sequences = set()
-    for size, n in Counter(sizes).items():
-        of = rows[rows[:, 0] == size]
-        for rank in range(n):
-            _, r0, s0, q, _ = of[np.searchsorted(of[:, 1], rank, side="right") - 1]
-            sequences.add(s0 + (rank - r0) // q)
-    assert len(sequences) == best_fit_decreasing(sizes, 100)
+    sizes = [r.choice([1, 2, 3, 50, r.randint(1, 100), r.randint(1, 40)]) for _ in range(600)]
+    df = spark.createDataFrame([(i if i % 3 else None, 0, 0, n, i % 5) for i, n in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = packing.pack(df, 100).collect()
+    assert sorted(x["length"] for x in rows) == sorted(sizes)
+    fewest = best_fit_decreasing(sizes, 100)
+    assert fewest <= check_packing(rows, 100) <= fewest * 1.01 + 1
 
 
 def check_packing(rows, capacity=2048):
@@ -232,6 +317,42 @@ def test_nystrom_weights_equal_the_kernel_form():
     assert [names[i] for i in scores.argmax(1)] == ["a"] * 3 + ["b"] * 3
 
 
+def ngrams(text):
+    """The presence bits of a text followed by zero bytes, one n-gram at a time."""
+    out, data = set(), text + bytes(3)
+    for order in langid.ORDERS:
+        for i in range(len(text)):
+            key = int.from_bytes(data[i : i + order], "big") % 2**32
+            out.add((key * 2654435761 + order * 0x9E3779B1) % 2**32 * 2246822519 % 2**32 >> 32 - langid.DIMENSIONS_LOG2)
+    return out
+
+
+def test_scores_equal_the_explicit_kernel_machine():
+    r = random.Random(8)
+    texts = [" ".join("".join(r.choices(x, k=3)) for _ in range(8)).encode() for x in (["ka", "lo", "mi"], ["shr", "ent", "que"], ["öl", "ßa", "ün"]) for _ in range(5)]
+    langs = ["a"] * 5 + ["b"] * 5 + ["c"] * 5
+    asked = [b"kalomi", b"shrent quent", "ölßa x".encode(), b"", b"zz"]
+    sets = [ngrams(t) for t in texts]
+    assert [set(np.flatnonzero(x)) for x in langid.presence(texts)] == sets
+    kernel = lambda a, b: len(a & b) / math.sqrt(max(len(a), 1) * max(len(b), 1))
+    own = np.array([[kernel(a, b) for b in sets] for a in sets])  # all rows are landmarks
+    target = np.array([[1.0 if x == y else -1.0 for y in "abc"] for x in langs])
+    alpha = np.linalg.solve(own.T @ own + langid.RIDGE * len(texts) * own + 1e-8 * np.eye(len(texts)), own.T @ target)
+    wanted = np.array([[kernel(ngrams(t), b) for b in sets] for t in asked]) @ alpha
+    names, weights = langid.fit([np.packbits(x.astype(bool)).tobytes() for x in langid.presence(texts)], langs)
+    rows = langid.presence(asked)
+    assert names == ["a", "b", "c"] and np.allclose(rows @ weights / np.sqrt(np.maximum(rows.sum(1), 1))[:, None], wanted, atol=2e-4)
+
+
+def test_chunks_bound_bytes_and_texts():
+    from tidemark.llm.hashing import CHUNK_BYTES, CHUNK_TEXTS, chunks
+
+    texts = ["x"] * 1000 + ["y" * (CHUNK_BYTES // 2)] * 5 + ["z" * 3 * CHUNK_BYTES] + [None]
+    found = list(chunks(texts))
+    assert [t for _, raws in found for t in raws] == [(t or "").encode() for t in texts]
+    assert all(len(raws) <= CHUNK_TEXTS and (len(raws) == 1 or sum(map(len, raws)) <= CHUNK_BYTES) for _, raws in found)
+
+
 # Mixing
 
 
@@ -293,10 +414,63 @@ def test_quality(docs, awkward, empty):
         failed = got[0] < 50 or 100 * got[4] > 50 * got[0]
         assert rows[d]["q_base_failed"] == failed and not (failed and rows[d]["q_kept"])
     assert all(rows[100 + i]["q_kept"] for i in range(30)) and not rows[12]["q_kept"]
+    assert set(rows[4].asDict()) == {*docs.columns, "q_m", "q_base_failed", "q_kept"}
     assert quality.quality_verdicts(awkward).count() == awkward.count() and quality.quality_verdicts(empty).count() == 0
 
 
-def test_fences_of_small_groups_come_from_the_language_and_the_corpus(spark):
+def wilson(part, whole, z, side):
+    n = max(whole, 1)
+    p = min(part / n, 1)
+    return (p + z * z / (2 * n) + side * z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def brute_kept(rows):
+    """Verdicts by exact weighted quartiles, rounded to the sketch's buckets; rows of (doc_id, text, lang, source)."""
+    measured = []
+    for d, text, lang, source in rows:
+        n, chars, symbols, dup, repeats = brute_measures(text)
+        n_lines = sum(bool(WORD.search(x)) for x in (text or "").split("\n"))
+        z, mean = quality.ERRORS, chars / max(n, 1)
+        error = z * mean / (2 * math.sqrt(max(n, 1)))
+        shares = [(symbols, chars), (repeats, n), (dup, n_lines)]
+        metrics = [(wilson(*x, z, -1), wilson(*x, z, 1), wilson(*x, z, 1)) for x in shares] + [(mean - error, mean + error, mean)]
+        measured.append((d, lang or "", source or "", n < 50 or 100 * repeats > 50 * n, metrics))
+    passing = [x for x in measured if not x[3]]
+    bucket = lambda v: math.ceil(math.log(v) / quality.GAMMA_LN) if v > 0 else quality.ZERO
+    value = lambda b: 0.0 if b == quality.ZERO else 2 * quality.GAMMA**b / (quality.GAMMA + 1)
+    out = {}
+    for d, lang, source, failed, metrics in measured:
+        own, near = [x for x in passing if x[1:3] == (lang, source)], [x for x in passing if x[1] == lang]
+        fine = not failed
+        for k in range(4) if fine else ():
+            weighed = sorted((bucket(x[4][k][2]), w) for some, w in ((own, 1), (near, quality.PRIOR / len(near)), (passing, quality.PRIOR / len(passing))) for x in some)
+            total, q = sum(w for _, w in weighed), []
+            for share in (0.25, 0.75):
+                upto = 0
+                for b, w in weighed:
+                    upto += w
+                    if upto >= total * (share - 1e-9):
+                        q.append(value(b))
+                        break
+            reach = quality.REACH * (q[1] - q[0])
+            fine = fine and metrics[k][0] <= q[1] + reach and (k < 3 or metrics[k][1] >= q[0] - reach)
+        out[d] = fine
+    return out
+
+
+def test_verdicts_equal_brute_force(spark, docs):
+    rows = [(d, t, lang, s) for d, t, lang, s, _ in corpus()]
+    for i in range(160):  # groups of all sizes, some documents with symbols, long words, repeats
+        w = words(60 + i, 3000 + i)
+        w = [x + "#" * (i % 40 == 0) for x in w] if i % 2 else [x * (3 if i % 50 == 0 else 1) for x in w]
+        rows.append((1000 + i, " ".join(w), "en" if i % 3 else "de", "abc"[i % 7 % 3]))
+    df = spark.createDataFrame([(d, t, lang, s, 0) for d, t, lang, s in rows], SCHEMA)
+    kept = {r["doc_id"]: r["q_kept"] for r in quality.quality_verdicts(df).collect()}
+    assert kept == brute_kept(rows)
+    assert 20 < sum(kept.values()) < len(kept) and all(not kept[1000 + i] for i in range(0, 160, 50))
+
+
+def test_small_groups_lean_on_the_language_and_the_corpus(spark):
     rows = [(i, " ".join(words(80, i)), "en", "big", 0) for i in range(120)] + [(500, " ".join(f"{w} ###" for w in words(60, 999)), "en", "tiny", 0), (501, " ".join(words(70, 998)), "xx", "tiny", 0)]
     kept = {r["doc_id"]: r["q_kept"] for r in quality.quality_verdicts(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert not kept[500] and kept[501] and sum(kept.values()) == 121
@@ -342,6 +516,41 @@ def test_anchors_are_closed_syncmers():
     assert (p[0] == at).all()
 
 
+def naive_syncmers(text):
+    """The places of closed syncmers, one run at a time."""
+    from tidemark.llm.hashing import BASE, mix
+
+    points, k, s = [ord(c) + 1 for c in text], syncmers.K, syncmers.S
+    inner = [int(mix(np.array([sum(p * BASE ** (s - 1 - j) for j, p in enumerate(points[i : i + s])) % 2**64], np.uint64))[0]) for i in range(len(points) - s + 1)]
+    out = []
+    for i in range(len(points) - k + 1):
+        window = inner[i : i + k - s + 1]
+        if min(window) in (window[0], window[-1]):
+            out.append(i)
+    return out
+
+
+def test_anchors_equal_naive_syncmers():
+    for text in (" ".join(words(60, 8)), "ab" * 60, "x" * 40, "ünï çödé 漢字 🙂 " * 9, " ".join(words(300, 77, 5))):
+        assert syncmers.anchors(text)[0].tolist() == naive_syncmers(text)
+
+
+def test_neighbours_of_rows_without_or_with_one_doc_id(spark):
+    """Each row is compared with the next by descending id, null ids last in an order of their own, whatever the slices."""
+    texts = [" ".join(words(20, 500 + i, 5000)) for i in range(90)]
+    rows = [(i % 40 if i < 60 else None, t) for i, t in enumerate(texts)] + [(None, texts[70]), (3, texts[3])]
+    got = syncmers.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    follow = Counter()
+    for r in got:
+        base = [t for d, t in rows if d == r["doc_id"] and syncmers.as_string(syncmers.anchors(t)) == r["fingerprint"]]
+        assert base
+        after = [t for t in texts if hashlib.sha256((base[0][: len(base[0]) - len(base[0]) // 3] + t[: len(base[0]) // 3]).encode()).hexdigest() == r["edited_sha256"]]
+        assert len(after) == 1
+        follow[after[0]] += 1
+    assert follow == Counter(t for _, t in rows)  # every row follows one other
+
+
 # Lines
 
 
@@ -355,25 +564,22 @@ def one_apart(a, b):
     return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
 
-def brute_lines(rows):
-    places = []
+def units(line):
+    """Words, or characters where they take more than two bytes each."""
+    return re.findall(r"[^\x20\x09-\x0D]", line) if len(line.encode()) > 2 * len(line) else WORD.findall(line)
+
+
+def brute_lines(rows, fuzzy_units=lines.FUZZY_UNITS):
+    first, kept = [], {d: [] for d, _ in rows}
     for d, text in sorted(rows):
         for i, line in enumerate((text or "").split("\n")):
-            if WORD.search(line):
-                places.append((d, i, line, WORD.findall(line)))
-    first, gone = [], set()
-    seen = set()
-    for d, i, line, w in places:
-        if len(w) < lines.LEAST_WORDS:
-            continue
-        if line in seen:
-            gone.add((d, i))
-            continue
-        seen.add(line)
-        if len(w) >= lines.FUZZY_WORDS and any(len(v) >= lines.FUZZY_WORDS and one_apart(v, w) for v in first):
-            gone.add((d, i))
-        first.append(w)
-    return {d: [(i, line) for e, i, line, _ in places if e == d and (e, i) not in gone] for d, _ in rows}
+            u = units(line)
+            if u:
+                if not any(u == v or (min(len(u), len(v)) >= fuzzy_units and one_apart(u, v)) for v in first):
+                    kept[d].append((i, line))
+                if u not in first:
+                    first.append(u)
+    return kept
 
 
 def test_line_dedup_equals_all_pairs(spark, awkward, empty):
@@ -389,7 +595,7 @@ def test_line_dedup_equals_all_pairs(spark, awkward, empty):
                 w[i : i + r.choice([0, 1])] = r.choice([[], [f"new{r.randrange(9)}"], [w[i]]])
             out.append(r.choice(["", " "]) + r.choice([" ", "  "]).join(w))
             if r.random() < 0.2:
-                out.append(r.choice(["", "short one", "   "]))
+                out.append(r.choice(["", "short one", "   ", "short  one\t", "one", "第一章 世界の始まりと終わりについて", "第二章 世界の始まりと終わりについて", "短い"]))
         rows.append((d, "\n".join(out)))
     got = {x["doc_id"]: x for x in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     wanted = brute_lines(rows)
@@ -397,7 +603,36 @@ def test_line_dedup_equals_all_pairs(spark, awkward, empty):
         n = sum(bool(WORD.search(x)) for x in text.split("\n"))
         assert (got[d]["ld_n_lines"], got[d]["ld_n_kept"]) == (n, len(wanted[d])), d
         assert got[d]["text"] == (text if n == len(wanted[d]) else "\n".join(x for _, x in wanted[d]))
-    assert lines.dedup_lines(awkward).count() == awkward.count() and lines.dedup_lines(empty).count() == 0
+    few = {x["doc_id"]: x["ld_n_kept"] for x in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect()}
+    assert few == {d: len(x) for d, x in brute_lines(rows, 3).items()}
+    assert lines.dedup_lines(empty).count() == 0
+
+
+def test_lines_of_rows_without_or_with_one_doc_id(spark, awkward):
+    """Rows that repeat doc_id and text get one result; null ids come last."""
+    a, b, c = (" ".join(words(15, 900 + i, 5000)) for i in range(3))
+    rows = [(5, a + "\n" + b), (5, a + "\n" + b), (5, b + "\n" + c), (None, a), (None, c + "\nnew"), (None, None), (-3, b)]
+    got = sorted(((x["doc_id"], x["text"], x["ld_n_lines"], x["ld_n_kept"]) for x in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    fives = [x for x in got if x[0] == 5]
+    assert {(x[2], x[3]) for x in fives if x[1] == a} == {(2, 1)} and len([x for x in fives if x[1] == a]) == 2  # b stands in document -3
+    assert [x[1:] for x in fives if x[1] != a] == [(c, 2, 1)]
+    assert [x[1:] for x in got if x[0] == -3] == [(b, 1, 1)]
+    assert sorted(((x[1:]) for x in got if x[0] is None), key=str) == sorted([("", 1, 0), ("new", 2, 1), (None, 0, 0)], key=str)
+    rows = awkward.collect()
+    found = lines.dedup_lines(awkward).collect()
+    assert len(found) == len(rows) and set(found[0].asDict()) == {c for c in awkward.columns if not c.startswith("ld_")} | {"ld_n_lines", "ld_n_kept"}
+    by = {}
+    for x in found:
+        by.setdefault(x["doc_id"], set()).add((x["ld_n_lines"], x["ld_n_kept"]))
+    wanted = brute_lines([(d, t) for d, t, *_ in corpus()])
+    assert all(by[d] == {(sum(bool(units(x)) for x in (t or "").split("\n")), len(wanted[d]))} for d, t, *_ in corpus())
+
+
+def test_a_line_of_50_000_words(spark):
+    long = [f"w{i}" for i in range(50_000)]
+    other = [*long[:777], "x", *long[777:]]
+    df = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(other)), (3, " ".join(long[1:-1]))], "doc_id long, text string")
+    assert {x["doc_id"]: x["ld_n_kept"] for x in lines.dedup_lines(df).collect()} == {1: 1, 2: 0, 3: 1}
 
 
 def test_lines_of_the_corpus(docs):

@@ -72,6 +72,109 @@ def test_text_of_articles(spark):
     assert extract.extract_text(df.limit(0)).count() == 0
 
 
+def one(html):
+    return extract.main_text(html, None, frozenset())
+
+
+def test_markup_as_browsers_read_it():
+    assert one("<p class=it's>One</p><p>Two isn't lost</p><p>Three") == "One\n\nTwo isn't lost\n\nThree"
+    assert one("<article><header><h1>Title</h1></header><p>Text</p></article><header>Site</header>") == "Title\n\nText"
+    assert one("<div class='a/b.nav-free c.d'><p>A</p></div><p title='x > y' data-x=\"it's\">B</p>") == "A\n\nB"
+    assert one("<body class='has-sidebar home'><div class='layout sidebar'><main><p>In</p></main></div><div class='sidebar'>Out</div></body>") == "In"
+    assert one("<article><p>Story</p><section id=comments><article class=comment><p>Reader</p></article></section></article>") == "Story"
+    assert one("<script>a='<p>x</p>'</script ><p>a<b</p><p>1 &lt; 2 &#8212; &amp;amp;</p><!-- > --><svg/><p>end") == "a\n\n1 < 2 \u2014 &amp;\n\nend"
+    assert one(f"<div class='{'u ' * 300}nav'>Menu</div><p>Text</p>") == "Text"  # names aren't cut
+    assert one(None) == one("") == one("<nav>x</nav>") == ""
+
+
+def test_a_page_of_5_megabytes():
+    paragraphs = [f"Paragraph {i} of a long page with some words" for i in range(80_000)]
+    assert one("<main>" + "".join(f"<p>{x}" for x in paragraphs) + "</main>") == "\n\n".join(paragraphs)
+
+
+NOTICED = """<html><body id="page-{n}"><nav><a href=1>Home</a><a href=2>More</a></nav><article id="post-{n}" class="post"><h1>Head {n}</h1><p class="lead">Lead {n}</p>
+<p class="note">Subscribe to our letter today.</p>{body}<div class="share">Share</div></article><footer>Foot</footer></body></html>"""
+
+
+def noticed(n, paragraphs=2):
+    return NOTICED.replace("{n}", str(n)).replace("{body}", "".join(f"<p>Own words {n} {j} of this one page</p>" for j in range(paragraphs)))
+
+
+def brute_template(pages, share=extract.TEMPLATE_SHARE):
+    """{(host, token)} of the valid classes, by plain comparison of vectors, containers and orders."""
+    out, dropped = set(), {}
+    for host in {h for h, _ in pages}:
+        own = [html for h, html in pages if h == host]
+        if len(own) < extract.LEAST_PAGES:
+            continue
+        found = [{t[0]: t for t in extract.occurrences(x)} for x in own]
+        vectors = {t: tuple(f[t][4] if t in f else 0 for f in found) for t in {t for f in found for t in f}}
+        classes: dict = {}
+        for t, v in vectors.items():
+            if sum(x > 0 for x in v) >= share * len(own):
+                classes.setdefault(v, []).append(t)
+        info = {t: f[t] for f in found for t in f}
+        for members in classes.values():
+            if len(members) < extract.LEAST_TOKENS:
+                continue
+            outside: dict = {}
+            for t in members:
+                if info[t][1] not in members:
+                    outside[info[t][1]] = outside.get(info[t][1], 0) + 1
+            slot = max(outside, key=lambda p: (outside[p], p)) if outside else None
+            members = [t for t in members if info[t][1] in members or info[t][1] == slot]
+            tags, ranks, n = {t for t in members if not info[t][2]}, {}, 0
+            for x in own:
+                order = [t for t in extract.token_order(x) if t in tags]
+                n += bool(order)
+                for rank, t in enumerate(order):
+                    ranks.setdefault(t, []).append(rank)
+            bad = {t for t in tags if max(ranks[t].count(r) for r in ranks[t]) < share * n}
+            dropped[host] = dropped.get(host, set()) | bad
+            out |= {(host, t) for t in members if t not in bad}
+        out = {(h, t) for h, t in out if h != host or not info[t][2] or info[t][1] not in dropped.get(host, ())}
+    return out
+
+
+def test_template_equals_plain_comparison(spark):
+    """Pages with their own ids, a class in changing order, one in two containers, an optional part, a host of few pages."""
+    pages = []
+    for n in range(20):
+        flip = ["<ul class=x><li>a</ul>", "<ol class=y><li>b</ol>"][:: 1 if n % 2 else -1]
+        more = "<div class=rare><h3>Rare</h3></div>" if n == 3 else ""
+        pages.append(("a.example", noticed(n, n % 4).replace("<footer>", more + "".join(flip) + "<footer>")))
+        pages.append(("b.example", "<div class=l><p>one</p></div><div class=r><p>two</p><i>x</i></div>" + "<b>w</b>" * (n % 3)))
+    pages += [("few.example", noticed(n)) for n in range(4)]
+    df = spark.createDataFrame([(i, f"http://{h}/{i}", x) for i, (h, x) in enumerate(pages)], SCHEMA)
+    keyed = df.select(extract.host_of(F.col("url")).alias("ex_host"), F.xxhash64("page_id", "url").alias("ex_page"), "html")
+    rows = extract.template(keyed).collect()
+    assert {(r["ex_host"], r["token"]) for r in rows} == brute_template(pages)
+    assert {r["ex_host"] for r in rows} == {"a.example", "b.example"}
+    tags = {r["token"] for r in rows if r["ex_host"] == "a.example"}
+    page = extract.Page(pages[0][1])
+    at = {t: page.tokens[i] for i, t in enumerate(page.tags)}
+    assert at["article"] in tags and at["ul"] not in tags and at["ol"] not in tags  # post-7 and post-8 are one token; the lists change their order
+
+
+def test_lines_that_articles_repeat_are_template(spark):
+    rows = [(n, f"http://n.example.com/{n}", noticed(n, 1 + n % 3)) for n in range(12)] + [(50 + n, f"http://copies.example.com/{n}", noticed(7)) for n in range(6)]
+    got = {r["page_id"]: r["ex_text"] for r in extract.extract_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for n in range(12):
+        assert got[n] == "\n\n".join([f"Head {n}", f"Lead {n}", *(f"Own words {n} {j} of this one page" for j in range(1 + n % 3))])
+    assert all("Own words 7 0" in got[50 + n] and "Head 7" in got[50 + n] for n in range(6))  # copies don't make a text a template
+
+
+def test_awkward_pages_of_text(spark, pages):
+    repeated = pages.union(pages).union(pages.limit(0))
+    rows = extract.extract_text(repeated).collect()
+    assert len(rows) == 18 and set(rows[0].asDict()) == {c for c in pages.columns if not c.startswith("ex_")} | {"ex_text"}
+    by = {}
+    for r in rows:
+        by.setdefault(r["page_id"], []).append(r["ex_text"])
+    assert all(len(x) == 2 and x[0] == x[1] for x in by.values())
+    assert by[1][0] == ("payload " * 40).strip() and by[5] == ["tiny"] * 2 and by[3] == by[4] == [""] * 2
+
+
 def test_text_without_article_is_what_varies(spark):
     page = "<html><body><div class='menu'><a href=1>Home</a></div><div class='top'>Always the same words</div><div class='content'><p>Story number {n}</p></div><div class='links'><a href=2>Link {n} is long enough</a></div></body></html>"
     df = spark.createDataFrame([(i, f"http://v.example.com/{i}", page.replace("{n}", str(i))) for i in range(8)], SCHEMA)
