@@ -21,6 +21,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import pandas as pd
 import xxhash
@@ -82,7 +83,6 @@ class Page:
         self.marks: list[tuple[int, int]] = []
         self.blocks: list[tuple[str, int, int]] = []
         self._read(html or "")
-        self.aside, self.main = self._roles()
 
     def _read(self, page: str) -> None:
         stack, held, at, link, link_chars, block_in = [0], [], 0, False, 0, 0
@@ -140,8 +140,18 @@ class Page:
                 at = end.end() if end else len(page)
         close()
 
+    @property
+    def aside(self) -> list[bool]:
+        """For every container whether it is inside one that never holds the text."""
+        return self._roles[0]
+
+    @property
+    def main(self) -> list[bool]:
+        """For every container whether it is inside an article or main one."""
+        return self._roles[1]
+
+    @cached_property
     def _roles(self) -> tuple[list[bool], list[bool]]:
-        """For every container whether it is inside one that never holds the text, and whether inside an article or main one."""
         n = len(self.parents)
         is_main = [t in MAIN_TAGS or any(w in MAIN_WORDS for w in names) for t, names in zip(self.tags, self.names)]
         holds_main = list(is_main)
