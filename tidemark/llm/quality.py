@@ -196,9 +196,9 @@ WITH t AS (
 ), leaf AS (
   SELECT lang, source, metric, CASE WHEN v > 0 THEN ceil(ln(v) / {GAMMA_LN!r})::INT ELSE {ZERO} END AS bucket, count(*)::DOUBLE AS n FROM x WHERE NOT base_failed GROUP BY ALL
 ), by_lang AS (
-  SELECT lang, metric, bucket, {PRIOR} * sum(n) / sum(sum(n)) OVER (PARTITION BY lang, metric) AS n FROM leaf GROUP BY ALL
+  SELECT lang, metric, bucket, {PRIOR} * sum(n) / sum(sum(n)) OVER (PARTITION BY lang, metric) AS n FROM leaf GROUP BY lang, metric, bucket
 ), by_corpus AS (
-  SELECT metric, bucket, {PRIOR} * sum(n) / sum(sum(n)) OVER (PARTITION BY metric) AS n FROM leaf GROUP BY ALL
+  SELECT metric, bucket, {PRIOR} * sum(n) / sum(sum(n)) OVER (PARTITION BY metric) AS n FROM leaf GROUP BY metric, bucket
 ), groups AS (
   SELECT DISTINCT lang, source FROM r
 ), c AS (
