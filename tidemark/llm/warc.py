@@ -14,6 +14,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
@@ -26,8 +27,13 @@ from tidemark.llm.common import new_path, table, written
 LEAST_BYTES = 100
 #: Lines of an index block at least; blocks and the key length in the directory, which bound its size.
 BLOCK_LINES, MOST_BLOCKS, KEY_CHARS = 512, 65_536, 128
+#: Index blocks and bytes of records that a task reads.
+TASK_BLOCKS, TASK_BYTES = 16, 4 << 20
 DATE = "2000-01-01T00:00:00Z"
 
+#: Characters that a URI may hold as they are.
+URI_CHARACTERS = "%:/?#[]@!$&'()*+,;=-._~"
+
 _LAST = (1 << 63) - 1
 MANIFEST = "key string, page_id long, url string, record_type string, file string, offset long, length long"
 
@@ -51,17 +57,30 @@ def _open(root: str):
     return fs.FileSystem.from_uri(root)
 
 
+def record_id(page_id: int | str | None, digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}:{digest}')}>"
+
+
+def warcinfo(name: str, date: str = DATE) -> bytes:
+    """The record that an archive begins with."""
+    block = b"format: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {record_id(name, '')}", f"WARC-Date: {date}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
 def record(page_id: int | str | None, url: str | None, payload: bytes, digest: str, refers_to: int | str | None, date: str = DATE) -> bytes:
     """One WARC record: a response with its payload, or a revisit of ``refers_to`` without."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    target = json.dumps(url)  # no line breaks; null stays apart from an empty URL
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {date}",
-        f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {date}",
+        f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}",
+        f"X-Page: {json.dumps([page_id, url, refers_to])}",  # as they are, whatever they hold
     ]
+    if url:
+        head.insert(4, f"WARC-Target-URI: {quote(url, safe=URI_CHARACTERS)}")
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -71,15 +90,15 @@ def parse(raw: bytes) -> dict:
     fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
     http, _, payload = block[: int(fields["Content-Length"])].partition(b"\r\n\r\n")
     size = int(dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:])["Content-Length"])
-    number = lambda x: None if x[10:-1] == "None" else int(x[10:-1])
+    page_id, url, refers_to = (x if x is None or i == 1 else int(x) for i, x in enumerate(json.loads(fields["X-Page"])))
     digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha256:"), fields["WARC-Type"]
     if kind == "response":
         found = hashlib.sha256(payload).hexdigest()
         if (found, len(payload)) != (digest, size):
             raise ValueError(f"record {fields['WARC-Record-ID']}: its payload doesn't match its headers")
     return {
-        "page_id": number(fields["WARC-Record-ID"]), "url": json.loads(fields["WARC-Target-URI"]), "record_type": kind, "payload_bytes": size, "payload_digest": digest,
-        "refers_to": number(fields["WARC-Refers-To"]) if kind == "revisit" else None, "payload": payload if kind == "response" else None,
+        "page_id": page_id, "url": url, "record_type": kind, "payload_bytes": size, "payload_digest": digest,
+        "refers_to": refers_to, "payload": payload if kind == "response" else None,
     }
 
 
@@ -110,6 +129,9 @@ def write_archives(pages: DataFrame, root: str) -> DataFrame:
                 for page_id, url, text, digest, key, first in frame.itertuples(index=False):
                     if out is None:
                         out = system.open_output_stream(f"{path}/{name}", compression=None)
+                        data = _gzip(warcinfo(name))
+                        out.write(data)
+                        at = len(data)
                     data = _gzip(record(page_id, url, text.encode("utf-8"), digest, first))
                     out.write(data)
                     places.append((key, None if page_id is None else int(page_id), url, "response" if first is None else "revisit", name, at, len(data)))
@@ -194,8 +216,9 @@ def look_up(keys: DataFrame, directory: DataFrame, root: str) -> DataFrame:
         if now is not None:
             yield found()
 
-    asked = keys.select("key").distinct().select("key", F.explode(block_numbers("key")).alias("block"))
-    return asked.repartition("block").sortWithinPartitions("block").mapInPandas(scan, "key string, file string, offset long, length long")
+    asked = keys.select("key").distinct().select("key", block_numbers.asNondeterministic()("key").alias("x")).select("key", F.explode("x").alias("block"))
+    # A number of tasks by blocks, since the places that come in are small beside what is read.
+    return asked.repartition(max(1, -(-len(blocks) // TASK_BLOCKS)), "block").sortWithinPartitions("block").mapInPandas(scan, "key string, file string, offset long, length long")
 
 
 def read_records(places: DataFrame, root: str) -> DataFrame:
@@ -217,7 +240,9 @@ def read_records(places: DataFrame, root: str) -> DataFrame:
         if source is not None:
             source.close()
 
-    rows = places.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / (4 << 20))).sortWithinPartitions("file", "offset")
+    size = places.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-int(size) // TASK_BYTES))
+    rows = places.select("file", "offset", "length").repartition(tasks, "file", F.floor(F.col("offset") / (1 << 20))).sortWithinPartitions("file", "offset")
     schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
     return rows.mapInPandas(read, schema)
 
@@ -230,7 +255,7 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     root = new_path(pages.sparkSession, "warc")
     manifest = write_archives(pages, root)
     directory = build_index(manifest, root)
-    places = look_up(pages.select(url_key(F.col("url")).alias("key")), directory, root)
+    places = written(look_up(pages.select(url_key(F.col("url")).alias("key")), directory, root), "warc-places")
     return read_records(places, root)
 
 
