@@ -11,8 +11,8 @@ BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(BASE, -1, 1 << 64)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-#: Bytes of text that are hashed at once; a longer text is hashed alone.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text that are hashed at once, and texts at most; a longer text is hashed alone.
+CHUNK_BYTES, CHUNK_TEXTS = 1 << 20, 256
 
 _up, _down = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
@@ -37,11 +37,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """(number of the first text, texts in UTF-8) of about CHUNK_BYTES each."""
+    """(number of the first text, texts in UTF-8) of about CHUNK_BYTES each, CHUNK_TEXTS at most."""
     first, size, held = 0, 0, []
     for i, text in enumerate(texts):
         raw = (text or "").encode("utf-8", "replace")
-        if held and size + len(raw) > CHUNK_BYTES:
+        if held and (size + len(raw) > CHUNK_BYTES or len(held) == CHUNK_TEXTS):
             yield first, held
             first, size, held = i, 0, []
         held.append(raw)

@@ -1,6 +1,6 @@
 """Language identification by a string kernel.
 
-A text is the set of its byte n-grams of ``ORDERS`` lengths (a blended spectrum), in lower case, each hashed to one of
+A text is the set of its byte n-grams of ``ORDERS`` lengths (a blended spectrum), in lower case and with zero bytes behind its end, each hashed to one of
 ``DIMENSIONS`` presence bits. The kernel of two texts is the size of their common set over
 the root of the product of their sizes. Of a bounded sample of labelled rows some are Nyström landmarks; one ridge regression for
 each language against the rest is fitted on the sample's kernel with the landmarks. A batch of
