@@ -220,18 +220,19 @@ def superstep(pieces: DataFrame, gaps: DataFrame | None, counts: dict[int, int],
     # At most one row a size, whatever the corpus.
     by_size = {r["gap"]: r["n"] for r in gaps.groupBy("gap").agg(F.count(F.lit(1)).alias("n")).collect()} if gaps is not None else {}
     opened, closed, left = sweep(by_size, counts)
-    band = pieces.where(F.col("length").between(min(counts), max(counts)))
     levels, unplaced, parts = [], 0, []
+    fit = capacity // max(left) if left else 1
     for length, level, taken in closed:
-        levels.append((length, level, taken, unplaced))
+        levels.append((length, level, taken, unplaced, n_sequences, fit))
         unplaced += left.get(length, 0)
-    levels = spark.createDataFrame(levels, "pk_of int, pk_level long, pk_taken long, pk_unplaced long")
-    band = band.join(F.broadcast(levels), F.col("length") == F.col("pk_of"))
+    # What differs between supersteps is in small tables, not in expressions, so that the compiled code serves all of them.
+    levels = spark.createDataFrame(levels, "pk_of int, pk_level long, pk_taken long, pk_unplaced long, pk_new long, pk_fit int")
+    band = pieces.join(F.broadcast(levels), F.col("length") == F.col("pk_of"))
     if sum(taken for _, _, taken in closed):
-        slots = spark.createDataFrame(opened, "pk_gap int, pk_slots int, pk_slot long, pk_first long, pk_last long")
-        splits = max(1, n_sequences // SPLIT_ROWS)
-        held = ranked(gaps.where(F.col("gap") >= min(counts)), "gap", ["sequence_id"], F.floor(F.col("sequence_id") * splits / n_sequences).cast("int"))
-        held = held.join(F.broadcast(slots), F.col("gap") == F.col("pk_gap")).withColumn("pk_no", F.explode(F.expr("sequence(0, pk_slots - 1)")))
+        slots = [(*x, max(1, n_sequences // SPLIT_ROWS), n_sequences) for x in opened]
+        slots = spark.createDataFrame(slots, "pk_gap int, pk_slots int, pk_slot long, pk_first long, pk_last long, pk_splits long, pk_total long")
+        held = gaps.join(F.broadcast(slots), F.col("gap") == F.col("pk_gap"))
+        held = ranked(held, "gap", ["sequence_id"], F.expr("cast(floor(sequence_id * pk_splits / pk_total) as int)")).withColumn("pk_no", F.explode(F.expr("sequence(0, pk_slots - 1)")))
         own = held.select(
             "sequence_id", "gap", "pk_no", F.expr("if(pk_no < pk_slots - 1, pk_slot, gap - (pk_slots - 1) * pk_slot)").alias("size"),
             F.expr("if(pk_no < pk_slots - 1, pk_first + pk_rank * (pk_slots - 1) + pk_no, pk_last + pk_rank)").alias("level"),
@@ -242,9 +243,8 @@ def superstep(pieces: DataFrame, gaps: DataFrame | None, counts: dict[int, int],
         earlier = F.coalesce(F.sum("length").over(W.partitionBy("sequence_id").orderBy("pk_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         parts.append(asked.join(own, ["level", "k"]).select("length", "pk_rank", "sequence_id", (F.lit(capacity) - F.col("gap") + earlier).cast("long").alias("offset")))
     if left:
-        fit = capacity // max(left)
         place = F.col("pk_unplaced") + F.col("pk_rank") - F.col("pk_taken")
-        new = band.where("pk_rank >= pk_taken").withColumns({"pk_place": place, "sequence_id": F.lit(n_sequences) + F.floor(place / fit)})
+        new = band.where("pk_rank >= pk_taken").withColumn("pk_place", place).withColumn("sequence_id", F.expr("pk_new + pk_place div pk_fit"))
         earlier = F.coalesce(F.sum("length").over(W.partitionBy("sequence_id").orderBy("pk_place").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         parts.append(new.select("length", "pk_rank", "sequence_id", earlier.cast("long").alias("offset")))
         n_sequences += -(-unplaced // fit)
