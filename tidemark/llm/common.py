@@ -37,6 +37,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder inside the shared one, as a URI with its scheme, for tasks that write files themselves.
+
+    Hadoop says which file system a path without a scheme means, so that tasks don't take it for one of their own machine.
+    """
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(new_path(spark, name))
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    root = system.makeQualified(path).toString()
+    opened(root)  # a file system that tasks can't open is an error here, before any work
+    system.mkdirs(path)
+    return root
+
+
+def opened(root: str) -> tuple:
+    """(file system, path) of a URI as pyarrow has them."""
+    from pyarrow import fs
+
+    scheme, colon, rest = root.partition(":")
+    if not colon or scheme == "file" and not rest.startswith("/"):
+        raise ValueError(f"{root} doesn't say which file system it is on")
+    return fs.FileSystem.from_uri("s3:" + rest if scheme in ("s3a", "s3n") else root)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)

@@ -7,9 +7,12 @@ from tidemark.llm.lines import OP8_SQL, op8_line_dedup
 from tidemark.llm.mixing import OP4_SQL, op4_mixing
 from tidemark.llm.near import OP9_SQL, op9_near_dedup
 from tidemark.llm.packing import op2_packing
+from tidemark.llm.ptolemaic import OP11_SQL, op11_centroid_clustering
 from tidemark.llm.quality import OP6_SQL, op6_quality_rules
+from tidemark.llm.rans import op13_binary_output
 from tidemark.llm.syncmers import op7_fingerprints
 from tidemark.llm.warc import OP5_SQL, op5_warc
+from tidemark.llm.whitening import op12_embedding_whitening
 
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
@@ -22,6 +25,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_html_text": op10_html_text,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_binary_output": op13_binary_output,
 }
 
 SQL = {
@@ -30,4 +36,5 @@ SQL = {
     "op6_quality_rules": OP6_SQL,
     "op8_line_dedup": OP8_SQL,
     "op9_near_dedup": OP9_SQL,
+    "op11_centroid_clustering": OP11_SQL,
 }
