@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 from collections.abc import Iterator
 from itertools import chain, filterfalse, islice
 
 import numpy as np
+import regex
 
-#: Units whose ids a task keeps, and the longest of them.
-CACHE_UNITS, CACHE_CHARS = 1_000_000, 48
+#: Units, and parts of units, whose ids a task keeps, and the longest of them.
+CACHE_UNITS, CACHE_CHARS = 1_800_000, 48
+#: Fixed value: how a byte-level tokenizer with its standard pattern parts a text.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A space that is not cut off: one between white space, or behind white space at the end. More characters than the tokenizer's count as white space here.
 _WHITE = r"\s\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff"
 _UNSAFE = re.compile(rf"[{_WHITE}] (?:[{_WHITE}]|\Z)")
@@ -19,46 +24,90 @@ _UNSAFE = re.compile(rf"[{_WHITE}] (?:[{_WHITE}]|\Z)")
 class ByteIds:
     """The tokenizer parts a text before any white space, of which a single space goes to the word behind it; BPE never
     joins parts. So a text can be cut before spaces, unless white space stands on both sides of one, and a unit's ids are the same wherever it stands. Units come back
-    often, and their ids are kept. New units are encoded many in one call, with line feeds between them. Texts that cannot be cut, or may hold special tokens, are encoded
-    as they are.
+    often, and their ids are kept. A new unit of letters, with or without punctuation behind them, has one or two parts; any other is parted by the tokenizer's own pattern. Ids of parts are kept as well,
+    and new parts are encoded by the tokenizer's model, many in one call. Texts that cannot be cut, or may hold special tokens, are encoded as they are.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
-        (self.between,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        #: Units at the start of a text, and those behind a space.
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.pattern = regex.compile(pattern)
+        # The model's character for each byte, as the tokenizer's byte-level step has it; bytes that no UTF-8 text holds only part words.
+        visible, shown = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False), {}
+        for c in [*range(0x800), *range(0x800, 0x10000, 0x40), *range(0x10000, 0x110000, 0x10000)]:
+            if not 0xD800 <= c < 0xE000:
+                shown.update(zip(chr(c).encode(), visible.pre_tokenize_str(chr(c))[0][0]))
+        self.shown = "".join(shown.get(b, "\ufdd0") for b in range(256))
+        #: A line feed stands between parts that are encoded in one call.
+        self.between = shown[10]
+        self.end = self.tokenizer.token_to_id(self.between)
+        #: Ids take 16 bits where that suffices for the vocabulary, otherwise 32.
+        self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        #: Ids of units at the start of a text, of those behind a space, of other parts.
         self.starts: dict[str, bytes] = {"": b""}
         self.spaced: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
 
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _encode_parts(self, parts: list[str], known: dict[str, bytes], before: str) -> None:
+        """Adds parts to ``known``, as they are behind ``before``."""
+        plain = [x for x in parts if len(x) <= 1000 and "\n" not in x]
+        width = self.kind.itemsize
+        for i in range(0, len(plain), 2000):
+            some = plain[i : i + 2000]
+            text = codecs.charmap_decode((before + f"\n{before}".join(some)).encode(), "strict", self.shown)[0].replace(self.between, f" {self.between} ")
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = [*(width * np.flatnonzero(ids == self.end)).tolist(), width * len(ids)]
+            assert len(ends) == len(some)
+            blob, start = ids.astype(self.kind).tobytes(), 0
+            for part, end in zip(some, ends):
+                known[part] = blob[start:end]
+                start = end + width
+        rest = [x for x in parts if len(x) > 1000 or "\n" in x]
+        known.update(zip(rest, self._encode([before + x for x in rest])))
 
     def _learn(self, units: list[str], known: dict[str, bytes], before: str) -> None:
-        for i in range(0, len(units), 1000):
-            some = units[i : i + 1000]
-            plain = [x for x in some if x and x.isprintable() and len(x) <= 1000]
-            ids = self._encode("".join([f"{before}{x}\n" for x in plain]))
-            ends = np.flatnonzero(ids == self.between).tolist()
-            assert len(ends) == len(plain)
-            blob, start = ids.tobytes(), 0
-            for unit, end in zip(plain, ends):
-                known[unit] = blob[start : 4 * end]
-                start = 4 * end + 4
-            rest = [x for x in some if x not in known]
-            for unit, x in zip(rest, self.tokenizer.encode_batch_fast([before + x for x in rest], add_special_tokens=False) if rest else []):
-                known[unit] = np.array(x.ids, "<u4").tobytes()
+        parts, cores, two, many = self.parts, [], [], []
+        for unit in units:
+            core = unit.rstrip(_PUNCTUATION)
+            if not core.isalpha():
+                many.append((unit, self.pattern.findall(before + unit)))
+            else:
+                if core not in known:
+                    cores.append(core)
+                if len(core) < len(unit):
+                    two.append((unit, core, unit[len(core) :]))
+        cores = list(set(cores))
+        self._encode_parts(cores, known, before)
+        new = list(set().union([x[2] for x in two], *[x[1] for x in many]).difference(parts))
+        self._encode_parts(new, parts, "")
+        for unit, core, tail in two:
+            known[unit] = known[core] + parts[tail]
+        for unit, own in many:
+            known[unit] = b"".join([parts[x] for x in own])
+        for part in new:
+            if len(part) > CACHE_CHARS:
+                del parts[part]
+        for core in set(filterfalse(set(units).__contains__, [x for x in cores if len(x) > CACHE_CHARS])):
+            del known[core]
 
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
-        for i in range(0, len(texts), 64):
-            some = [(x or "").encode("utf-8", "replace").decode() for x in texts[i : i + 64]]
+        """For each text its ids as little-endian integers of ``kind``."""
+        for i in range(0, len(texts), 256):
+            some = [(x or "").encode("utf-8", "replace").decode() for x in texts[i : i + 256]]
             split = [None if "<|" in x or _UNSAFE.search(x) else x.split(" ") for x in some]
-            if len(self.spaced) + len(self.starts) > CACHE_UNITS:
-                self.starts, self.spaced = {"": b""}, {}
+            for known in (self.starts, self.spaced, self.parts):
+                if len(known) > CACHE_UNITS:  # the older half goes; what is common comes back at once
+                    for unit in list(islice(known, len(known) // 2)):
+                        del known[unit]
+                    known[""] = known.get("") or self._encode([" " if known is self.spaced else ""])[0]
             cut = [x for x in split if x is not None]
             first = list({x[0] for x in cut}.difference(self.starts))
             later = list(set(filterfalse(self.spaced.__contains__, chain.from_iterable(islice(x, 1, None) for x in cut))))
@@ -66,7 +115,7 @@ class ByteIds:
             self._learn(later, self.spaced, " ")
             for text, units in zip(some, split):
                 if units is None:
-                    yield self._encode(text).tobytes()
+                    yield self._encode([text])[0]
                 else:
                     yield self.starts[units[0]] + b"".join(map(self.spaced.__getitem__, islice(units, 1, None)))
             for units, known in ((first, self.starts), (later, self.spaced)):
@@ -81,5 +130,5 @@ _loaded: dict[str, ByteIds] = {}
 def byte_ids(path: str) -> ByteIds:
     """One for each Python process, which serves many tasks."""
     if path not in _loaded:
-        _loaded[path] = ByteIds(path)
+        _loaded[path] = ByteIds(path, PATTERN)
     return _loaded[path]

@@ -253,14 +253,14 @@ def tokenised(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
     The ids have ``end_id`` behind them and are little-endian integers of 16 bits if that suffices for the vocabulary, otherwise of 32. A null text is empty. The tie orders rows of one doc_id, or of none.
     """
     path = path or vocabulary()
-    size = max(byte_ids(path).size, end_id + 1)
-    width = 2 if size <= 1 << 16 else 4
+    known = byte_ids(path)
+    size, width = max(known.size, end_id + 1), known.kind.itemsize
 
     @F.pandas_udf("binary")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known, end = byte_ids(path), end_id.to_bytes(4, "little")
+        known, end = byte_ids(path), end_id.to_bytes(width, "little")
         for texts in batches:
-            yield pd.Series([np.frombuffer(x + end, "<u4").astype(f"<u{width}").tobytes() for x in known.batch(texts.tolist())], dtype=object)
+            yield pd.Series([x + end for x in known.batch(texts.tolist())], dtype=object)
 
     rows = docs.select("doc_id", encode.asNondeterministic()("text").alias("ids"))
     return written(rows.select("doc_id", F.xxhash64("ids").alias("tie"), "ids"), "token-ids"), size, width
@@ -311,8 +311,8 @@ def write_files(tokens: DataFrame, root: str, n_ids: int, width: int, file_ids:
     return ranged.select("doc_id", "ids").mapInArrow(write, "part long, number long, file string, bytes long, n_documents long, n_ids long")
 
 
-def read_files(files: DataFrame, root: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids) of the documents in ``files``, a written table; start counts the ids before it in all files."""
+def read_files(files: DataFrame, root: str, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids) of the documents in ``files``, a written table; start counts the ids before it in all files. Without ``with_ids`` they are decoded and summed up, but not given."""
     n_files = files.count()
     before = F.sum("n_ids").over(W.orderBy("part", "number").rowsBetween(W.unboundedPreceding, -1))  # a row a file
     placed = files.select("file", "bytes", F.coalesce(before, F.lit(0)).alias("before")).repartitionByRange(max(1, n_files), "before")
@@ -332,12 +332,12 @@ def read_files(files: DataFrame, root: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(held.keys[some], pa.int64(), mask=held.nulls[some]), pa.array(starts[some] + first), pa.array(held.lengths[some]),
-                            pa.array([zlib.crc32(x) for x in parts], pa.int64()), pa.array([bytes(x) for x in parts], pa.binary()),
+                            pa.array([zlib.crc32(x) for x in parts], pa.int64()), *([pa.array([bytes(x) for x in parts], pa.binary())] if with_ids else []),
                         ],
-                        names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
+                        names=["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])],
                     )
 
-    return placed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return placed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else ""))
 
 
 def write_ids(docs: DataFrame, path: str | None = None, end_id: int = END_ID, file_ids: int = FILE_IDS) -> tuple[str, DataFrame]:
@@ -355,4 +355,4 @@ def write_ids(docs: DataFrame, path: str | None = None, end_id: int = END_ID, fi
 
 def op13_binary_output(spark, sf_dir: str) -> DataFrame:
     root, files = write_ids(table(spark, sf_dir, "documents"))
-    return read_files(files, root).drop("ids")
+    return read_files(files, root, with_ids=False)
