@@ -12,7 +12,7 @@ import numpy as np
 import regex
 
 #: Units, and parts of units, whose ids a task keeps, and the longest of them.
-CACHE_UNITS, CACHE_CHARS = 1_800_000, 48
+CACHE_UNITS, CACHE_CHARS = 900_000, 48
 #: Fixed value: how a byte-level tokenizer with its standard pattern parts a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -21,6 +21,11 @@ _WHITE = r"\s\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206
 _UNSAFE = re.compile(rf"[{_WHITE}] (?:[{_WHITE}]|\Z)")
 
 
+def _unsafe(text: str) -> bool:
+    plain = text.isascii() and not any(x in text for x in ("  ", "\n ", "\r ", "\t ", "\v ", "\f ", "\x1c ", "\x1d ", "\x1e ", "\x1f "))
+    return not plain and _UNSAFE.search(text) is not None
+
+
 class ByteIds:
     """The tokenizer parts a text before any white space, of which a single space goes to the word behind it; BPE never
     joins parts. So a text can be cut before spaces, unless white space stands on both sides of one, and a unit's ids are the same wherever it stands. Units come back
@@ -42,10 +47,11 @@ class ByteIds:
         for c in [*range(0x800), *range(0x800, 0x10000, 0x40), *range(0x10000, 0x110000, 0x10000)]:
             if not 0xD800 <= c < 0xE000:
                 shown.update(zip(chr(c).encode(), visible.pre_tokenize_str(chr(c))[0][0]))
-        self.shown = "".join(shown.get(b, "\ufdd0") for b in range(256))
-        #: A line feed stands between parts that are encoded in one call.
-        self.between = shown[10]
-        self.end = self.tokenizer.token_to_id(self.between)
+        self.shown = "".join(shown.get(b, " ") for b in range(256))
+        #: Bytes that each id stands for, which tell where a part ends among the ids of many.
+        self.bytes_of = np.zeros(self.size + 1, np.int64)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.bytes_of[i] = len(token)
         #: Ids take 16 bits where that suffices for the vocabulary, otherwise 32.
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         #: Ids of units at the start of a text, of those behind a space, of other parts.
@@ -57,21 +63,20 @@ class ByteIds:
         return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def _encode_parts(self, parts: list[str], known: dict[str, bytes], before: str) -> None:
-        """Adds parts to ``known``, as they are behind ``before``."""
-        plain = [x for x in parts if len(x) <= 1000 and "\n" not in x]
+        """Adds parts to ``known``, as they are behind ``before``; a byte that no text has stands between them, and shows as a blank."""
         width = self.kind.itemsize
-        for i in range(0, len(plain), 2000):
-            some = plain[i : i + 2000]
-            text = codecs.charmap_decode((before + f"\n{before}".join(some)).encode(), "strict", self.shown)[0].replace(self.between, f" {self.between} ")
+        for i in range(0, len(parts), 2000):
+            some = parts[i : i + 2000]
+            raws = [(before + x).encode() for x in some]
+            text = codecs.charmap_decode(b"\xff".join(raws), "strict", self.shown)[0]
             ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            ends = [*(width * np.flatnonzero(ids == self.end)).tolist(), width * len(ids)]
-            assert len(ends) == len(some)
+            upto, wanted = np.cumsum(self.bytes_of[ids]), np.cumsum([len(x) for x in raws])
+            cuts = np.searchsorted(upto, wanted)
+            assert len(upto) and (upto[cuts] == wanted).all()
             blob, start = ids.astype(self.kind).tobytes(), 0
-            for part, end in zip(some, ends):
+            for part, end in zip(some, (width * (cuts + 1)).tolist()):
                 known[part] = blob[start:end]
-                start = end + width
-        rest = [x for x in parts if len(x) > 1000 or "\n" in x]
-        known.update(zip(rest, self._encode([before + x for x in rest])))
+                start = end
 
     def _learn(self, units: list[str], known: dict[str, bytes], before: str) -> None:
         parts, cores, two, many = self.parts, [], [], []
@@ -101,8 +106,8 @@ class ByteIds:
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
         """For each text its ids as little-endian integers of ``kind``."""
         for i in range(0, len(texts), 256):
-            some = [(x or "").encode("utf-8", "replace").decode() for x in texts[i : i + 256]]
-            split = [None if "<|" in x or _UNSAFE.search(x) else x.split(" ") for x in some]
+            some = [x or "" for x in texts[i : i + 256]]
+            split = [None if "<|" in x or _unsafe(x) else x.split(" ") for x in some]
             for known in (self.starts, self.spaced, self.parts):
                 if len(known) > CACHE_UNITS:  # the older half goes; what is common comes back at once
                     for unit in list(islice(known, len(known) // 2)):
