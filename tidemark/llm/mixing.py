@@ -20,19 +20,24 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import n_words, table, written
 
-#: Documents per split of the ids; ranks are the same for any number of splits.
-SPLIT_ROWS = 100_000
+#: Documents per split of the ids, and splits at most; ranks are the same for any number of splits. The driver's sketch of the ids grows with the splits alone.
+SPLIT_ROWS, MOST_SPLITS = 100_000, 1024
 
 
 def in_splits(docs: DataFrame, splits: int) -> DataFrame:
-    """``docs`` with mix_tie, which orders rows with one doc_id or none, and mix_split, ranges of (doc_id, mix_tie), null ids last."""
+    """``docs`` with mix_tie, which orders rows with one doc_id or none, and mix_split, ranges of (doc_id, mix_tie), null ids last.
+
+    The bounds of the ranges are approximate quantiles of the ids, ``splits`` - 1 at most; where all ids are null there are none.
+    """
     tied = docs.withColumn("mix_tie", F.xxhash64("text"))
     if splits == 1:
         return tied.withColumn("mix_split", F.lit(0))
     keyed = tied.withColumn("mix_key", F.col("doc_id").cast("double"))
     bounds = sorted(set(keyed.approxQuantile("mix_key", [i / splits for i in range(1, splits)], 1 / (4 * splits))))
-    cut = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="mix_key", outputCol="mix_range", handleInvalid="keep")
     of_tie = F.floor((F.col("mix_tie").cast("double") / F.lit(2.0**64) + 0.5) * F.lit(splits)).cast("int")
+    if not bounds:
+        return keyed.withColumn("mix_split", of_tie).drop("mix_key")
+    cut = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="mix_key", outputCol="mix_range", handleInvalid="keep")
     split = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1) + of_tie).otherwise(F.col("mix_range").cast("int"))
     return cut.transform(keyed).withColumn("mix_split", split).drop("mix_key", "mix_range")
 
@@ -71,7 +76,7 @@ def mix_sources(
     """
     docs = docs.select([c for c in docs.columns if not c.startswith("mix_")])
     columns = docs.columns if keep is None else [c for c in keep if c in docs.columns]
-    splits = max(1, docs.count() // SPLIT_ROWS)
+    splits = min(MOST_SPLITS, max(1, docs.count() // SPLIT_ROWS))
     sized = in_splits(docs, splits).withColumn("mix_size", n_words("text"))
     sized = sized.select(*dict.fromkeys([*columns, "doc_id", "source", "mix_tie", "mix_split", "mix_size"]))
     if "text" not in columns:
@@ -79,8 +84,13 @@ def mix_sources(
     buckets = sized.groupBy(F.col("source").alias("mix_source"), "mix_size", "mix_split").agg(F.count(F.lit(1)).alias("mix_n"))
     sources = buckets.groupBy("mix_source").agg(F.sum(F.col("mix_size") * F.col("mix_n")).alias("mix_source_size"))
     targets = source_targets(sources, share, weights, cap)
-    running = W.partitionBy("mix_source").orderBy("mix_size", "mix_split").rowsBetween(W.unboundedPreceding, -1)
-    buckets = buckets.withColumn("mix_before", F.coalesce(F.sum("mix_n").over(running), F.lit(0)))
+    # Prefix sums in two levels: over the sizes of a source, a row a size, and over the splits of a size.
+    by_size = W.partitionBy("mix_source").orderBy("mix_size").rowsBetween(W.unboundedPreceding, -1)
+    by_split = W.partitionBy("mix_source", "mix_size").orderBy("mix_split").rowsBetween(W.unboundedPreceding, -1)
+    smaller = buckets.groupBy("mix_source", "mix_size").agg(F.sum("mix_n").alias("mix_n")).withColumn("mix_smaller", F.coalesce(F.sum("mix_n").over(by_size), F.lit(0)))
+    smaller = smaller.select(F.col("mix_source").alias("mix_of"), F.col("mix_size").alias("mix_of_size"), "mix_smaller")
+    buckets = buckets.join(smaller, F.expr("mix_source <=> mix_of and mix_size = mix_of_size"))
+    buckets = buckets.withColumn("mix_before", F.col("mix_smaller") + F.coalesce(F.sum("mix_n").over(by_split), F.lit(0)))
     buckets = buckets.alias("b").join(targets.alias("t"), F.expr("b.mix_source <=> t.mix_source")).select(
         F.col("b.mix_source"), F.col("b.mix_size").alias("mix_bucket_size"), F.col("b.mix_split").alias("mix_bucket_split"),
         "mix_before", "mix_source_size", "mix_target",
