@@ -24,8 +24,8 @@ from tidemark.llm.hashing import chunks
 
 ORDERS, DIMENSIONS_LOG2 = (2, 3, 4), 15
 DIMENSIONS = 1 << DIMENSIONS_LOG2
-#: Labelled rows that are fitted, languages that can be learned, landmarks; these bound all that the driver holds.
-MOST_ROWS, MOST_LANGS, LANDMARKS = 1600, 400, 256
+#: Labelled rows that are fitted, and landmarks; more only where a language would be without one. These and the number of languages bound all that the driver holds.
+MOST_ROWS, LANDMARKS = 1600, 256
 RIDGE = 1e-4
 UNKNOWN = "und"
 
@@ -68,9 +68,9 @@ def fit(bits: list[bytes], langs: list[str]) -> tuple[list[str], np.ndarray]:
     names = sorted(set(langs))
     packed = np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1)
     unpack = lambda x: np.unpackbits(x, axis=1).astype(np.float32)
-    # Landmarks in turn from every language.
+    # Landmarks in turn from every language, one of each at least.
     turns = sorted(range(len(langs)), key=lambda i, seen={}: (seen.setdefault(langs[i], []).append(i) or len(seen[langs[i]]), langs[i]))  # noqa: B006
-    marks = unpack(packed[turns[:LANDMARKS]])
+    marks = unpack(packed[turns[: max(LANDMARKS, len(names))]])
     kernel = np.concatenate([_kernel(unpack(packed[i : i + 128]), marks) for i in range(0, len(packed), 128)]).astype(float)
     target = np.where(np.array(langs)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     own = _kernel(marks, marks).astype(float)
@@ -81,15 +81,15 @@ def fit(bits: list[bytes], langs: list[str]) -> tuple[list[str], np.ndarray]:
 
 
 def training_sample(docs: DataFrame, held: int = 0, parts: int = 5) -> DataFrame:
-    """(lang, bits) of at most MOST_ROWS rows outside the held-out fold, as many of each language as there are, up to an equal share."""
+    """(lang, bits) of at most MOST_ROWS rows outside the held-out fold, or one a language if these are more: as many of each language as there are, up to an equal share."""
     rows = docs.where((fold("doc_id", parts) != held) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     sizes = [(r["lang"], r["n"]) for r in sizes.collect()]
     if not sizes:
         return rows.select("lang", F.lit(0).alias("k"), F.lit(None).cast("binary").alias("bits")).limit(0)
     share = max(1, MOST_ROWS // len(sizes))
-    # Twice the share by hash, then exactly the share.
-    cuts = docs.sparkSession.createDataFrame([(k, min(1.0, 2.0 * share / n)) for k, n in sizes], "lang string, part double")
+    # Twice the share by hash and some more, so that no language comes out with fewer, then exactly the share.
+    cuts = docs.sparkSession.createDataFrame([(k, min(1.0, (2.0 * share + 40) / n)) for k, n in sizes], "lang string, part double")
     place = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(1 << 30)) / float(1 << 30)
     some = rows.join(F.broadcast(cuts), "lang").withColumn("place", place).where("place < part")
     some = some.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("place", "doc_id"))).where(F.col("k") <= share)
