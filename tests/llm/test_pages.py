@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import extract, warc
-from tidemark.llm.common import new_path
+from tidemark.llm.common import new_folder
 
 SCHEMA = "page_id long, url string, html string"
 BIG = "<p>" + "payload " * 40 + "</p>"
@@ -38,7 +38,7 @@ def test_round_trip(pages):
 def test_index_finds_every_capture_and_nothing_else(spark, pages, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_LINES", 2)
     many = spark.range(300).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id") % 7, F.lit(".example.com/"), F.col("id") % 40).alias("url"), F.col("id").cast("string").alias("html"))
-    root = new_path(spark, "warc-test")
+    root = new_folder(spark, "warc-test")
     manifest = warc.write_archives(many, root)
     directory = warc.build_index(manifest, root)
     assert directory.count() >= 100
@@ -179,3 +179,20 @@ def test_text_without_article_is_what_varies(spark):
     page = "<html><body><div class='menu'><a href=1>Home</a></div><div class='top'>Always the same words</div><div class='content'><p>Story number {n}</p></div><div class='links'><a href=2>Link {n} is long enough</a></div></body></html>"
     df = spark.createDataFrame([(i, f"http://v.example.com/{i}", page.replace("{n}", str(i))) for i in range(8)], SCHEMA)
     assert {r["page_id"]: r["ex_text"] for r in extract.extract_text(df).collect()} == {i: f"Story number {i}" for i in range(8)}
+
+
+def test_the_template_decides_and_survives_repeats(spark):
+    """Without the template the repeated lines stay, with it they go; a table with every page twice has the same template."""
+    rows = [(n, f"http://n.example.com/{n}", noticed(n, 1 + n % 3)) for n in range(12)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r["page_id"]: r["ex_text"] for r in extract.extract_text(df).collect()}
+    off = {n: extract.main_text(html, None, frozenset()) for n, _, html in rows}
+    assert all(got[n] != off[n] and set(got[n].split("\n\n")) < set(off[n].split("\n\n")) for n in got)
+    keyed = lambda x: x.select(extract.host_of(F.col("url")).alias("ex_host"), F.xxhash64("page_id", "url").alias("ex_page"), "html")
+    tokens = lambda x: {(r["ex_host"], r["token"]) for r in extract.template(keyed(x)).collect()}
+    once, twice = tokens(df), tokens(df.union(df))
+    assert once == twice and len(once) > 4
+    # Classes stay apart: an exclusive or would give every token of the doubled table the signature 0.
+    classes = lambda x: extract.equivalence_classes(keyed(x)).select("signature").distinct().count()
+    assert classes(df) == classes(df.union(df))
+    assert {r["page_id"]: r["ex_text"] for r in extract.extract_text(df.union(df)).collect()} == got

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import new_path, table, written
+from tidemark.llm.common import new_folder, opened, table, written
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 100
@@ -51,12 +51,6 @@ def _gzip(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def _open(root: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(root)
-
-
 def record_id(page_id: int | str | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}:{digest}')}>"
 
@@ -121,7 +115,7 @@ def write_archives(pages: DataFrame, root: str) -> DataFrame:
     )
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, path = _open(root)
+        system, path = opened(root)
         name, out, at = f"archive-{uuid.uuid4().hex}.warc.gz", None, 0
         try:
             for frame in batches:
@@ -141,9 +135,6 @@ def write_archives(pages: DataFrame, root: str) -> DataFrame:
             if out is not None:
                 out.close()
 
-    pages.sparkSession._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(pages.sparkSession._jsc.hadoopConfiguration()).mkdirs(
-        pages.sparkSession._jvm.org.apache.hadoop.fs.Path(root)
-    )
     return written(rows.mapInPandas(write, MANIFEST), "warc-manifest")
 
 
@@ -153,7 +144,7 @@ def build_index(manifest: DataFrame, root: str) -> DataFrame:
     order = ["key", "file", "offset"]
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, path = _open(root)
+        system, path = opened(root)
         name, at, held, out = f"index-{uuid.uuid4().hex}.gz", 0, [], None
 
         def flush(block: list) -> tuple:
@@ -198,7 +189,7 @@ def look_up(keys: DataFrame, directory: DataFrame, root: str) -> DataFrame:
         return pd.Series([np.arange(i, j, dtype=np.int32) for i, j in zip(low, high)], dtype=object)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, path = _open(root)
+        system, path = opened(root)
         d, now, wanted = shared.value, None, set()
 
         def found() -> pd.DataFrame:
@@ -225,7 +216,7 @@ def read_records(places: DataFrame, root: str) -> DataFrame:
     """The records at ``places`` (file, offset, length), read by ranges in order of place."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, path = _open(root)
+        system, path = opened(root)
         name, source = None, None
         for frame in batches:
             out = []
@@ -252,7 +243,7 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
 
     An empty table gives an empty result; a null URL has the empty key. Columns other than page_id, url and html are not read.
     """
-    root = new_path(pages.sparkSession, "warc")
+    root = new_folder(pages.sparkSession, "warc")
     manifest = write_archives(pages, root)
     directory = build_index(manifest, root)
     places = written(look_up(pages.select(url_key(F.col("url")).alias("key")), directory, root), "warc-places")
