@@ -231,13 +231,16 @@ def host_of(url: Column) -> Column:
 def equivalence_classes(pages: DataFrame) -> DataFrame:
     """(ex_host, token, signature, parent, is_text, is_main, n_pages, chars, link_chars, varies): the tokens that stand in nearly all pages of their host.
 
-    The signature stands for the occurrence vector, the exclusive or of a hash of (page, times), so that it can be summed in parts; tokens with equal signatures are one class.
+    The signature stands for the occurrence vector: the sums of both halves of a hash of (page, times), which can be taken in parts, and in which a page that is there twice counts
+    twice. Tokens with equal signatures are one class.
     Only classes of ``LEAST_TOKENS`` or more, of hosts with ``LEAST_PAGES`` or more, are here.
     """
     found = page_tokens.asNondeterministic()  # else a filter for empty arrays would run it once more
     rows = pages.select("ex_host", "ex_page", found("html").alias("x")).select("ex_host", "ex_page", F.explode("x.tokens").alias("t")).select("ex_host", "ex_page", "t.*")
+    of_page = F.xxhash64("ex_page", "times")
+    signature = F.xxhash64(F.sum(F.shiftright(of_page, 32)), F.sum(of_page.bitwiseAND(0xFFFFFFFF)))
     tokens = rows.groupBy("ex_host", "token").agg(
-        F.bit_xor(F.xxhash64("ex_page", "times")).alias("signature"), F.min("parent").alias("parent"), F.max("is_text").alias("is_text"), F.max("is_main").alias("is_main"),
+        signature.alias("signature"), F.min("parent").alias("parent"), F.max("is_text").alias("is_text"), F.max("is_main").alias("is_main"),
         F.count(F.lit(1)).alias("n_pages"), F.sum("chars").alias("chars"), F.sum("link_chars").alias("link_chars"), (F.min("state") < F.max("state")).alias("varies"),
     )
     hosts = pages.groupBy("ex_host").agg(F.count(F.lit(1)).alias("host_pages")).where(F.col("host_pages") >= LEAST_PAGES)
