@@ -496,6 +496,21 @@ def test_fingerprints(docs, awkward, empty):
     assert syncmers.fingerprints(awkward).count() == awkward.count() and syncmers.fingerprints(empty).count() == 0
 
 
+def test_likeness_is_the_longest_chain_by_rank():
+    """Against the plain table of longest common subsequences of (hash, rank) pairs."""
+    r = random.Random(8)
+    for _ in range(300):
+        a, b = ([r.randrange(1, 7) for _ in range(r.randrange(0, 12))] for _ in range(2))
+        x, y = ([(v, s[:i].count(v)) for i, v in enumerate(s)] for s in (a, b))
+        best = np.zeros((len(x) + 1, len(y) + 1), int)
+        for i, j in np.ndindex(len(x), len(y)):
+            best[i + 1, j + 1] = best[i, j] + 1 if x[i] == y[j] else max(best[i, j + 1], best[i + 1, j])
+        wanted = 2 * best[-1, -1] / (len(a) + len(b)) if a or b else 1.0
+        found = syncmers.likeness(*[(np.arange(len(s), dtype=np.uint32), np.array(s, np.uint32)) for s in (a, b)])
+        assert found == pytest.approx(wanted)
+    assert syncmers.likeness((np.arange(3), np.array([1, 2, 1], np.uint32)), (np.arange(2), np.array([2, 1], np.uint32))) == 0.4
+
+
 def test_only_empty_texts_have_no_anchor():
     texts = [" ".join(words(20, 4000 + i))[:n] for i in range(20) for n in range(syncmers.K, 56)]
     found = [syncmers.anchors(t) for t in texts]
@@ -731,3 +746,26 @@ def test_pipeline(spark, tmp_path):
     final = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r["doc_id"], r["piece"]) for r in final) == sorted((r["doc_id"], r["piece"]) for r in docs.collect())
     check_packing(final)
+
+
+@pytest.mark.parametrize("known", ["none", "some", "all"])
+def test_mixing_with_null_ids_in_many_splits(spark, monkeypatch, known):
+    rows = [(None if known == "none" or known == "some" and i % 3 else i // 2, "w " * (i % 4), "ab"[i % 5 == 0]) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = lambda: sorted(((r["doc_id"], r["text"], r["mix_copies"]) for r in mixing.mix_sources(df).collect()), key=str)
+    whole = taken()
+    for rows_of_split, most in ((20, 1024), (1, 7)):
+        monkeypatch.setattr(mixing, "SPLIT_ROWS", rows_of_split)
+        monkeypatch.setattr(mixing, "MOST_SPLITS", most)
+        assert taken() == whole
+
+
+def test_every_language_has_a_landmark(spark):
+    """More languages than landmarks, and than a sample has rows for: none is dropped."""
+    alphabet = [chr(0x4E00 + i) for i in range(5000)]
+    rows = [(1000 * lang + i, "".join(alphabet[7 * lang + (i + j) % 7] for j in range(30)), f"l{lang:03d}") for lang in range(450) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = {lang for d, _, lang in rows if zlib.crc32(str(d).encode()) % 5}
+    assert {r["lang"] for r in langid.training_sample(df).select("lang").distinct().collect()} == learned
+    got = langid.identify(df).select("lang", "li_lang").collect()
+    assert np.mean([r["lang"] == r["li_lang"] for r in got if r["lang"] in learned]) > 0.95
