@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.profile import exact_quantiles
+from tidemark.sources.tables import ranged
 
 
 def filter_in(df: DataFrame, column: str, values: Sequence) -> DataFrame:
@@ -83,21 +85,22 @@ def fill_nonfinite(df: DataFrame, key: Sequence[str], columns: Sequence[str], or
     """Infinite and NaN values as null; then the last value before, the first after, 0.
 
     Ranges of (key, order) are filled by themselves and stitched by the last and first values of the ranges around, a row a key and range, so that
-    no task holds a whole key.
+    no task holds a whole key. Rows with a null key are one series. Of rows with one place in the order any may be the last.
     """
     finite = {c: F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), F.col(c)) for c in columns}
-    rows = df.withColumns(finite).repartitionByRange(*key, order).withColumn("__part", F.spark_partition_id())
-    near = W.partitionBy(*key, "__part").orderBy(order)
-    back, ahead = near.rowsBetween(W.unboundedPreceding, 0), near.rowsBetween(0, W.unboundedFollowing)
+    rows = ranged(df.withColumns(finite), *key, order)
+    near = W.partitionBy(*key, "__part")
+    back, ahead = near.orderBy(F.asc(order)), near.orderBy(F.desc(order))
     first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("o"), F.col(c).alias("v"))))["v"]
     last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("o"), F.col(c).alias("v"))))["v"]
     ends = rows.groupBy(*key, "__part").agg(*[x for i, c in enumerate(columns) for x in (first(c).alias(f"__f{i}"), last(c).alias(f"__l{i}"))])
-    along = W.partitionBy(*key).orderBy("__part")
-    before, after = along.rowsBetween(W.unboundedPreceding, -1), along.rowsBetween(1, W.unboundedFollowing)
-    around = {f"__b{i}": F.last(f"__l{i}", ignorenulls=True).over(before) for i in range(len(columns))} | {f"__a{i}": F.first(f"__f{i}", ignorenulls=True).over(after) for i in range(len(columns))}
-    ends = ends.withColumns(around).select(*key, "__part", *around)
-    rows = rows.join(ends, [*key, "__part"])
-    filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(back), F.col(f"__b{i}"), F.first(c, ignorenulls=True).over(ahead), F.col(f"__a{i}"), F.lit(0.0)) for i, c in enumerate(columns)}
+    # A row a key and range; frames that only grow, since Spark computes a shrinking one anew for every row.
+    along, against = (W.partitionBy(*key).orderBy(o).rowsBetween(W.unboundedPreceding, -1) for o in (F.asc("__part"), F.desc("__part")))
+    around = {f"__b{i}": F.last(f"__l{i}", ignorenulls=True).over(along) for i in range(len(columns))} | {f"__a{i}": F.last(f"__f{i}", ignorenulls=True).over(against) for i in range(len(columns))}
+    ends = ends.withColumns(around).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)], F.col("__part").alias("__in"), *around)
+    rows = rows.join(ends, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key)], F.col("__part") == F.col("__in")))
+    before, after = (w.rowsBetween(W.unboundedPreceding, 0) for w in (back, ahead))
+    filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(before), F.col(f"__b{i}"), F.last(c, ignorenulls=True).over(after), F.col(f"__a{i}"), F.lit(0.0)) for i, c in enumerate(columns)}
     return rows.withColumns(filled).select(*df.columns)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -55,6 +56,19 @@ def pacf(df: DataFrame, key: Sequence[str], nlags: int) -> DataFrame:
 
 #: 5 % critical value of the unit-root test with a constant, by MacKinnon's response surface (2010).
 ADF_5_PERCENT = (-2.86154, -2.8903, -4.234, -40.04)
+#: MacKinnon's (1994) approximation of the p-value for the same case. The normal quantile of p is a polynomial of the statistic, one up to ADF_BEND and
+#: one beyond; below ADF_RANGE p is 0, above it 1.
+ADF_SMALL_P = (2.1659, 1.4412, 0.038269)
+ADF_LARGE_P = (1.7339, 0.93202, -0.12745, -0.010368)
+ADF_BEND, ADF_RANGE = -1.61, (-18.83, 2.74)
+
+
+def adf_p_value(statistic: float) -> float:
+    """The p-value of a unit-root statistic with a constant, for a long series."""
+    if not ADF_RANGE[0] <= statistic <= ADF_RANGE[1]:
+        return float("nan") if statistic != statistic else float(statistic > 0)
+    surface = ADF_SMALL_P if statistic <= ADF_BEND else ADF_LARGE_P
+    return 0.5 * math.erfc(-sum(c * statistic**i for i, c in enumerate(surface)) / math.sqrt(2))
 
 
 def adf_statistic(y: np.ndarray) -> tuple[float, int, int]:
@@ -81,9 +95,12 @@ def adf_statistic(y: np.ndarray) -> tuple[float, int, int]:
 
 
 def adf_table(df: DataFrame, key: Sequence[str], max_d: int = 2) -> DataFrame:
-    """(key, d, statistic, lags, n_obs, critical, stationary) for each difference, and chosen: the least d that is stationary."""
+    """(key, d, statistic, lags, n_obs, critical, p_value, stationary) for each difference, and chosen: the least d that is stationary, with a p-value below 0.05.
+
+    The critical value is that of as many observations, at 5 %.
+    """
 
-    @F.pandas_udf("array<struct<d:int,statistic:double,lags:int,n_obs:int,critical:double,stationary:boolean>>")
+    @F.pandas_udf("array<struct<d:int,statistic:double,lags:int,n_obs:int,critical:double,p_value:double,stationary:boolean>>")
     def test(ys: pd.Series) -> pd.Series:
         out = []
         for y in ys:
@@ -91,7 +108,8 @@ def adf_table(df: DataFrame, key: Sequence[str], max_d: int = 2) -> DataFrame:
             for d in range(max_d + 1):
                 t, lags, n = adf_statistic(np.diff(y, d) if d else y)
                 critical = float(sum(c / max(n, 1) ** i for i, c in enumerate(ADF_5_PERCENT)))
-                rows.append((d, t, lags, n, critical, bool(t < critical)))
+                p = adf_p_value(t)
+                rows.append((d, t, lags, n, critical, p, bool(p < 0.05)))
             out.append(rows)
         return pd.Series(out, dtype=object)
 
@@ -129,6 +147,92 @@ def seasonal_strength(df: DataFrame, key: Sequence[str], period: int = 12) -> Da
     return parts.groupBy(*key).agg(F.expr("greatest(0D, 1 - try_divide(var_pop(residual), var_pop(seasonal + residual)))").alias("strength"))
 
 
+def loess(y: np.ndarray, at: np.ndarray, width: int, weights: np.ndarray | None = None) -> np.ndarray:
+    """Local lines through y at 0, 1, 2, ..., evaluated at the places ``at``: the ``width`` nearest values count by the tricube of their distance, and by ``weights``.
+
+    With a width beyond the series the neighbourhood grows by half of what is missing.
+    """
+    n = len(y)
+    q = min(width, n)
+    left = np.clip(np.floor(at - (q - 1) / 2 + 1e-9).astype(int), 0, n - q)
+    index = left[:, None] + np.arange(q)
+    apart = np.abs(index - at[:, None])
+    reach = apart.max(1) + max(width - n, 0) / 2
+    w = np.clip(1 - (apart / np.maximum(reach, 1e-300)[:, None]) ** 3, 0, None) ** 3
+    w = np.where(apart <= 0.001 * reach[:, None], 1.0, np.where(apart >= 0.999 * reach[:, None], 0.0, w))
+    if weights is not None:
+        w = w * weights[index]
+    total = w.sum(1)
+    w = w / np.where(total > 0, total, 1)[:, None]
+    mean = (w * index).sum(1)
+    off = index - mean[:, None]
+    spread = (w * off * off).sum(1)
+    own = y[index]
+    level = (w * own).sum(1)
+    line = np.where(np.sqrt(spread) > 0.001 * max(n - 1, 1), (w * off * own).sum(1) / np.where(spread > 0, spread, 1) * (at - mean), 0.0)
+    # Where no value counts, the one at hand stands for itself.
+    return np.where(total > 0, level + line, y[np.clip(np.rint(at).astype(int), 0, n - 1)])
+
+
+def _odd(x: float) -> int:
+    n = math.ceil(x)
+    return n + 1 - n % 2
+
+
+def stl_parts(y: np.ndarray, period: int = 12, seasonal: int = 7, robust: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(trend, seasonal part) of a series by local regression (Cleveland et al. 1990).
+
+    An inner loop smooths each month of the detrended series by itself, takes a low-pass of that away and smooths what is left as the trend. Robust outer loops weigh values down
+    by the bisquare of their residual over six median residuals.
+    """
+    n, trend, weights = len(y), np.zeros(len(y)), None
+    places, low_width, trend_width = np.arange(n, dtype=float), _odd(period + 1 if period % 2 == 0 else period), _odd(1.5 * period / (1 - 1.5 / seasonal))
+    average = lambda x, k: np.convolve(x, np.full(k, 1 / k), mode="valid")
+    found = np.zeros(n)
+    for outer in range(16 if robust else 1):
+        for _ in range(2 if robust else 5):
+            cycles = np.zeros(n + 2 * period)
+            for m in range(period):
+                own = (y - trend)[m::period]
+                cycles[m::period] = loess(own, np.arange(-1.0, len(own) + 1), seasonal, None if weights is None else weights[m::period])[: len(cycles[m::period])]
+            low = loess(average(average(average(cycles, period), period), 3), places, low_width)
+            found = cycles[period : period + n] - low
+            trend = loess(y - found, places, trend_width, weights)
+        if robust:
+            apart = np.abs(y - found - trend)
+            six = 6 * float(np.median(apart))
+            u = apart / six if six > 0 else np.zeros(n)
+            weights = np.where(u <= 0.001, 1.0, np.where(u >= 0.999, 0.0, (1 - np.minimum(u, 1) ** 2) ** 2))
+    return trend, found
+
+
+def decompose_stl(df: DataFrame, key: Sequence[str], period: int = 12, y: str = "y", robust: bool = True, seasonal: int = 7) -> DataFrame:
+    """(key, ds, y, trend, seasonal, residual), which add up: every series by local regression. The parts are null for series with gaps in y or shorter than two periods."""
+
+    @F.pandas_udf("array<struct<trend:double,seasonal:double,residual:double>>")
+    def parts(ys: pd.Series) -> pd.Series:
+        out = []
+        for x in ys:
+            x = np.array([np.nan if v is None else v for v in x], float)
+            if len(x) < 2 * period or not np.isfinite(x).all():
+                out.append([(None, None, None)] * len(x))
+                continue
+            trend, own = stl_parts(x, period, seasonal, robust)
+            out.append(list(zip(trend.tolist(), own.tolist(), (x - trend - own).tolist())))
+        return pd.Series(out, dtype=object)
+
+    pairs = F.array_sort(F.collect_list(F.struct(F.col("ds").alias("ds"), F.col(y).alias("y"))))
+    arrays = df.groupBy(*key).agg(pairs.alias("p")).withColumn("x", parts.asNondeterministic()(F.transform("p", lambda p: p["y"].cast("double"))))
+    rows = arrays.select(*key, F.explode(F.arrays_zip("p", "x")).alias("r"))
+    return rows.select(*key, "r.p.ds", F.col("r.p.y").alias(y), "r.x.trend", "r.x.seasonal", "r.x.residual")
+
+
+def stl_strength(df: DataFrame, key: Sequence[str], period: int = 12) -> DataFrame:
+    """As seasonal_strength, of the robust decomposition of log1p data."""
+    parts = decompose_stl(df.withColumn("y", F.log1p("y")), key, period).where("residual is not null")
+    return parts.groupBy(*key).agg(F.expr("greatest(0D, 1 - try_divide(var_pop(residual), var_pop(seasonal + residual)))").alias("strength"))
+
+
 def needs_transform(df: DataFrame, key: Sequence[str], n: int = 12, least: float = 0.5) -> DataFrame:
     """(key, r, transform): whether rolling means and variances go together."""
     both = rolling(rolling(df, key, n, "avg", name="__m"), key, n, "variance", name="__v")

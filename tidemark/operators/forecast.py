@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.arma import fit_orders
+from tidemark.operators.networks import Recurrent, predicted, prepared
+from tidemark.operators.networks import train as train_network
 from tidemark.operators.profile import forecast_errors, mean_over_runs
 from tidemark.operators.series import align_actual_forecast, as_arrays, best_per_group, lag_windows, last_n, series_by_config
 
@@ -71,76 +74,93 @@ def holt_winters(train: DataFrame, key: Sequence[str], h: int, configs: Sequence
     return _dated(best.withColumn("yhats", F.expr(ahead)), key, "holt_winters")
 
 
-def hannan_rissanen(y: np.ndarray, p: int, d: int, q: int) -> dict | None:
-    """ARMA(p, q) of the d-th difference by two least-squares fits; None where the series is too short."""
-    z = np.diff(np.asarray(y, float), d) if d else np.asarray(y, float)
-    long = min(max(p + q, 4) + 2, len(z) // 3)
-    need = max(p, q + long if q else 0)
-    if len(z) - need < p + q + 3:
-        return None
-    residual = np.zeros(len(z))
-    if q:
-        x = np.column_stack([np.ones(len(z) - long), *[z[long - k : len(z) - k] for k in range(1, long + 1)]])
-        residual[long:] = z[long:] - x @ np.linalg.lstsq(x, z[long:], rcond=None)[0]
-    columns = [np.ones(len(z) - need), *[z[need - k : len(z) - k] for k in range(1, p + 1)], *[residual[need - k : len(z) - k] for k in range(1, q + 1)]]
-    x, target = np.column_stack(columns), z[need:]
-    b = np.linalg.lstsq(x, target, rcond=None)[0]
-    e = target - x @ b
-    n, k = len(target), p + q + 2
-    sse = max(float(e @ e), 1e-300)
-    loglik = -n / 2 * (np.log(2 * np.pi * sse / n) + 1)
-    return {"b": b, "e": e, "z": z, "n": n, "sse": sse, "aic": 2 * k - 2 * loglik, "bic": k * np.log(n) - 2 * loglik}
-
-
-def residual_p(e: np.ndarray, lags: int = 12) -> float:
-    """Ljung-Box p of residuals with ``lags`` (even) degrees of freedom."""
-    n, e = len(e), e - e.mean()
-    lags = min(lags, (n - 1) // 2 * 2)
-    v = float(e @ e)
-    if lags < 2 or v <= 0:
-        return 1.0
-    half = n * (n + 2) * sum((float(e[k:] @ e[:-k]) / v) ** 2 / (n - k) for k in range(1, lags + 1)) / 2
-    term, total = 1.0, 1.0
-    for i in range(1, lags // 2):
-        term *= half / i
-        total += term
-    return float(np.exp(-half) * total)
-
-
-def arma_ahead(fit: dict, y: np.ndarray, p: int, d: int, q: int, h: int) -> list[float]:
-    z, e = list(fit["z"]), list(fit["e"])
-    for _ in range(h):
-        e_at = lambda k: e[-k] if k <= len(e) else 0.0
-        value = fit["b"][0] + sum(fit["b"][k] * z[-k] for k in range(1, p + 1)) + sum(fit["b"][p + k] * e_at(k) for k in range(1, q + 1))
-        z.append(float(value))
-        e.append(0.0)
-    out = np.array(z[-h:])
-    for i in range(d, 0, -1):
-        out = np.cumsum(out) + (np.diff(y, i - 1)[-1] if i > 1 else y[-1])
-    return [float(v) for v in out]
+def smoothing_sse(y: np.ndarray, configs: np.ndarray, period: int) -> np.ndarray:
+    """Sums of squared one-step errors of Holt-Winters smoothing, as ``holt_winters`` runs it, for rows (a, b, g, phi) side by side; with period 0 of simple smoothing for rows (a,)."""
+    if not period:
+        level, sse = np.full(len(configs), y[0]), np.zeros(len(configs))
+        for v in y[1:]:
+            e = v - level
+            level, sse = level + configs[:, 0] * e, sse + e * e
+        return sse
+    a, b, g, phi = configs.T
+    level = np.full(len(a), y[:period].mean())
+    trend, season, sse = np.full(len(a), (y[period : 2 * period].mean() - y[:period].mean()) / period), np.repeat((y[:period] - y[:period].mean())[:, None], len(a), 1), np.zeros(len(a))
+    for i, v in enumerate(y[period:]):
+        own, ahead = season[i % period].copy(), level + phi * trend
+        e = v - ahead - own
+        new = ahead + a * e
+        trend, level = phi * trend + b * (new - level - phi * trend), new
+        season[i % period], sse = own + g * (v - new - own), sse + e * e
+    return sse
+
+
+def smoothing_search(train: DataFrame, key: Sequence[str], configs: Sequence[tuple], low: Sequence[float], high: Sequence[float], period: int = 12, rounds: int = 40) -> DataFrame:
+    """(key, params, sse, grid_sse): the smoothing parameters with the least error within bounds, by a pattern search from the best of ``configs``, so that no series does worse than its grid.
+
+    A round tries a step up and down in every parameter, and goes to the best of them or halves the step. Series shorter than two periods, or of one value, are left out.
+    """
+    start, lower, upper = np.array(configs, float), np.array(low, float), np.array(high, float)
+
+    @F.pandas_udf("struct<params:array<double>,sse:double,grid_sse:double>")
+    def search(ys: pd.Series) -> pd.DataFrame:
+        out = []
+        for y in ys:
+            y = np.asarray(y, float)
+            costs = smoothing_sse(y, start, period)
+            at, best = start[costs.argmin()], float(costs.min())
+            grid_best, step = best, (upper - lower) / 8
+            moves = np.concatenate([np.eye(len(at)), -np.eye(len(at))])
+            for _ in range(rounds):
+                tried = np.clip(at + moves * step, lower, upper)
+                costs = smoothing_sse(y, tried, period)
+                if costs.min() < best:
+                    at, best = tried[costs.argmin()], float(costs.min())
+                else:
+                    step = step / 2
+            out.append((at.tolist(), best, grid_best))
+        return pd.DataFrame(out, columns=["params", "sse", "grid_sse"])
+
+    arrays = as_arrays(train, key).where(F.col("n") >= max(2 * period, 2))
+    return arrays.withColumn("f", search("ys")).select(*key, "f.*")
+
+
+def ses_search(train: DataFrame, key: Sequence[str]) -> DataFrame:
+    return smoothing_search(train, key, [(a,) for a in grid(0.05, 1.0, 20)], [0.0], [1.0], 0)
+
+
+def holt_winters_search(train: DataFrame, key: Sequence[str], period: int = 12) -> DataFrame:
+    return smoothing_search(train, key, HOLT_WINTERS_GRID, [0.001, 0.0, 0.0, 0.8], [0.999, 0.999, 0.999, 0.995], period)
 
 
 def arma_grid(train: DataFrame, key: Sequence[str], orders: Sequence[tuple[int, int, int]], h: int = 1) -> DataFrame:
-    """(key, p, d, q, aic, bic, p_value, yhats, last_ds): every series with every order, each its own row of the work. yhats are of log1p data, back on the scale."""
-    configs = train.sparkSession.createDataFrame(list(orders), "p int, d int, q int")
-    both = series_by_config(as_arrays(train, key), configs).repartition(*key, "p", "d", "q")
+    """(key, p, d, q, loglik, aic, bic, p_value, yhats, last_ds): every series with every order (p, d, q) by exact Gaussian likelihood. yhats are of log1p data, back on the scale.
 
-    @F.pandas_udf("aic double, bic double, p_value double, yhats array<double>")
-    def fit(ys: pd.Series, p: pd.Series, d: pd.Series, q: pd.Series) -> pd.DataFrame:
+    Orders of one p and d are a row of the work, and are searched side by side. All fits of a series go by equally many values.
+    """
+    groups: dict[tuple[int, int], list[int]] = {}
+    for p, d, q in orders:
+        groups.setdefault((p, d), []).append(q)
+    most = max(d for _, d, _ in orders)
+    configs = train.sparkSession.createDataFrame([(p, d, sorted(qs)) for (p, d), qs in groups.items()], "p int, d int, qs array<int>")
+    both = series_by_config(as_arrays(train, key), configs).repartition(*key, "p", "d")
+
+    @F.pandas_udf("array<struct<q:int,loglik:double,aic:double,bic:double,p_value:double,yhats:array<double>>>")
+    def fit(ys: pd.Series, ps: pd.Series, ds: pd.Series, qs: pd.Series) -> pd.Series:
         out = []
-        for y, i, j, k in zip(ys, p, d, q):
-            y = np.log1p(np.maximum(np.asarray(y, float), 0))
-            f = hannan_rissanen(y, i, j, k)
-            ahead = None if f is None else np.maximum(np.expm1(np.minimum(arma_ahead(f, y, i, j, k, h), 700)), 0).tolist()
-            out.append((None, None, None, None) if f is None else (float(f["aic"]), float(f["bic"]), residual_p(f["e"]), ahead))
-        return pd.DataFrame(out, columns=["aic", "bic", "p_value", "yhats"])
+        for y, p, d, own in zip(ys, ps, ds, qs):
+            fits = fit_orders(np.log1p(np.maximum(np.asarray(y, float), 0)), int(d), [(int(p), int(q)) for q in own], most, h)
+            ahead = lambda f: np.maximum(np.expm1(np.minimum(f["ahead"], 700)), 0).tolist()
+            out.append([(f["q"], f["loglik"], float(f["aic"]), float(f["bic"]), f["p_value"], ahead(f)) for f in fits])
+        return pd.Series(out, dtype=object)
 
-    return both.withColumn("f", fit("ys", "p", "d", "q")).select(*key, "p", "d", "q", "f.*", "last_ds").where("aic is not null")
+    rows = both.withColumn("f", F.explode(fit.asNondeterministic()("ys", "p", "d", "qs")))
+    return rows.select(*key, "p", "d", "f.q", "f.loglik", "f.aic", "f.bic", "f.p_value", "f.yhats", "last_ds")
 
 
 def select_arma(fits: DataFrame, key: Sequence[str], order: Sequence[str] = ("bic", "aic"), least_p: float = 0.05) -> DataFrame:
-    """Of each series the best fit whose residuals pass, or else the best of all."""
-    return best_per_group(fits, key, [(F.col("p_value") <= least_p).cast("int"), *order, "p", "d", "q"])
+    """Of each series the best fit by ``order`` whose residuals pass, or else that with the least AIC."""
+    fails = (F.col("p_value") <= least_p).cast("int")
+    return best_per_group(fits, key, [fails, *[F.when(fails == 1, F.col("aic")).otherwise(F.col(c)) for c in order], "p", "d", "q"])
 
 
 def trend_fourier(train: DataFrame, key: Sequence[str], h: int, harmonics: int = 3, knots: int = 5, ridge: float = 1.0) -> DataFrame:
@@ -166,6 +186,71 @@ def trend_fourier(train: DataFrame, key: Sequence[str], h: int, harmonics: int =
     return _dated(as_arrays(train, key).withColumn("yhats", ahead("ys")), key, "trend_fourier")
 
 
+def sparse_fit(x: np.ndarray, y: np.ndarray, sparse: np.ndarray, penalty: float, start: np.ndarray | None = None, tolerance: float = 1e-10) -> np.ndarray:
+    """The b that minimises |y - x b|^2 / 2 + penalty * sum |b_j| over the ``sparse`` columns, by coordinate descent on the normal equations."""
+    g, c = x.T @ x, x.T @ y
+    b = np.zeros(x.shape[1]) if start is None else start.copy()
+    # All columns without a penalty are solved for at once.
+    free, held = np.flatnonzero(~sparse), np.flatnonzero(sparse)
+    inverse = np.linalg.pinv(g[np.ix_(free, free)])
+    for _ in range(2000):
+        before = b.copy()
+        b[free] = inverse @ (c[free] - g[np.ix_(free, held)] @ b[held])
+        for j in held:
+            if g[j, j] > 0:
+                slope = c[j] - g[j] @ b + g[j, j] * b[j]
+                b[j] = np.sign(slope) * max(abs(slope) - penalty, 0) / g[j, j]
+        if np.abs(b - before).max() <= tolerance * max(1.0, float(np.abs(b).max())):
+            break
+    return b
+
+
+def trend_columns(t: np.ndarray, n: int, knots: int, harmonics: int, period: int = 12) -> np.ndarray:
+    """A constant, a line, hinges that begin within the first 80 % of n steps, and harmonics of the period."""
+    s = t / max(n - 1, 1)
+    hinges = [np.maximum(s - 0.8 * k / (knots + 1), 0) for k in range(1, knots + 1)]
+    waves = [f(2 * np.pi * k * t / period) for k in range(1, harmonics + 1) for f in (np.sin, np.cos)]
+    return np.column_stack([np.ones(len(t)), s, *hinges, *waves])
+
+
+def sparse_trend(y: np.ndarray, knots: int, harmonics: int) -> np.ndarray:
+    """Coefficients of ``trend_columns`` with few hinges other than 0: the penalty, out of a falling row of them, whose columns, refitted without one, have the least BIC."""
+    x = trend_columns(np.arange(len(y)), len(y), knots, harmonics)
+    sparse = np.zeros(x.shape[1], bool)
+    sparse[2 : 2 + knots] = True
+    n, best, chosen, b = len(y), np.inf, None, None
+    if not knots:
+        return np.linalg.lstsq(x, y, rcond=None)[0]
+    most = max(float(np.abs(x[:, sparse].T @ (y - x[:, ~sparse] @ np.linalg.lstsq(x[:, ~sparse], y, rcond=None)[0])).max()), 1e-12)
+    for penalty in most * 0.7 ** np.arange(0, 24):
+        b = sparse_fit(x, y, sparse, penalty, b)
+        kept = ~sparse | (b != 0)
+        refit = np.zeros(len(b))
+        refit[kept] = np.linalg.lstsq(x[:, kept], y, rcond=None)[0]
+        sse = max(float(((y - x @ refit) ** 2).sum()), 1e-300)
+        score = n * np.log(sse / n) + (1 + 2 * np.count_nonzero(kept & sparse) + np.count_nonzero(~sparse)) * np.log(n)
+        if score < best - 1e-9:
+            best, chosen = score, refit
+    return chosen
+
+
+def changepoint_trend(train: DataFrame, key: Sequence[str], h: int, knots: int = 25, harmonics: int = 3) -> DataFrame:
+    """A piecewise linear trend with few breaks, which a sparse prior finds, and yearly harmonics, of log1p data."""
+
+    @F.pandas_udf("array<double>")
+    def ahead(ys: pd.Series) -> pd.Series:
+        out = []
+        for y in ys:
+            y = np.log1p(np.maximum(np.asarray(y, float), 0))
+            n = len(y)
+            few = min(knots, max(n // 4, 0)), min(harmonics, max((n - 2) // 4, 0))
+            x = trend_columns(np.arange(n, n + h), n, *few)
+            out.append(np.maximum(np.expm1(np.minimum(x @ sparse_trend(y, *few), 700)), 0).tolist())
+        return pd.Series(out, dtype=object)
+
+    return _dated(as_arrays(train, key).withColumn("yhats", ahead("ys")), key, "changepoint_trend")
+
+
 def _scaled(train: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """log1p values over each key's training range, and the constants."""
     logs = train.withColumn("y", F.log1p("y"))
@@ -243,14 +328,59 @@ def window_regressor_with_features(train: DataFrame, features: DataFrame, column
     return _unscaled(last.withColumn("yhats", values), constants, key, "window_features")
 
 
-def tune_on_validation(series: DataFrame, key: Sequence[str], lookbacks: Sequence[int], months: int = 24) -> DataFrame:
-    """(key, lookback, rmse, chosen): direct models fitted before the last ``months`` and scored on them; the least mean RMSE over keys is chosen."""
+def _recurrent(train: DataFrame, key: Sequence[str], outputs: int, lookback: int, hidden: int, seed: int, features: DataFrame | None = None, columns: Sequence[str] = (), **how) -> tuple:
+    """(network, parameters, last windows with x, constants): a recurrent network for windows of all series, begun at the linear model; the last 15 % of every series' windows validate."""
+    scaled, constants = _scaled(train, key)
+    windows, last = lag_windows(scaled, key, lookback, outputs), _last_windows(scaled, key, lookback)
+    if features is not None:
+        features = features.select(*key, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in columns])
+        windows, last = windows.join(features, list(key)), last.join(features, list(key)).withColumn("x", F.concat("x", F.array(*columns)))
+    k, n = F.row_number().over(W.partitionBy(*key).orderBy("ds")), F.count(F.lit(1)).over(W.partitionBy(*key))
+    windows = windows.withColumn("valid", k > F.floor(n * F.lit(0.85)))
+    linear = _fit(windows.where("not valid"), outputs, columns)
+    rows = windows.withColumn("x", F.concat("x", F.array(*columns))) if columns else windows
+    network = Recurrent(lookback, hidden, outputs, len(columns))
+    flat, _ = train_network(prepared(rows, [*key, "ds"], "x", "target", "valid"), network, network.start(seed, linear), seed=seed, **how)
+    return network, flat, last, constants
+
+
+def recurrent_direct(train: DataFrame, key: Sequence[str], h: int, lookback: int = 12, hidden: int = 12, seed: int = 7, **how) -> DataFrame:
+    """A recurrent network with an output for every step ahead, one for all series. Series without a full window have no forecast."""
+    network, flat, last, constants = _recurrent(train, key, h, lookback, hidden, seed, **how)
+    return _unscaled(predicted(last, network, flat), constants, key, "recurrent_direct")
+
+
+def recurrent_recursive(train: DataFrame, key: Sequence[str], h: int, lookback: int = 12, hidden: int = 12, seed: int = 7, **how) -> DataFrame:
+    """A one-step recurrent network, fed with its own forecasts."""
+    network, flat, last, constants = _recurrent(train, key, 1, lookback, hidden, seed, **how)
+
+    @F.pandas_udf("array<double>")
+    def ahead(windows: pd.Series) -> pd.Series:
+        if not len(windows):
+            return pd.Series([], dtype=object)
+        x = np.stack(windows.to_numpy()).astype(float)
+        for _ in range(h):
+            # A scaled forecast far outside of what was seen would feed on itself.
+            x = np.column_stack([x, np.clip(network.predict(flat, x[:, -lookback:]), -2, 3)])
+        return pd.Series(list(x[:, lookback:]), dtype=object)
+
+    return _unscaled(last.withColumn("yhats", ahead(F.col("x").cast("array<double>"))), constants, key, "recurrent_recursive")
+
+
+def recurrent_with_features(train: DataFrame, features: DataFrame, columns: Sequence[str], key: Sequence[str], h: int, lookback: int = 12, hidden: int = 12, seed: int = 7, **how) -> DataFrame:
+    """As recurrent_direct, with the series' features (one row a key) beside the window."""
+    network, flat, last, constants = _recurrent(train, key, h, lookback, hidden, seed, features, columns, **how)
+    return _unscaled(predicted(last, network, flat), constants, key, "recurrent_features")
+
+
+def tune_on_validation(series: DataFrame, key: Sequence[str], lookbacks: Sequence[int], months: int = 24, fit=window_regressor_direct) -> DataFrame:
+    """(key, lookback, rmse, chosen): models of ``fit``, linear or recurrent ones, fitted before the last ``months`` and scored on them; the least mean RMSE over keys is chosen."""
     last = F.max("ds").over(W.partitionBy(*key))
     marked = series.withColumn("__cut", F.add_months(last, -months))
     train, valid = marked.where("ds <= __cut").drop("__cut"), marked.where("ds > __cut").drop("__cut")
     parts = []
     for lookback in lookbacks:
-        forecast = window_regressor_direct(train, key, months, lookback)
+        forecast = fit(train, key, months, lookback)
         parts.append(forecast_errors(align_actual_forecast(valid, forecast, key), key).select(*key, F.lit(lookback).alias("lookback"), "rmse"))
     rows = parts[0]
     for p in parts[1:]:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import ranged
+
 
 def month_profile(df: DataFrame, y: str = "y") -> DataFrame:
     """Mean by month of the year, in calendar order."""
@@ -19,41 +21,51 @@ def mean_by_year(df: DataFrame, y: str = "y") -> DataFrame:
     return df.groupBy(F.year("ds").alias("year")).agg(F.avg(y).alias("mean"))
 
 
-def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float], by: Sequence[str] = (), ranges: int = 200) -> DataFrame:
-    """(by, n, q): the quantiles of every group, interpolated between neighbours, without a task or buffer that holds a group.
+#: Ranks of approximate quantiles are wrong by a group's rows over this at most; smaller groups than twice this many rows are counted by value as a whole.
+ACCURACY = 10_000
+
 
-    Approximate quantiles cut each group into ranges. Counts by range say in which ranges the wanted ranks lie; only their rows are ranked.
+def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float], by: Sequence[str] = (), beside: dict | None = None, accuracy: int = ACCURACY) -> DataFrame:
+    """(by, n, q): the quantiles of every group, interpolated between neighbours, in two passes and without a task or buffer that holds a large group; q is of nulls for a group without values.
+
+    The first pass finds two approximate quantiles around each share, between which the wanted ranks surely lie. The second counts the few rows between them by
+    value and all others in one row for each stretch outside. Their running sum says which values have the wanted ranks. ``beside``, aggregates of ``__x`` by name, are taken in the first pass and come along as columns.
     """
+    beside = beside or {}
     names = [f"__by{i}" for i in range(len(by))]
-    rows = df.where(F.col(column).isNotNull()).select(*[F.col(b).alias(n) for b, n in zip(by, names)], F.col(column).cast("double").alias("__x"))
-    cuts = rows.groupBy(*names).agg(F.percentile_approx("__x", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(20 * ranges)).alias("__cuts"))
-    same = [F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}")) for n in names]
-    meet = lambda a, b: a.alias("a").join(F.broadcast(b.alias("b")), reduce(lambda x, y: x & y, same), "inner").drop(*[F.col(f"b.{n}") for n in names]) if names else a.crossJoin(F.broadcast(b))
-    placed = meet(rows, cuts).withColumn("__range", F.expr("size(filter(__cuts, c -> c < __x))")).drop("__cuts")
-    counts = placed.groupBy(*names, "__range").agg(F.count(F.lit(1)).alias("__n"))
-    group = W.partitionBy(*names)
-    counts = counts.withColumns({"__upto": F.sum("__n").over(group.orderBy("__range").rowsBetween(W.unboundedPreceding, 0)), "__all": F.sum("__n").over(group)})
-    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor((F.col("__all") - 1) * F.lit(s)), F.ceil((F.col("__all") - 1) * F.lit(s))) for s in shares])))
-    wanted = counts.withColumn("__ranks", F.filter(ranks, lambda r: (r >= F.col("__upto") - F.col("__n")) & (r < F.col("__upto"))))
-    wanted = wanted.where(F.size("__ranks") > 0).select(*names, F.col("__range").alias("__in"), (F.col("__upto") - F.col("__n")).alias("__before"), "__ranks", "__all")
-    hits = meet(placed, wanted).where("__range = __in").groupBy(*names, "__in", "__before", "__ranks", "__all", "__x").agg(F.count(F.lit(1)).alias("__n"))
-    last = F.col("__before") + F.sum("__n").over(W.partitionBy(*names, "__in").orderBy("__x").rowsBetween(W.unboundedPreceding, 0))
-    found = hits.withColumn("__last", last).withColumn("__rank", F.explode(F.filter("__ranks", lambda r: (r >= F.col("__last") - F.col("__n")) & (r < F.col("__last")))))
-    values = found.groupBy(*names).agg(F.map_from_entries(F.collect_list(F.struct("__rank", "__x"))).alias("__m"), F.first("__all").alias("n"))
-    at = lambda s: (F.col("n") - 1) * F.lit(s)
-    value = lambda s: F.element_at("__m", F.floor(at(s))) + (at(s) - F.floor(at(s))) * (F.element_at("__m", F.ceil(at(s))) - F.element_at("__m", F.floor(at(s))))
-    return values.select(*[F.col(n).alias(b) for b, n in zip(by, names)], "n", F.array(*[value(s) for s in shares]).alias("q"))
-
-
-def _beside(rows: DataFrame, few: DataFrame, by: Sequence[str]) -> DataFrame:
-    """``rows`` with the columns of ``few``, a row a group."""
-    return rows.join(few, list(by), "left") if by else rows.crossJoin(F.broadcast(few))
+    rows = df.select(*[F.col(b).alias(n) for b, n in zip(by, names)], F.col(column).cast("double").alias("__x"))
+    around = F.array(*[F.lit(float(min(max(s + side * 2 / accuracy, 0), 1))) for side in (-1, 1) for s in shares])
+    facts = F.struct(F.count("__x").alias("__all"), *[v.alias(k) for k, v in beside.items()])
+    groups = rows.groupBy(*names).agg(F.percentile_approx("__x", around, F.lit(accuracy)).alias("__edges"), facts.alias("__facts"))
+    if names:
+        few = groups.select(*[F.col(n).alias(f"{n}b") for n in names], "__edges", "__facts")
+        placed = rows.join(few, reduce(lambda x, y: x & y, [F.col(n).eqNullSafe(F.col(f"{n}b")) for n in names]))
+    else:
+        placed = rows.crossJoin(F.broadcast(groups))  # one row
+    x, large = F.col("__x"), F.col("__facts")["__all"] > 2 * accuracy
+    edges = [(F.col("__edges")[i], F.col("__edges")[i + len(shares)]) for i in range(len(shares))]
+    inside = x.isNotNull() & (~large | reduce(lambda a, b: a | b, [x.between(low, high) for low, high in edges]))
+    least = F.lit(float("-inf"))
+    passed = F.greatest(least, *[F.when(high < x, high).otherwise(least) for _, high in edges])
+    marked = placed.select(*names, "__x", "__facts", inside.alias("__in"), F.when(inside, x).otherwise(passed).alias("__v"))
+    counts = marked.groupBy(*names, "__v", "__in").agg(F.count("__x").alias("__n"), F.first("__facts").alias("__facts"))
+    upto = F.sum("__n").over(W.partitionBy(*names).orderBy("__v", F.desc("__in")).rowsBetween(W.unboundedPreceding, 0))
+    counts = counts.withColumn("__upto", upto)
+    at = lambda s: (F.col("__facts")["__all"] - 1) * F.lit(float(s))
+    here = lambda r: F.max(F.when(F.col("__in") & (r >= F.col("__upto") - F.col("__n")) & (r < F.col("__upto")), F.col("__v")))
+    found = counts.groupBy(*names).agg(F.first("__facts").alias("__facts"), *[v for i, s in enumerate(shares) for v in (here(F.floor(at(s))).alias(f"__f{i}"), here(F.ceil(at(s))).alias(f"__c{i}"))])
+    value = lambda i, s: F.col(f"__f{i}") + F.when(F.col(f"__c{i}") > F.col(f"__f{i}"), (at(s) - F.floor(at(s))) * (F.col(f"__c{i}") - F.col(f"__f{i}"))).otherwise(0.0)
+    return found.select(
+        *[F.col(n).alias(b) for b, n in zip(by, names)], F.coalesce(F.col("__facts")["__all"], F.lit(0)).alias("n"), F.array(*[value(i, s) for i, s in enumerate(shares)]).alias("q"),
+        *[F.col("__facts")[k].alias(k) for k in beside],
+    )
 
 
 def describe(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
-    q = exact_quantiles(df, column, (0.25, 0.5, 0.75), by).drop("n")
-    sums = df.groupBy(*by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
-    return _beside(sums, q, by).select(*by, "n", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
+    """Count, mean, deviation, least value, quartiles and greatest value; groups without a value have count 0 and nulls."""
+    sums = {"mean": F.avg("__x"), "std": F.stddev("__x"), "min": F.min("__x"), "max": F.max("__x")}
+    rows = exact_quantiles(df, column, (0.25, 0.5, 0.75), by, sums)
+    return rows.select(*by, "n", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
 
 
 def adjusted_skew(column: str | Column) -> Column:
@@ -86,7 +98,7 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 
 def quartile_fences(df: DataFrame, column: str, by: Sequence[str] = (), k: float = 1.5) -> DataFrame:
     spread = F.col("q")[2] - F.col("q")[0]
-    return exact_quantiles(df, column, (0.25, 0.5, 0.75), by).select(
+    return exact_quantiles(df, column, (0.25, 0.5, 0.75), by).where("n > 0").select(
         *by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"),
         (F.col("q")[0] - k * spread).alias("low"), (F.col("q")[2] + k * spread).alias("high"),
     )
@@ -146,19 +158,21 @@ def correlation(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFr
 
 
 def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Each column as its rank, ties sharing their mean rank and nulls without one.
+    """Each column, as doubles, as its rank, ties sharing their mean rank and nulls without one.
 
-    Ranks come from counts by value: ranges of values are summed first, so that no task sorts a whole column.
+    Ranks come from counts by column and value: ranges of values are summed first, so that no task sorts a whole column.
     """
-    for c in columns:
-        counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("__v")).agg(F.count(F.lit(1)).alias("__n")).repartitionByRange("__v")
-        counts = counts.withColumn("__part", F.spark_partition_id())
-        parts = counts.groupBy("__part").agg(F.sum("__n").alias("__sum"), F.min("__v").alias("__low"))
-        before = F.coalesce(F.sum("__sum").over(W.orderBy("__low").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        parts = parts.select("__part", before.alias("__before"))  # a row a partition
-        inside = F.coalesce(F.sum("__n").over(W.partitionBy("__part").orderBy("__v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        ranks = counts.join(F.broadcast(parts), "__part").select("__v", (F.col("__before") + inside + (F.col("__n") + 1) / 2.0).alias("__rank"))
-        df = df.join(ranks, F.col(c) == F.col("__v"), "left").withColumn(c, F.col("__rank")).drop("__v", "__rank")
+    df = df.withColumns({c: F.col(c).cast("double") for c in columns})
+    pairs = F.array(*[F.struct(F.lit(i).alias("__c"), F.col(c).alias("__v")) for i, c in enumerate(columns)])
+    long = df.select(F.explode(pairs).alias("__p")).select("__p.*").where("__v is not null")
+    counts = ranged(long.groupBy("__c", "__v").agg(F.count(F.lit(1)).alias("__n")), "__c", "__v")
+    parts = counts.groupBy("__c", "__part").agg(F.sum("__n").alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(W.partitionBy("__c").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("__c", "__part", before.alias("__before"))  # a row a column and range
+    inside = F.coalesce(F.sum("__n").over(W.partitionBy("__c", "__part").orderBy("__v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranks = counts.join(parts, ["__c", "__part"]).select("__c", "__v", (F.col("__before") + inside + (F.col("__n") + 1) / 2.0).alias("__rank"))
+    for i, c in enumerate(columns):
+        df = df.join(ranks.where(F.col("__c") == i).select("__v", "__rank"), F.col(c) == F.col("__v"), "left").withColumn(c, F.col("__rank")).drop("__v", "__rank")
     return df
 
 

@@ -15,7 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.linkage import cut_linkage, ward_linkage
+from tidemark.operators.networks import Dense, predicted, prepared, steady
+from tidemark.operators.networks import train as train_network
 from tidemark.operators.profile import percentile_of_pair
+from tidemark.sources.tables import ranged
 
 
 def euclidean(a: str, b: str) -> Column:
@@ -146,11 +150,22 @@ def kmeans(df: DataFrame, key: str, vec: str, ks: Sequence[int], seed: int = 7)
     return _clusters(df, key, vec, ks, lambda k: KMeans(k=k, seed=seed, featuresCol="features"))
 
 
-def hierarchical_groups(df: DataFrame, key: str, vec: str, ks: Sequence[int], seed: int = 7) -> DataFrame:
+def bisecting_groups(df: DataFrame, key: str, vec: str, ks: Sequence[int], seed: int = 7) -> DataFrame:
     """As kmeans, by bisecting: the clusters of k + 1 split those of k."""
     return _clusters(df, key, vec, ks, lambda k: BisectingKMeans(k=k, seed=seed, featuresCol="features"))
 
 
+def hierarchical_groups(df: DataFrame, key: str, vec: str, ks: Sequence[int]) -> DataFrame:
+    """(key, k, cluster, silhouette, inertia): Ward's linkage cut into every number of clusters."""
+    cut = cut_linkage(ward_linkage(df, key, vec), df, key, ks)
+    out = None
+    for k in ks:
+        found = cut.where(F.col("k") == k).join(df.select(key, vec), key)
+        part = silhouette(found, key, vec, "cluster").select(key, F.lit(k).alias("k"), "cluster", "silhouette")
+        out = part if out is None else out.unionByName(part)
+    return out.join(cut.select("k", "inertia").distinct(), "k").select(key, "k", "cluster", "silhouette", "inertia")
+
+
 def best_k(clusters: DataFrame) -> DataFrame:
     """(k, inertia, silhouette, best): the best has the greatest mean silhouette."""
     by_k = clusters.groupBy("k").agg(F.first("inertia").alias("inertia"), F.avg("silhouette").alias("silhouette"))
@@ -160,15 +175,18 @@ def best_k(clusters: DataFrame) -> DataFrame:
 def with_next(df: DataFrame, label: str, order: Sequence[str | Column], vec: str, name: str) -> DataFrame:
     """Column ``name``: the vector of the next row of the label, null for its last.
 
-    Ranges of (label, order) are walked by themselves; the first vector of each range goes to the range before, so that no task holds a whole label.
+    Ranges of (label, order) are walked by themselves; the first vector of each range goes to the range before, so that no task holds a whole label. Rows with a null label are one
+    sequence; of rows with one place in the order any may be the next.
     """
     places = {f"__o{i}": c if isinstance(c, Column) else F.col(c) for i, c in enumerate(order)}
-    rows = df.withColumns(places).repartitionByRange(label, *places).withColumn("__part", F.spark_partition_id())
+    rows = ranged(df.withColumns(places), label, *places)
     firsts = rows.groupBy(label, "__part").agg(F.min_by(vec, F.struct(*places)).alias("__first"))
     firsts = firsts.select(F.col(label).alias("__label"), F.col("__part").alias("__in"), F.lead("__first").over(W.partitionBy(label).orderBy("__part")).alias("__then"))
-    near = F.lead(vec).over(W.partitionBy(label, "__part").orderBy(*places))
+    near = W.partitionBy(label, "__part").orderBy(*places)
     joined = rows.join(firsts, F.col(label).eqNullSafe(F.col("__label")) & (F.col("__part") == F.col("__in")))
-    return joined.withColumn(name, F.coalesce(near, "__then")).select(*df.columns, name)
+    # By number, since the next row of the range may itself have no vector.
+    is_last = F.row_number().over(near) == F.count(F.lit(1)).over(W.partitionBy(label, "__part"))
+    return joined.withColumn(name, F.when(is_last, F.col("__then")).otherwise(F.lead(vec).over(near))).select(*df.columns, name)
 
 
 def adjacent_vs_distant(df: DataFrame, label: str, order: str, vec: str, seed: int = 7) -> DataFrame:
@@ -184,9 +202,17 @@ def scramble(key: str | Column, seed: int) -> Column:
 
 
 def sample_per_class(df: DataFrame, label: str, key: str, n: int, seed: int = 7) -> DataFrame:
-    """Exactly n rows of every label, or all if it has fewer."""
-    k = F.row_number().over(W.partitionBy(label).orderBy(scramble(key, seed), key))
-    return df.withColumn("__k", k).where(F.col("__k") <= n).drop("__k")
+    """Exactly n rows of every label, or all if it has fewer: those of least scramble of the key, then of least key. Of rows that repeat a key any may be taken.
+
+    Counts by label and slice, the first three digits of the scramble, say up to which slice the n rows reach; only the rows of those slices are ranked.
+    """
+    rows = df.withColumn("__s", scramble(key, seed)).withColumn("__slice", F.substring("__s", 1, 3))
+    counts = rows.groupBy(F.col(label).alias("__label"), F.col("__slice").alias("__in")).agg(F.count(F.lit(1)).alias("__c"))
+    before = F.coalesce(F.sum("__c").over(W.partitionBy("__label").orderBy("__in").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    reached = counts.withColumn("__before", before).where(F.col("__before") < n).groupBy("__label").agg(F.max("__in").alias("__upto"))
+    some = rows.join(reached, F.col(label).eqNullSafe(F.col("__label"))).where(F.col("__slice") <= F.col("__upto"))
+    k = F.row_number().over(W.partitionBy(label).orderBy("__s", key))
+    return some.withColumn("__k", k).where(F.col("__k") <= n).select(*df.columns)
 
 
 def stratified_split(df: DataFrame, label: str, key: str, shares: Sequence[tuple[str, float]] = (("train", 0.7), ("val", 0.15), ("test", 0.15)), seed: int = 7) -> DataFrame:
@@ -285,6 +311,58 @@ def dense_classifier(train: DataFrame, test: DataFrame, key: str, label: str, ve
     return model.transform(_with_features(test, key, label, vec)).select(key, label, "prediction")
 
 
+def rectified_classifier(
+    train: DataFrame, test: DataFrame, key: str, label: str, vec: str, hidden: Sequence[int] = (64, 32), dropout: float = 0.3, seed: int = 7, epochs: int = 12, batches: int = 3, rate: float = 0.01
+) -> DataFrame:
+    """(key, label, prediction) of rectified layers with dropout, trained by gradient sums over all tasks; labels run from 0.
+
+    A fixed 15 % of the training rows, by a hash of the key, say when to stop and which parameters to keep. Components are brought to deviation 1 with one
+    constant of the training rows.
+    """
+    whole = train.select(F.explode(F.col(vec).cast("array<double>")).alias("x")).agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).first()
+    facts = train.agg(F.max(F.size(vec)).alias("w"), F.max(label).alias("top")).first()
+    mean, deviation = steady(whole["m"] or 0), steady(whole["s"] or 1) or 1.0
+    scaled = lambda df: df.select(key, label, F.transform(vec, lambda x: (x.cast("double") - mean) / deviation).alias("x"))
+    network = Dense([int(facts["w"]), *hidden, int(facts["top"]) + 1], dropout)
+    rows = scaled(train).withColumns({"y": F.array(F.col(label).cast("double")), "valid": F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(100)) < 15})
+    flat, _ = train_network(prepared(rows, [key], "x", "y", "valid"), network, network.start(seed), epochs, batches, rate, seed=seed)
+    found = predicted(scaled(test), network, flat, "x", "p")
+    return found.select(key, F.col(label).cast("double").alias(label), (F.array_position("p", F.array_max("p")) - 1).cast("double").alias("prediction"))
+
+
+def fourier_features(df: DataFrame, vec: str, size: int, features: int, gamma: float, seed: int, name: str) -> DataFrame:
+    """``df`` with column ``name``: random Fourier features, whose products approach the kernel exp(-gamma |x - y|^2)."""
+    r = np.random.default_rng(seed)
+    turn, shift = r.normal(size=(size, features)) * np.sqrt(2 * gamma), r.uniform(0, 2 * np.pi, features)
+
+    @F.pandas_udf("array<double>")
+    def turned(rows: pd.Series) -> pd.Series:
+        return pd.Series(list(np.sqrt(2 / features) * np.cos(np.stack(rows.to_numpy()) @ turn + shift)) if len(rows) else [], dtype=object)
+
+    return df.withColumn(name, array_to_vector(turned(vector_to_array(vec))))
+
+
+def kernel_margin_classifier(
+    train: DataFrame, test: DataFrame, key: str, label: str, vec: str, k: int, features: int = 256, gamma: float | None = None, reg: float = 0.001, iterations: int = 30, seed: int = 7
+) -> DataFrame:
+    """(key, label, prediction) of scaling, principal components, a radial kernel by random Fourier features, and one-vs-rest margins.
+
+    Without ``gamma`` it is 1 over k times the components' variance.
+    """
+    steps = [StandardScaler(inputCol="features", outputCol="scaled", withMean=True), PCA(k=k, inputCol="scaled", outputCol="components")]
+    rows, others = _with_features(train, key, label, vec), _with_features(test, key, label, vec)
+    first = Pipeline(stages=steps).fit(rows)
+    if gamma is None:
+        spread = first.transform(rows).select(F.explode(vector_to_array("components")).alias("x")).agg(F.var_pop("x")).first()[0]
+        gamma = 1 / (k * spread) if spread else 1.0
+    mapped = lambda df: fourier_features(first.transform(df), "components", k, features, float(gamma), seed, "turned")
+    margin = LinearSVC(maxIter=iterations, regParam=reg, featuresCol="turned", labelCol=label)
+    kept = mapped(rows).select(key, label, "turned").cache()
+    model = OneVsRest(parallelism=8, classifier=margin, featuresCol="turned", labelCol=label).fit(kept)
+    kept.unpersist()
+    return model.transform(mapped(others)).select(key, label, "prediction")
+
+
 def margin_classifier(train: DataFrame, test: DataFrame, key: str, label: str, vec: str, k: int, reg: float = 0.01, iterations: int = 20) -> DataFrame:
     """(key, label, prediction) of scaling, principal components and one-vs-rest linear margins."""
     steps = [

@@ -12,6 +12,7 @@ from tidemark.operators import forecast as R
 from tidemark.operators import profile as P
 from tidemark.operators import series as T
 from tidemark.operators import vectors as V
+from tidemark.operators.components import power_pca
 from tidemark.plans.basic import FACTS, monthly, query_into, rounded, series_sql
 from tidemark.sources.tables import facts, table
 
@@ -81,7 +82,7 @@ def _(spark, sf):
 
 @query("o80_adf_table")
 def _(spark, sf):
-    return rounded(D.adf_table(monthly(spark, sf, "country"), ["country"]), statistic=6, critical=6)
+    return rounded(D.adf_table(monthly(spark, sf, "country"), ["country"]), statistic=6, critical=6, p_value=6)
 
 
 _TAIL = "exp(-q / 2) * (1 + q / 2 + (q / 2) ** 2 / 2 + (q / 2) ** 3 / 6 + (q / 2) ** 4 / 24 + (q / 2) ** 5 / 120)"
@@ -108,6 +109,16 @@ def _(spark, sf):
     return rounded(D.seasonal_strength(monthly(spark, sf), KEY), strength=6)
 
 
+@query("o82_decompose_stl")
+def _(spark, sf):
+    return rounded(D.decompose_stl(monthly(spark, sf), KEY).drop("y"), trend=1, seasonal=1, residual=1)
+
+
+@query("o83_stl_strength")
+def _(spark, sf):
+    return rounded(D.stl_strength(monthly(spark, sf), KEY), strength=6)
+
+
 @query("o84_needs_transform", f"""WITH {REGION}, w AS (SELECT region, CASE WHEN k >= 12 THEN avg(y) OVER w END AS m, CASE WHEN k >= 12 THEN var_samp(y) OVER w END AS v FROM numbered
 WINDOW w AS (PARTITION BY region ORDER BY ds ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)) SELECT region, round(corr(m, v), 6) AS r, corr(m, v) > 0.5 AS transform FROM w GROUP BY 1""")
 def _(spark, sf):
@@ -138,24 +149,39 @@ def _(spark, sf):
     return rounded(R.holt_winters(split(spark, sf)[0], KEY, 24), yhat=2)
 
 
+@query("o86_ses_search", f"""WITH RECURSIVE {REGION}, tr AS (SELECT region, k, y FROM numbered WHERE k <= floor(n * 0.7::DOUBLE)), a AS (SELECT unnest([round(0.05 * i, 2)::DOUBLE FOR i IN range(1, 21)]) AS alpha),
+s AS (SELECT region, alpha, 1::BIGINT AS k, y AS level, 0::DOUBLE AS sse FROM tr, a WHERE k = 1 UNION ALL
+  SELECT s.region, s.alpha, s.k + 1, s.level + s.alpha * (tr.y - s.level), s.sse + (tr.y - s.level) ** 2 FROM s JOIN tr ON tr.region = s.region AND tr.k = s.k + 1),
+f AS (SELECT * FROM s QUALIFY k = max(k) OVER (PARTITION BY region)) SELECT region, round(min(sse) / 1e12, 6) AS grid_sse, true AS no_worse FROM f GROUP BY 1""")
+def _(spark, sf):
+    """The grid's error, and that the search never does worse."""
+    found = R.ses_search(split(spark, sf)[0], KEY)
+    return rounded(found.select("region", (F.col("grid_sse") / 1e12).alias("grid_sse"), (F.col("sse") <= F.col("grid_sse")).alias("no_worse")), grid_sse=6)
+
+
+@query("o87_holt_winters_search")
+def _(spark, sf):
+    return rounded(R.holt_winters_search(split(spark, sf)[0], KEY), sse=0, grid_sse=0)
+
+
 ORDERS = [(p, d, q) for d in (0, 1) for p in range(6) for q in range(6)]
 
 
 @query("o88_arma_grid")
 def _(spark, sf):
-    return rounded(R.arma_grid(split(spark, sf)[0], KEY, ORDERS).drop("yhats"), aic=4, bic=4, p_value=6)
+    return rounded(R.arma_grid(split(spark, sf)[0], KEY, ORDERS).drop("yhats"), loglik=4, aic=4, bic=4, p_value=6)
 
 
 @query("o89_select_arma")
 def _(spark, sf):
-    return rounded(R.select_arma(R.arma_grid(split(spark, sf)[0], KEY, ORDERS, 24), KEY).drop("yhats"), aic=4, bic=4, p_value=6)
+    return rounded(R.select_arma(R.arma_grid(split(spark, sf)[0], KEY, ORDERS, 24), KEY).drop("yhats"), loglik=4, aic=4, bic=4, p_value=6)
 
 
 _FITS = f"""{FACTS}, t AS (SELECT country, count(*) AS n FROM facts GROUP BY 1), fits AS (SELECT country, p, 1::BIGINT AS d, q, ((n * (p + 2) + 13 * q) % 29)::DOUBLE AS aic, ((n * (q + 3) + 7 * p) % 11)::DOUBLE AS bic, ((n * 31 + 17 * p + 5 * q) % 100) / 400 AS p_value
   FROM t, range(0, 3) a(p), range(0, 3) b(q))"""
 
 
-@query("o89_select_arma_rule", f"WITH {_FITS} SELECT * FROM fits QUALIFY row_number() OVER (PARTITION BY country ORDER BY (p_value <= 0.05)::INT, bic, aic, p, d, q) = 1")
+@query("o89_select_arma_rule", f"WITH {_FITS} SELECT * FROM fits QUALIFY row_number() OVER (PARTITION BY country ORDER BY (p_value <= 0.05)::INT, CASE WHEN p_value <= 0.05 THEN aic ELSE bic END, aic, p, d, q) = 1")
 def _(spark, sf):
     """The rule of o89 by itself, over criteria derived from counts."""
     orders = spark.createDataFrame([(p, 1, q) for p in range(3) for q in range(3)], "p long, d long, q long")
@@ -170,6 +196,11 @@ def _(spark, sf):
     return rounded(R.trend_fourier(split(spark, sf)[0], KEY, 24), yhat=2)
 
 
+@query("o90_changepoint_trend")
+def _(spark, sf):
+    return rounded(R.changepoint_trend(split(spark, sf)[0], KEY, 24), yhat=2)
+
+
 @query("o91_window_regressor_direct")
 def _(spark, sf):
     return rounded(R.window_regressor_direct(held(spark, sf, 12)[0], KEY, 12), yhat=2)
@@ -187,6 +218,23 @@ def _(spark, sf):
     return rounded(R.window_regressor_with_features(train, feats, ["skew", "cv", "acf1", "acf2"], KEY, 12), yhat=2)
 
 
+@query("o91_recurrent_direct")
+def _(spark, sf):
+    return rounded(R.recurrent_direct(held(spark, sf, 12)[0], KEY, 12), yhat=2)
+
+
+@query("o92_recurrent_recursive")
+def _(spark, sf):
+    return rounded(R.recurrent_recursive(held(spark, sf, 12)[0], KEY, 12), yhat=2)
+
+
+@query("o93_recurrent_with_features")
+def _(spark, sf):
+    train = held(spark, sf, 12)[0]
+    feats = X.distribution_features(train, KEY).select("region", "skew", "cv").join(X.acf_features(train, KEY), KEY)
+    return rounded(R.recurrent_with_features(train, feats, ["skew", "cv", "acf1", "acf2"], KEY, 12), yhat=2)
+
+
 @query("o94_tune_on_validation")
 def _(spark, sf):
     return rounded(R.tune_on_validation(held(spark, sf, 12)[0], KEY, [6, 12, 18]), rmse=2)
@@ -447,6 +495,13 @@ def _(spark, sf):
     return rounded(V.pca(*(lambda d, c: (d, "country", c, 2))(*_standard_features(spark, sf)))[1], explained=8, cumulative=8)
 
 
+@query("o106_power_scores")
+def _(spark, sf):
+    """The same components without a matrix of all columns."""
+    df, columns = _standard_features(spark, sf)
+    return rounded(power_pca(df.select("country", F.array(*columns).alias("v")), "country", "v", 2)[0], score=6)
+
+
 @query("o107_top_loadings")
 def _(spark, sf):
     loadings = V.pca(*(lambda d, c: (d, "country", c, 2))(*_standard_features(spark, sf)))[2]
@@ -458,11 +513,43 @@ def _(spark, sf):
     return rounded(V.best_k(V.kmeans(_region_vectors(spark, sf), "country", "v", [2, 3, 4])), inertia=4, silhouette=6)
 
 
+@query("o109_bisecting_groups")
+def _(spark, sf):
+    return rounded(V.best_k(V.bisecting_groups(_region_vectors(spark, sf), "country", "v", [2, 3, 4])), inertia=4, silhouette=6)
+
+
 @query("o109_hierarchical_groups")
 def _(spark, sf):
     return rounded(V.best_k(V.hierarchical_groups(_region_vectors(spark, sf), "country", "v", [2, 3, 4])), inertia=4, silhouette=6)
 
 
+def _ward_sql(steps: int = 24) -> str:
+    """The one-by-one procedure: in every step the nearest two of all clusters become one."""
+    parts = [f"{series_sql('country')}", "c0 AS MATERIALIZED (SELECT country AS name, 1::BIGINT AS size, list(y / 1e6 ORDER BY ds) AS v, [country] AS members FROM series GROUP BY 1)"]
+    for i in range(steps):
+        parts.append(
+            f"m{i} AS MATERIALIZED (SELECT a.name AS a, b.name AS b, sqrt(2.0 * a.size * b.size / (a.size + b.size) * list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) ** 2))) AS height, a.size + b.size AS size, "
+            f"list_transform(list_zip(a.v, b.v), lambda z: (a.size * z[1] + b.size * z[2]) / (a.size + b.size)) AS v, list_concat(a.members, b.members) AS members FROM c{i} a JOIN c{i} b ON a.name < b.name ORDER BY height, a, b LIMIT 1),"
+            f"c{i + 1} AS MATERIALIZED (SELECT c.* FROM c{i} c WHERE NOT EXISTS (SELECT 1 FROM m{i} m WHERE c.name = m.a OR c.name = m.b) UNION ALL SELECT a, size, v, members FROM m{i})"
+        )
+    return "WITH " + ", ".join(parts)
+
+
+_WARD = _ward_sql()
+
+
+@query("o109_ward_merges", f"{_WARD} " + " UNION ALL ".join(f"SELECT a, b, round(height, 6) AS height, size FROM m{i}" for i in range(24)))
+def _(spark, sf):
+    return rounded(V.ward_linkage(_region_vectors(spark, sf), "country", "v"), height=6)
+
+
+@query("o109_ward_groups", f"{_WARD}, " + "s AS (" + " UNION ALL ".join(f"SELECT *, (SELECT count(*) FROM c{i}) AS k FROM c{i}" for i in range(25)) + """)
+SELECT unnest(members) AS country, k, cluster FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY name) - 1 AS cluster FROM s WHERE k BETWEEN 2 AND 4)""")
+def _(spark, sf):
+    vectors = _region_vectors(spark, sf)
+    return rounded(V.cut_linkage(V.ward_linkage(vectors, "country", "v"), vectors, "country", [2, 3, 4]).drop("inertia"))
+
+
 _KNN = """d AS (SELECT a.vec_id, a.label, b.vec_id AS other, b.label AS l, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a JOIN embeddings b ON a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0),
 t AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, other) AS r FROM d QUALIFY r <= 3), v AS (SELECT vec_id, label, l, count(*) AS n, min(r) AS first FROM t GROUP BY 1, 2, 3),
 knn AS (SELECT vec_id, label, l AS prediction FROM v QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, first) = 1)"""
@@ -492,6 +579,16 @@ def _(spark, sf):
     return V.margin_classifier(*_parts(spark, sf), "vec_id", "label", "v", 16)
 
 
+@query("o114_rectified_classifier")
+def _(spark, sf):
+    return V.rectified_classifier(*_parts(spark, sf), "vec_id", "label", "v")
+
+
+@query("o115_kernel_margin_classifier")
+def _(spark, sf):
+    return V.kernel_margin_classifier(*_parts(spark, sf), "vec_id", "label", "v", 16)
+
+
 @query("o116_tune_grid")
 def _(spark, sf):
     train, test = _parts(spark, sf)

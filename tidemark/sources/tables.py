@@ -48,6 +48,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def ranged(df: DataFrame, *order, name: str = "__part") -> DataFrame:
+    """``df`` dealt out by ranges of ``order``, with the number of a row's range in column ``name``, rising along the order.
+
+    The table is written to the shared folder with that number and read again: ranges are cut at sampled bounds, so two plans over one range exchange, or a stage that runs
+    again, need not agree on them, and numbers may be joined only if they are kept.
+    """
+    path = shared_folder(df.sparkSession, "ranged")
+    df.repartitionByRange(*order).withColumn(name, F.spark_partition_id()).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def png(width: int, height: int, rgb: bytes) -> bytes:
     """A PNG file of 8-bit RGB values, row by row, without compression."""
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
