@@ -19,6 +19,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ CAPACITY, END_ID = 2048, 0
 #: Rows per split of a size; ranks are the same for any number of splits.
 SPLIT_ROWS = 100_000
 #: Words and parts of words whose ids a task keeps, and the longest of them.
-CACHE_WORDS, CACHE_BYTES = 800_000, 64
+CACHE_WORDS, CACHE_BYTES = 300_000, 64
 
 PIECES = T.ArrayType(T.StructType([
     T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()),
@@ -121,8 +122,10 @@ class WordIds:
             raws = [(x or "").encode("utf-8", "replace") for x in texts[i : i + 128]]
             # The tokenizer lower-cases too, but for its special tokens, which are in lower case and begin with "<|".
             split = [x.split() if b"<|" in x else x.lower().split() for x in raws]
-            if len(self.known) > CACHE_WORDS:
-                self.known = {b"": b""}
+            if len(self.known) > CACHE_WORDS:  # the older half goes; what is common comes back at once
+                for word in list(islice(self.known, len(self.known) // 2)):
+                    del self.known[word]
+                self.known[b""] = b""
             new = list(set().union(*split).difference(self.known))
             self._learn(new)
             for words in split:
