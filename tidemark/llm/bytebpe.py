@@ -6,16 +6,16 @@ import codecs
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain, filterfalse, islice
+from itertools import filterfalse, islice
 
 import numpy as np
 import regex
 
 #: Units, and parts of units, whose ids a task keeps, and the longest of them.
-CACHE_UNITS, CACHE_CHARS = 900_000, 48
+CACHE_UNITS, CACHE_BYTES = 800_000, 64
 #: Fixed value: how a byte-level tokenizer with its standard pattern parts a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A space that is not cut off: one between white space, or behind white space at the end. More characters than the tokenizer's count as white space here.
 _WHITE = r"\s\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff"
 _UNSAFE = re.compile(rf"[{_WHITE}] (?:[{_WHITE}]|\Z)")
@@ -54,23 +54,22 @@ class ByteIds:
             self.bytes_of[i] = len(token)
         #: Ids take 16 bits where that suffices for the vocabulary, otherwise 32.
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        #: Ids of units at the start of a text, of those behind a space, of other parts.
-        self.starts: dict[str, bytes] = {"": b""}
-        self.spaced: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        #: Ids of units at the start of a text, of those behind a space, of other parts; all by their UTF-8.
+        self.starts: dict[bytes, bytes] = {b"": b""}
+        self.spaced: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {b"": b""}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes()
 
-    def _encode_parts(self, parts: list[str], known: dict[str, bytes], before: str) -> None:
+    def _encode_parts(self, parts: list[bytes], known: dict[bytes, bytes], before: bytes) -> None:
         """Adds parts to ``known``, as they are behind ``before``; a byte that no text has stands between them, and shows as a blank."""
-        width = self.kind.itemsize
+        width, extra = self.kind.itemsize, len(before)
         for i in range(0, len(parts), 2000):
             some = parts[i : i + 2000]
-            raws = [(before + x).encode() for x in some]
-            text = codecs.charmap_decode(b"\xff".join(raws), "strict", self.shown)[0]
+            text = codecs.charmap_decode(before + (b"\xff" + before).join(some), "strict", self.shown)[0]
             ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            upto, wanted = np.cumsum(self.bytes_of[ids]), np.cumsum([len(x) for x in raws])
+            upto, wanted = np.cumsum(self.bytes_of[ids]), np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + extra)
             cuts = np.searchsorted(upto, wanted)
             assert len(upto) and (upto[cuts] == wanted).all()
             blob, start = ids.astype(self.kind).tobytes(), 0
@@ -78,54 +77,55 @@ class ByteIds:
                 known[part] = blob[start:end]
                 start = end
 
-    def _learn(self, units: list[str], known: dict[str, bytes], before: str) -> None:
-        parts, cores, two, many = self.parts, [], [], []
+    def _learn(self, units: list[bytes], known: dict[bytes, bytes], before: bytes) -> None:
+        parts, cores, two, many = self.parts, set(), [], []
         for unit in units:
             core = unit.rstrip(_PUNCTUATION)
-            if not core.isalpha():
-                many.append((unit, self.pattern.findall(before + unit)))
-            else:
+            if core.isalpha() or (core and not core.isascii() and core.decode().isalpha()):
                 if core not in known:
-                    cores.append(core)
+                    cores.add(core)
                 if len(core) < len(unit):
                     two.append((unit, core, unit[len(core) :]))
-        cores = list(set(cores))
+            else:
+                many.append((unit, [x.encode() for x in self.pattern.findall((before + unit).decode())]))
+        cores = list(cores)
         self._encode_parts(cores, known, before)
         new = list(set().union([x[2] for x in two], *[x[1] for x in many]).difference(parts))
-        self._encode_parts(new, parts, "")
+        self._encode_parts(new, parts, b"")
         for unit, core, tail in two:
             known[unit] = known[core] + parts[tail]
         for unit, own in many:
             known[unit] = b"".join([parts[x] for x in own])
         for part in new:
-            if len(part) > CACHE_CHARS:
+            if len(part) > CACHE_BYTES:
                 del parts[part]
-        for core in set(filterfalse(set(units).__contains__, [x for x in cores if len(x) > CACHE_CHARS])):
+        for core in set(filterfalse(set(units).__contains__, [x for x in cores if len(x) > CACHE_BYTES])):
             del known[core]
 
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
         """For each text its ids as little-endian integers of ``kind``."""
-        for i in range(0, len(texts), 256):
-            some = [x or "" for x in texts[i : i + 256]]
-            split = [None if "<|" in x or _unsafe(x) else x.split(" ") for x in some]
+        for i in range(0, len(texts), 128):
+            some = [x or "" for x in texts[i : i + 128]]
+            split = [None if "<|" in x or _unsafe(x) else x.encode().split(b" ") for x in some]
             for known in (self.starts, self.spaced, self.parts):
                 if len(known) > CACHE_UNITS:  # the older half goes; what is common comes back at once
                     for unit in list(islice(known, len(known) // 2)):
                         del known[unit]
-                    known[""] = known.get("") or self._encode([" " if known is self.spaced else ""])[0]
+                    if known is not self.spaced:
+                        known[b""] = b""
             cut = [x for x in split if x is not None]
             first = list({x[0] for x in cut}.difference(self.starts))
-            later = list(set(filterfalse(self.spaced.__contains__, chain.from_iterable(islice(x, 1, None) for x in cut))))
-            self._learn(first, self.starts, "")
-            self._learn(later, self.spaced, " ")
+            later = list(set().union(*[islice(x, 1, None) for x in cut]).difference(self.spaced))
+            self._learn(first, self.starts, b"")
+            self._learn(later, self.spaced, b" ")
             for text, units in zip(some, split):
                 if units is None:
-                    yield self._encode([text])[0]
+                    yield self._encode(text)
                 else:
                     yield self.starts[units[0]] + b"".join(map(self.spaced.__getitem__, islice(units, 1, None)))
             for units, known in ((first, self.starts), (later, self.spaced)):
                 for unit in units:
-                    if len(unit) > CACHE_CHARS:
+                    if len(unit) > CACHE_BYTES:
                         del known[unit]
 
 
