@@ -96,6 +96,8 @@ class Table:
 def encode_blocks(ids: np.ndarray, shared: Table) -> list[dict]:
     """The blocks of a sequence of ids: states, words, places and checksums at the checkpoints. Blocks are coded side by side."""
     out = []
+    if len(ids) and int(ids.max()) >= len(shared.own):
+        raise ValueError("an id is not in the table")
     for at in range(0, len(ids), SIDE_IDS):
         some = ids[at : at + SIDE_IDS].astype(np.int64)
         blocks = -(-len(some) // BLOCK_IDS)
