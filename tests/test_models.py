@@ -252,6 +252,12 @@ def test_fill_over_many_ranges(spark, many_parts, adaptive):
     assert rows.columns == df.columns and rows.count() == n
 
 
+def test_ranges_of_empty_tables(spark):
+    df = spark.range(0).select(F.col("id").alias("ds"), F.lit("a").alias("k"), F.lit(1.0).alias("x"), F.array(F.lit(1.0)).alias("v"))
+    assert S.fill_nonfinite(df, ["k"], ["x"]).count() == 0 and V.with_next(df, "k", ["ds"], "v", "next").count() == 0
+    assert P.average_ranks(df, ["x"]).count() == 0 and P.exact_quantiles(df, "x", (0.5,), ["k"]).count() == 0
+
+
 def test_ranks_over_many_ranges(spark, many_parts):
     many_parts("true")
     df = spark.range(30_000).select((F.col("id") * 7919 % 30_000).cast("double").alias("x"), F.floor(F.col("id") / 3).alias("y"), F.when(F.col("id") > 9, F.lit(1.0)).alias("z"))
@@ -424,3 +430,25 @@ def test_clusters_nest_and_lower_the_inertia(spark):
             inner, outer = ({q["id"]: q["cluster"] for q in rows if q["k"] == k} for k in (4, 3))
             assert all(len({outer[i] for i in inner if inner[i] == c}) == 1 for c in set(inner.values()))
     assert V.best_k(V.hierarchical_groups(df, "id", "v", [2, 3, 4])).where("best").first()["k"] == 3
+
+
+def test_probed_neighbours_and_their_recall(spark, monkeypatch):
+    r = np.random.default_rng(21)
+    middles = r.normal(size=(12, 8)) * 5
+    x = middles[r.integers(0, 12, 1500)] + r.normal(size=(1500, 8))
+    df = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(x)], "id long, label int, v array<double>").cache()
+    train, test = df.where("id >= 200"), df.where("id < 200")
+    monkeypatch.setattr(V, "TRAIN_BYTES", 64 * 40)
+    exact = V.nearest_rows(train, test, "id", "label", "v", 5)
+    own = {i: np.sort(np.sqrt(((x[200:] - x[i]) ** 2).sum(1)))[:5] for i in range(200)}
+    rows = {}
+    for q in exact.collect():
+        rows.setdefault(q["id"], []).append(q["d"])
+    assert all(np.allclose(sorted(rows[i])[:5], own[i]) for i in own)
+    found = V.nearest_probed(train, test, "id", "label", "v", 5, lists=12, probes=3)
+    assert V.neighbour_recall(exact, found, "id", 5).first()["recall"] >= 0.95
+    every = V.nearest_probed(train, test, "id", "label", "v", 5, lists=12, probes=12)
+    assert V.neighbour_recall(exact, every, "id", 5).first()["recall"] == 1
+    a, b = ({q["id"]: q["prediction"] for q in f(train, test, "id", "label", "v").collect()} for f in (V.knn_classify, V.knn_classify_probed))
+    assert len(b) == 200 and np.mean([a[i] == b[i] for i in a]) > 0.9
+    assert V.knn_classify_probed(train.limit(0), test, "id", "label", "v").count() == 0

@@ -162,8 +162,9 @@ def prepared(rows: DataFrame, key: Sequence[str], x: str, y: str, valid: str) ->
     path = shared_folder(rows.sparkSession, "training-rows")
     plain = rows.select(*key, F.col(x).cast("array<double>").alias("x"), F.col(y).cast("array<double>").alias("y"), F.col(valid).alias("valid"))
     # A row's place follows from its key, however often this runs.
-    plain.withColumn("draw", F.xxhash64(*key)).repartition("draw").sortWithinPartitions("draw", *key).select("x", "y", "valid", "draw").write.parquet(path)
-    return rows.sparkSession.read.parquet(path)
+    dealt = plain.withColumn("draw", F.xxhash64(*key)).repartition("draw").sortWithinPartitions("draw", *key).select("x", "y", "valid", "draw")
+    dealt.write.parquet(path)
+    return rows.sparkSession.read.schema(dealt.schema).parquet(path)
 
 
 def step_sums(rows: DataFrame, network: Network, flat: np.ndarray, batch: int, batches: int, epoch: int, seed: int) -> np.ndarray:

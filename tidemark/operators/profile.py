@@ -34,7 +34,7 @@ def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float], by: Seq
     beside = beside or {}
     names = [f"__by{i}" for i in range(len(by))]
     rows = df.select(*[F.col(b).alias(n) for b, n in zip(by, names)], F.col(column).cast("double").alias("__x"))
-    around = F.array(*[F.lit(float(min(max(s + side * 2 / accuracy, 0), 1))) for side in (-1, 1) for s in shares])
+    around = F.array(*[F.lit(float(min(max(s + side * 3 / accuracy, 0), 1))) for side in (-1, 1) for s in shares])
     facts = F.struct(F.count("__x").alias("__all"), *[v.alias(k) for k, v in beside.items()])
     groups = rows.groupBy(*names).agg(F.percentile_approx("__x", around, F.lit(accuracy)).alias("__edges"), facts.alias("__facts"))
     if names:
@@ -54,7 +54,14 @@ def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float], by: Seq
     at = lambda s: (F.col("__facts")["__all"] - 1) * F.lit(float(s))
     here = lambda r: F.max(F.when(F.col("__in") & (r >= F.col("__upto") - F.col("__n")) & (r < F.col("__upto")), F.col("__v")))
     found = counts.groupBy(*names).agg(F.first("__facts").alias("__facts"), *[v for i, s in enumerate(shares) for v in (here(F.floor(at(s))).alias(f"__f{i}"), here(F.ceil(at(s))).alias(f"__c{i}"))])
-    value = lambda i, s: F.col(f"__f{i}") + F.when(F.col(f"__c{i}") > F.col(f"__f{i}"), (at(s) - F.floor(at(s))) * (F.col(f"__c{i}") - F.col(f"__f{i}"))).otherwise(0.0)
+
+    def value(i: int, s: float) -> Column:
+        low, high = F.col(f"__f{i}"), F.col(f"__c{i}")
+        # The edges surely hold the ranks; if they ever didn't, that is an error and no null.
+        missed = (F.col("__facts")["__all"] > 0) & (low.isNull() | high.isNull())
+        between = low + F.when(high > low, (at(s) - F.floor(at(s))) * (high - low)).otherwise(0.0)
+        return F.when(missed, F.raise_error(F.lit("a rank lies outside of its edges")).cast("double")).otherwise(between)
+
     return found.select(
         *[F.col(n).alias(b) for b, n in zip(by, names)], F.coalesce(F.col("__facts")["__all"], F.lit(0)).alias("n"), F.array(*[value(i, s) for i, s in enumerate(shares)]).alias("q"),
         *[F.col("__facts")[k].alias(k) for k in beside],

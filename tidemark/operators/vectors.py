@@ -254,19 +254,8 @@ def _vote(top: DataFrame, key: str, label: str, k: int) -> DataFrame:
     return best.select(key, label, F.col("__l").alias("prediction"))
 
 
-def knn_classify(train: DataFrame, test: DataFrame, key: str, label: str, vec: str, k: int = 3) -> DataFrame:
-    """(key, label, prediction): vote of the k nearest of all training rows, ties by nearness, then by key.
-
-    Test rows and training rows are cut into blocks by hash; every block of the one meets every block of the other in a task of
-    bounded size, as one matrix product, and only the k nearest of each test row and block leave it. Keys are unique.
-    """
-    sizes = train.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("w")).first()
-    n_train, n_test = max(1, -(-int(sizes["n"] or 0) * int(sizes["w"] or 1) * 8 // TRAIN_BYTES)), max(1, -(-test.count() // BLOCK_ROWS))
-    block = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    plain = lambda df: df.select(F.col(key).cast("long").alias("key"), F.col(label).cast("string").alias("label"), F.col(vec).cast("array<double>").alias("v"), block(n_train if df is train else n_test).alias("own"))
-    a = plain(test).withColumnRenamed("own", "i").withColumn("j", every(n_train))
-    b = plain(train).withColumnRenamed("own", "j").withColumn("i", every(n_test))
+def _neighbours(a: DataFrame, b: DataFrame, groups: Sequence[str], key: str, label: str, k: int) -> DataFrame:
+    """(key, label, __k, __l, d): of every row of ``a`` (key, label, v) the k nearest rows of ``b`` in the same group; a group meets in one task, as one matrix product."""
 
     def nearest(tests: pd.DataFrame, trains: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -286,10 +275,86 @@ def knn_classify(train: DataFrame, test: DataFrame, key: str, label: str, vec: s
                         out.append((row.key, row.label, keys[near[at]], labels[near[at]], d[at]))
         return pd.DataFrame(out, columns=[key, label, "__k", "__l", "d"])
 
+    return a.groupBy(*groups).cogroup(b.groupBy(*groups)).applyInPandas(nearest, f"`{key}` long, `{label}` string, __k long, __l string, d double")
+
+
+def _plain(df: DataFrame, key: str, label: str, vec: str) -> DataFrame:
+    return df.select(F.col(key).cast("long").alias("key"), F.col(label).cast("string").alias("label"), F.col(vec).cast("array<double>").alias("v"))
+
+
+def _voted(found: DataFrame, test: DataFrame, key: str, label: str, k: int) -> DataFrame:
     kind = dict(test.dtypes)
-    found = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(nearest, f"`{key}` long, `{label}` string, __k long, __l string, d double")
-    out = _vote(found, key, label, k)
-    return out.select(F.col(key).cast(kind[key]), F.col(label).cast(kind[label]), F.col("prediction").cast(kind[label]))
+    return _vote(found, key, label, k).select(F.col(key).cast(kind[key]), F.col(label).cast(kind[label]), F.col("prediction").cast(kind[label]))
+
+
+def nearest_rows(train: DataFrame, test: DataFrame, key: str, label: str, vec: str, k: int) -> DataFrame:
+    """(key, label, __k, __l, d): the k nearest of all training rows at least, for every test row. Keys are unique.
+
+    Test rows and training rows are cut into blocks by hash; every block of the one meets every block of the other in a task of
+    bounded size, and only the k nearest of each test row and block leave it.
+    """
+    sizes = train.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("w")).first()
+    n_train, n_test = max(1, -(-int(sizes["n"] or 0) * int(sizes["w"] or 1) * 8 // TRAIN_BYTES)), max(1, -(-test.count() // BLOCK_ROWS))
+    block = lambda n: F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = _plain(test, key, label, vec).withColumn("i", block(n_test)).withColumn("j", every(n_train))
+    b = _plain(train, key, label, vec).withColumn("j", block(n_train)).withColumn("i", every(n_test))
+    return _neighbours(a, b, ["i", "j"], key, label, k)
+
+
+def knn_classify(train: DataFrame, test: DataFrame, key: str, label: str, vec: str, k: int = 3) -> DataFrame:
+    """(key, label, prediction): vote of the k nearest of all training rows, ties by nearness, then by key. Keys are unique."""
+    return _voted(nearest_rows(train, test, key, label, vec, k), test, key, label, k)
+
+
+#: Training rows, by a hash of the key, on which the centres of inverted lists are fitted.
+LIST_SAMPLE = 20_000
+
+
+def nearest_probed(train: DataFrame, test: DataFrame, key: str, label: str, vec: str, k: int, lists: int = 32, probes: int = 8, seed: int = 7) -> DataFrame:
+    """As nearest_rows, but only within the ``probes`` of ``lists`` lists whose centres are nearest to the test row; every training row is in the list of its nearest centre.
+
+    Centres are fitted on a bounded sample. Long lists are cut into blocks by hash, so that a hot list is many tasks; the work is that of all pairs times the share of rows in the probed lists.
+    """
+    n = train.count()
+    if not n:
+        return nearest_rows(train, test, key, label, vec, k)
+    a, b = _plain(test, key, label, vec), _plain(train, key, label, vec)
+    some = b.where(F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 20)) < max(1, int((1 << 20) * min(1.0, LIST_SAMPLE / n)))).select(array_to_vector("v").alias("features"))
+    centers = np.array(KMeans(k=lists, seed=seed, maxIter=8).fit(some).clusterCenters())
+
+    def lists_of(most: int):
+        @F.pandas_udf("array<int>")
+        def near(rows: pd.Series) -> pd.Series:
+            if not len(rows):
+                return pd.Series([], dtype=object)
+            x = np.stack(rows.to_numpy())
+            square = (centers * centers).sum(1)[None, :] - 2 * x @ centers.T
+            return pd.Series(list(np.argsort(square, axis=1, kind="stable")[:, :most].astype(np.int32)), dtype=object)
+
+        return near.asNondeterministic()
+
+    rows, asked = b.withColumn("list", lists_of(1)("v")[0]), a.withColumn("list", F.explode(lists_of(min(probes, len(centers)))("v")))
+    per_block = max(1, TRAIN_BYTES // (8 * centers.shape[1]))
+    cuts = lambda df, size, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int").alias(name))
+    counts = cuts(rows, per_block, "n_j").join(cuts(asked, BLOCK_ROWS, "n_i"), "list")  # a row a list
+    mine = lambda name: F.pmod(F.xxhash64("key"), F.col(name)).cast("int")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    left = asked.join(F.broadcast(counts), "list").withColumn("i", mine("n_i")).withColumn("j", every("n_j"))
+    right = rows.join(F.broadcast(counts), "list").withColumn("j", mine("n_j")).withColumn("i", every("n_i"))
+    return _neighbours(left.select("key", "label", "v", "list", "i", "j"), right.select("key", "label", "v", "list", "i", "j"), ["list", "i", "j"], key, label, k)
+
+
+def knn_classify_probed(train: DataFrame, test: DataFrame, key: str, label: str, vec: str, k: int = 3, lists: int = 32, probes: int = 8, seed: int = 7) -> DataFrame:
+    """As knn_classify within probed lists; ``neighbour_recall`` says what that leaves out."""
+    return _voted(nearest_probed(train, test, key, label, vec, k, lists, probes, seed), test, key, label, k)
+
+
+def neighbour_recall(exact: DataFrame, found: DataFrame, key: str, k: int) -> DataFrame:
+    """(recall): the share of the k nearest rows by ``exact`` that are among the k nearest by ``found``."""
+    top = lambda df: df.withColumn("__r", F.row_number().over(W.partitionBy(key).orderBy("d", "__k"))).where(F.col("__r") <= k).select(key, "__k")
+    hits = top(exact).join(top(found).withColumn("__hit", F.lit(1)), [key, "__k"], "left")
+    return hits.agg((F.sum(F.coalesce("__hit", F.lit(0))) / F.count(F.lit(1))).alias("recall"))
 
 
 def knn_classify_approx(train: DataFrame, test: DataFrame, key: str, label: str, vec: str, k: int = 3, reach: float = 1.0, bucket: float = 1.0, tables: int = 8, seed: int = 7) -> DataFrame:

@@ -569,6 +569,12 @@ def _(spark, sf):
     return rounded(_knn(spark, sf))
 
 
+@query("o113_knn_probed")
+def _(spark, sf):
+    """Predictions within 12 of 16 lists: these vectors have no clusters, so that fewer lists would lose neighbours."""
+    return rounded(V.knn_classify_probed(*_parts(spark, sf), "vec_id", "label", "v", lists=16, probes=12))
+
+
 @query("o114_dense_classifier")
 def _(spark, sf):
     return V.dense_classifier(*_parts(spark, sf), "vec_id", "label", "v", [64, 24, 10])

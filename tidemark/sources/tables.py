@@ -45,7 +45,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-checkpoint-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    # With its scheme: tasks that write files themselves would take a bare path for one of their own machine.
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def ranged(df: DataFrame, *order, name: str = "__part") -> DataFrame:
@@ -55,8 +57,9 @@ def ranged(df: DataFrame, *order, name: str = "__part") -> DataFrame:
     again, need not agree on them, and numbers may be joined only if they are kept.
     """
     path = shared_folder(df.sparkSession, "ranged")
-    df.repartitionByRange(*order).withColumn(name, F.spark_partition_id()).write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    numbered = df.repartitionByRange(*order).withColumn(name, F.spark_partition_id())
+    numbered.write.parquet(path)
+    return df.sparkSession.read.schema(numbered.schema).parquet(path)
 
 
 def png(width: int, height: int, rgb: bytes) -> bytes:
@@ -76,7 +79,7 @@ def write_images(df: DataFrame, path: str) -> DataFrame:
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        system, root = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        system, root = fs.FileSystem.from_uri("s3:" + path[4:] if path.startswith(("s3a:", "s3n:")) else path if ":/" in path else f"file://{path}")
         made: set = set()
         for frame in batches:
             out = []
