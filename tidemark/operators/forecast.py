@@ -142,7 +142,9 @@ def arma_grid(train: DataFrame, key: Sequence[str], orders: Sequence[tuple[int,
         groups.setdefault((p, d), []).append(q)
     most = max(d for _, d, _ in orders)
     configs = train.sparkSession.createDataFrame([(p, d, sorted(qs)) for (p, d), qs in groups.items()], "p int, d int, qs array<int>")
-    both = series_by_config(as_arrays(train, key), configs).repartition(*key, "p", "d")
+    # By number, which adaptive execution leaves as it is: few bytes, but much work a row.
+    tasks = 4 * train.sparkSession.sparkContext.defaultParallelism
+    both = series_by_config(as_arrays(train, key), configs).repartition(tasks, *key, "p", "d")
 
     @F.pandas_udf("array<struct<q:int,loglik:double,aic:double,bic:double,p_value:double,yhats:array<double>>>")
     def fit(ys: pd.Series, ps: pd.Series, ds: pd.Series, qs: pd.Series) -> pd.Series:
