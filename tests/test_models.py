@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 
 import numpy as np
 import pytest
@@ -266,6 +267,14 @@ def test_ranks_over_many_ranges(spark, many_parts):
     assert tuple(both) == (1, 30_000, 30_000, 2, 29_999, (29_990 + 1) / 2, 29_990)
 
 
+def test_ranks_of_values_that_change_when_computed_again(spark):
+    last_bits = F.udf(lambda x: x + random.random() * 1e-9, "double").asNondeterministic()
+    df = spark.range(200).select((F.col("id") * 79 % 200).cast("double").alias("x")).select("x", last_bits("x").alias("y"))
+    ranked = P.average_ranks(df, ["x", "y"])
+    assert ranked.where("x = y").count() == 200
+    assert P.corr_matrix(df, ["x", "y"], "spearman").first()["r"] == pytest.approx(1.0)
+
+
 def test_quantiles_of_large_and_small_groups(spark):
     r = np.random.default_rng(3)
     groups = {"normal": r.normal(size=9000), "ties": r.integers(0, 4, 9000).astype(float), "one": np.array([5.0]), "steps": np.repeat([1.0, 2.0, 3.0], 3000), "small": r.normal(size=50)}

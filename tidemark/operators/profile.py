@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.sources.tables import ranged
+from tidemark.sources.tables import kept, ranged
 
 
 def month_profile(df: DataFrame, y: str = "y") -> DataFrame:
@@ -167,9 +167,10 @@ def correlation(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFr
 def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Each column, as doubles, as its rank, ties sharing their mean rank and nulls without one.
 
-    Ranks come from counts by column and value: ranges of values are summed first, so that no task sorts a whole column.
+    Ranks come from counts by column and value: ranges of values are summed first, so that no task sorts a whole column. Rows find their ranks by value, so the table is written
+    first: values that are sums may differ in their last bits when they are computed again, and would find none.
     """
-    df = df.withColumns({c: F.col(c).cast("double") for c in columns})
+    df = kept(df.withColumns({c: F.col(c).cast("double") for c in columns}), "ranked-rows")
     pairs = F.array(*[F.struct(F.lit(i).alias("__c"), F.col(c).alias("__v")) for i, c in enumerate(columns)])
     long = df.select(F.explode(pairs).alias("__p")).select("__p.*").where("__v is not null")
     counts = ranged(long.groupBy("__c", "__v").agg(F.count(F.lit(1)).alias("__n")), "__c", "__v")

@@ -50,16 +50,20 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
+def kept(df: DataFrame, name: str = "kept") -> DataFrame:
+    """``df`` written to the shared folder and read again, so that all plans over it see the same rows: sums of doubles depend on the order in which tasks end."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ranged(df: DataFrame, *order, name: str = "__part") -> DataFrame:
     """``df`` dealt out by ranges of ``order``, with the number of a row's range in column ``name``, rising along the order.
 
     The table is written to the shared folder with that number and read again: ranges are cut at sampled bounds, so two plans over one range exchange, or a stage that runs
     again, need not agree on them, and numbers may be joined only if they are kept.
     """
-    path = shared_folder(df.sparkSession, "ranged")
-    numbered = df.repartitionByRange(*order).withColumn(name, F.spark_partition_id())
-    numbered.write.parquet(path)
-    return df.sparkSession.read.schema(numbered.schema).parquet(path)
+    return kept(df.repartitionByRange(*order).withColumn(name, F.spark_partition_id()), "ranged")
 
 
 def png(width: int, height: int, rgb: bytes) -> bytes:
