@@ -291,6 +291,38 @@ def test_quantiles_of_large_and_small_groups(spark):
     assert P.describe(df.limit(0), "x").first()["n"] == 0
 
 
+def most_rows_read(spark, run) -> int:
+    """The most rows that a task reads from a shuffle while ``run`` runs."""
+    spark.sparkContext.setJobGroup(name := f"watched-{random.random()}", name)
+    run()
+    spark.sparkContext.setJobGroup("", "")
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    most = 0
+    for stage in {x for job in tracker.getJobIdsForGroup(name) for x in tracker.getJobInfo(job).stageIds}:
+        tasks = store.taskList(stage, 0, 10_000)
+        for i in range(tasks.size()):
+            if (found := tasks.apply(i).taskMetrics()).isDefined():
+                most = max(most, found.get().shuffleReadMetrics().recordsRead())
+    return most
+
+
+def test_no_task_of_box_stats_holds_a_large_group(spark, many_parts):
+    many_parts("true")
+    df = spark.range(120_000).select(F.when(F.col("id") < 15, "small").when(F.col("id") % 3 > 0, "a").otherwise("b").alias("k"), (F.col("id") * 7919 % 120_000).cast("double").alias("x"))
+    found = {}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for tables that are too large for it
+    try:
+        assert most_rows_read(spark, lambda: found.update({r["k"]: r for r in P.box_stats(df, "x", ["k"]).collect()})) < 10_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    local = df.toPandas()
+    for k, rows in local.groupby("k"):
+        q1, q2, q3 = np.quantile(rows["x"], (0.25, 0.5, 0.75))
+        inside = rows["x"][rows["x"].between(q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))]
+        assert np.allclose([found[k][c] for c in ("q1", "median", "q3", "whisker_low", "whisker_high")], [q1, q2, q3, inside.min(), inside.max()]), k
+
+
 def test_rectified_layers_learn_and_repeat(spark):
     r = np.random.default_rng(4)
     # Inside or outside of a ball: no line divides them.

@@ -29,45 +29,55 @@ def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float], by: Seq
     """(by, n, q): the quantiles of every group, interpolated between neighbours, in two passes and without a task or buffer that holds a large group; q is of nulls for a group without values.
 
     The first pass finds two approximate quantiles around each share, between which the wanted ranks surely lie. The second counts the few rows between them by
-    value and all others in one row for each stretch outside. Their running sum says which values have the wanted ranks. ``beside``, aggregates of ``__x`` by name, are taken in the first pass and come along as columns.
+    value and all others in one row for each stretch outside. Their running sum says which values have the wanted ranks. Only large groups need edges, of which there is at most one
+    for every 2 * ``accuracy`` rows; they are broadcast, so that rows don't meet them by group in a task. ``beside``, aggregates of ``__x`` by name, are taken in the first pass and come along as columns.
     """
     beside = beside or {}
     names = [f"__by{i}" for i in range(len(by))]
     rows = df.select(*[F.col(b).alias(n) for b, n in zip(by, names)], F.col(column).cast("double").alias("__x"))
     around = F.array(*[F.lit(float(min(max(s + side * 3 / accuracy, 0), 1))) for side in (-1, 1) for s in shares])
-    facts = F.struct(F.count("__x").alias("__all"), *[v.alias(k) for k, v in beside.items()])
-    groups = rows.groupBy(*names).agg(F.percentile_approx("__x", around, F.lit(accuracy)).alias("__edges"), facts.alias("__facts"))
-    if names:
-        few = groups.select(*[F.col(n).alias(f"{n}b") for n in names], "__edges", "__facts")
-        placed = rows.join(few, reduce(lambda x, y: x & y, [F.col(n).eqNullSafe(F.col(f"{n}b")) for n in names]))
-    else:
-        placed = rows.crossJoin(F.broadcast(groups))  # one row
-    x, large = F.col("__x"), F.col("__facts")["__all"] > 2 * accuracy
-    edges = [(F.col("__edges")[i], F.col("__edges")[i + len(shares)]) for i in range(len(shares))]
-    inside = x.isNotNull() & (~large | reduce(lambda a, b: a | b, [x.between(low, high) for low, high in edges]))
+    groups = rows.groupBy(*names).agg(F.percentile_approx("__x", around, F.lit(accuracy)).alias("__edges"), F.count("__x").alias("__seen"), *[v.alias(f"__beside{i}") for i, v in enumerate(beside.values())])
+    same = lambda suffix: reduce(lambda x, y: x & y, [F.col(n).eqNullSafe(F.col(f"{n}{suffix}")) for n in names], F.lit(True))
+    large = groups.where(F.col("__seen") > 2 * accuracy).select(*[F.col(n).alias(f"{n}b") for n in names], "__edges")
+    placed = rows.join(F.broadcast(large), same("b"), "left")
+    x, edges = F.col("__x"), [(F.col("__edges")[i], F.col("__edges")[i + len(shares)]) for i in range(len(shares))]
+    inside = x.isNotNull() & (F.col("__edges").isNull() | reduce(lambda a, b: a | b, [x.between(low, high) for low, high in edges]))
     least = F.lit(float("-inf"))
     passed = F.greatest(least, *[F.when(high < x, high).otherwise(least) for _, high in edges])
-    marked = placed.select(*names, "__x", "__facts", inside.alias("__in"), F.when(inside, x).otherwise(passed).alias("__v"))
-    counts = marked.groupBy(*names, "__v", "__in").agg(F.count("__x").alias("__n"), F.first("__facts").alias("__facts"))
+    marked = placed.select(*names, "__x", inside.alias("__in"), F.when(inside, x).otherwise(passed).alias("__v"))
+    counts = marked.groupBy(*names, "__v", "__in").agg(F.count("__x").alias("__n"))
     upto = F.sum("__n").over(W.partitionBy(*names).orderBy("__v", F.desc("__in")).rowsBetween(W.unboundedPreceding, 0))
-    counts = counts.withColumn("__upto", upto)
-    at = lambda s: (F.col("__facts")["__all"] - 1) * F.lit(float(s))
+    counts = counts.withColumns({"__upto": upto, "__all": F.sum("__n").over(W.partitionBy(*names))})
+    at = lambda s: (F.col("__all") - 1) * F.lit(float(s))
     here = lambda r: F.max(F.when(F.col("__in") & (r >= F.col("__upto") - F.col("__n")) & (r < F.col("__upto")), F.col("__v")))
-    found = counts.groupBy(*names).agg(F.first("__facts").alias("__facts"), *[v for i, s in enumerate(shares) for v in (here(F.floor(at(s))).alias(f"__f{i}"), here(F.ceil(at(s))).alias(f"__c{i}"))])
+    found = counts.groupBy(*names).agg(F.max("__all").alias("__all"), *[v for i, s in enumerate(shares) for v in (here(F.floor(at(s))).alias(f"__f{i}"), here(F.ceil(at(s))).alias(f"__c{i}"))])
+    if beside:
+        few = groups.select(*[F.col(n).alias(f"{n}s") for n in names], *[f"__beside{i}" for i in range(len(beside))])
+        found = found.join(few if names else F.broadcast(few), same("s"))  # a row a group on both sides
 
     def value(i: int, s: float) -> Column:
         low, high = F.col(f"__f{i}"), F.col(f"__c{i}")
         # The edges surely hold the ranks; if they ever didn't, that is an error and no null.
-        missed = (F.col("__facts")["__all"] > 0) & (low.isNull() | high.isNull())
+        missed = (F.col("__all") > 0) & (low.isNull() | high.isNull())
         between = low + F.when(high > low, (at(s) - F.floor(at(s))) * (high - low)).otherwise(0.0)
         return F.when(missed, F.raise_error(F.lit("a rank lies outside of its edges")).cast("double")).otherwise(between)
 
     return found.select(
-        *[F.col(n).alias(b) for b, n in zip(by, names)], F.coalesce(F.col("__facts")["__all"], F.lit(0)).alias("n"), F.array(*[value(i, s) for i, s in enumerate(shares)]).alias("q"),
-        *[F.col("__facts")[k].alias(k) for k in beside],
+        *[F.col(n).alias(b) for b, n in zip(by, names)], F.coalesce(F.col("__all"), F.lit(0)).alias("n"), F.array(*[value(i, s) for i, s in enumerate(shares)]).alias("q"),
+        *[F.col(f"__beside{i}").alias(k) for i, k in enumerate(beside)],
     )
 
 
+def with_groups(df: DataFrame, groups: DataFrame, by: Sequence[str], n: str = "n") -> DataFrame:
+    """``df`` joined with ``groups``, a row a group with its number of rows in column ``n``, without a task that holds a large group.
+
+    Large groups, of which there is at most one for every 2 * ACCURACY rows, are broadcast; rows of the others are dealt by group.
+    """
+    large = groups.where(F.col(n) > 2 * ACCURACY)
+    others = df.join(F.broadcast(large.select(*by)), list(by), "left_anti").join(groups.where(F.col(n) <= 2 * ACCURACY), list(by))
+    return df.join(F.broadcast(large), list(by)).unionByName(others)
+
+
 def describe(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """Count, mean, deviation, least value, quartiles and greatest value; groups without a value have count 0 and nulls."""
     sums = {"mean": F.avg("__x"), "std": F.stddev("__x"), "min": F.min("__x"), "max": F.max("__x")}
@@ -107,13 +117,13 @@ def quartile_fences(df: DataFrame, column: str, by: Sequence[str] = (), k: float
     spread = F.col("q")[2] - F.col("q")[0]
     return exact_quantiles(df, column, (0.25, 0.5, 0.75), by).where("n > 0").select(
         *by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"),
-        (F.col("q")[0] - k * spread).alias("low"), (F.col("q")[2] + k * spread).alias("high"),
+        (F.col("q")[0] - k * spread).alias("low"), (F.col("q")[2] + k * spread).alias("high"), "n",
     )
 
 
 def iqr_outliers(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
     """One row: the fences, the rows outside and their percent."""
-    fences = quartile_fences(df, column, (), k)
+    fences = quartile_fences(df, column, (), k).drop("n")
     outside = (F.col(column) < F.col("low")) | (F.col(column) > F.col("high"))
     return df.crossJoin(F.broadcast(fences)).groupBy("low", "high").agg(
         F.count_if(outside).alias("n_outside"), (100.0 * F.count_if(outside) / F.count(F.lit(1))).alias("percent")
@@ -123,7 +133,7 @@ def iqr_outliers(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
 def box_stats(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
     """Quartiles, and the least and greatest value inside the fences."""
     inside = F.col(column).between(F.col("low"), F.col("high"))
-    rows = df.join(quartile_fences(df, column, by), list(by))
+    rows = with_groups(df, kept(quartile_fences(df, column, by), "fences"), by)
     return rows.groupBy(*by, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col(column))).alias("whisker_low"), F.max(F.when(inside, F.col(column))).alias("whisker_high")
     )
