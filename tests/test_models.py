@@ -13,6 +13,7 @@ from tidemark.functions import scalar as S
 from tidemark.operators import arma as A
 from tidemark.operators import components as C
 from tidemark.operators import diagnostics as D
+from tidemark.operators import features as X
 from tidemark.operators import forecast as R
 from tidemark.operators import linkage as L
 from tidemark.operators import networks as N
@@ -291,8 +292,8 @@ def test_quantiles_of_large_and_small_groups(spark):
     assert P.describe(df.limit(0), "x").first()["n"] == 0
 
 
-def most_rows_read(spark, run) -> int:
-    """The most rows that a task reads from a shuffle while ``run`` runs."""
+def most_in_a_task(spark, run, figure) -> int:
+    """The greatest ``figure`` of the metrics of a task while ``run`` runs."""
     spark.sparkContext.setJobGroup(name := f"watched-{random.random()}", name)
     run()
     spark.sparkContext.setJobGroup("", "")
@@ -303,7 +304,7 @@ def most_rows_read(spark, run) -> int:
         tasks = store.taskList(stage, 0, 10_000)
         for i in range(tasks.size()):
             if (found := tasks.apply(i).taskMetrics()).isDefined():
-                most = max(most, found.get().shuffleReadMetrics().recordsRead())
+                most = max(most, figure(found.get()))
     return most
 
 
@@ -313,7 +314,8 @@ def test_no_task_of_box_stats_holds_a_large_group(spark, many_parts):
     found = {}
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for tables that are too large for it
     try:
-        assert most_rows_read(spark, lambda: found.update({r["k"]: r for r in P.box_stats(df, "x", ["k"]).collect()})) < 10_000
+        rows_read = lambda m: m.shuffleReadMetrics().recordsRead()
+        assert most_in_a_task(spark, lambda: found.update({r["k"]: r for r in P.box_stats(df, "x", ["k"]).collect()}), rows_read) < 10_000
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     local = df.toPandas()
@@ -323,6 +325,13 @@ def test_no_task_of_box_stats_holds_a_large_group(spark, many_parts):
         assert np.allclose([found[k][c] for c in ("q1", "median", "q3", "whisker_low", "whisker_high")], [q1, q2, q3, inside.min(), inside.max()]), k
 
 
+def test_features_need_few_pages_of_memory_in_a_task(spark):
+    df = make(spark, a=seasonal(60), b=ar1(60))
+    found = []
+    assert most_in_a_task(spark, lambda: found.extend(X.canonical_features(df, K).collect()), lambda m: m.peakExecutionMemory()) < 400 << 20
+    assert len(found) == 2 and all(v is not None for r in found for v in r)
+
+
 def test_rectified_layers_learn_and_repeat(spark):
     r = np.random.default_rng(4)
     # Inside or outside of a ball: no line divides them.

@@ -14,6 +14,18 @@ from pyspark.sql import functions as F
 from tidemark.operators.diagnostics import acf
 from tidemark.operators.profile import histogram
 from tidemark.operators.series import as_arrays, ordered, with_index
+from tidemark.sources.tables import kept
+
+
+def side_by_side(parts: Sequence[DataFrame], key: Sequence[str]) -> DataFrame:
+    """One row a key with the columns of all ``parts``, each of a row a key.
+
+    Every part is written first: Spark would run the windows and sorts of all parts in one task, as they are dealt by one key, and each of these holds a page of memory however short the series are.
+    """
+    parts = [kept(p, "features") for p in parts]
+    columns = [c for p in parts for c in p.columns if c not in key]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return rows.groupBy(*key).agg(*[F.max(c).alias(c) for c in columns])
 
 
 def distribution_features(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -141,8 +153,9 @@ def canonical_features(df: DataFrame, key: Sequence[str], nlags: int = 40) -> Da
     above the mean; mean3_stderr: sample deviation of residuals of the mean of three; mode_10: centre of the fullest of ten bins; motif3_hh: entropy of
     pairs of tercile letters; fmmi: first minimum of the Gaussian automutual information.
     """
+    df = kept(df, "series")
     z = F.when(F.stddev("y").over(W.partitionBy(*key)) > 0, (F.col("y") - F.avg("y").over(W.partitionBy(*key))) / F.stddev("y").over(W.partitionBy(*key))).otherwise(0.0)
-    s = with_index(df.withColumn("z", z), key)
+    s = kept(with_index(df.withColumn("z", z), key), "scaled-series")
     w = ordered(key)
     lags = acf(df, key, nlags).withColumn("r", F.coalesce("r", F.lit(0.0)))
     by_lag = W.partitionBy(*key).orderBy("lag")
@@ -169,10 +182,11 @@ def canonical_features(df: DataFrame, key: Sequence[str], nlags: int = 40) -> Da
     pairs = letters.withColumn("b", F.lead("a").over(w)).where("b is not null").groupBy(*key, "a", "b").agg(F.count(F.lit(1)).alias("n"))
     p = F.col("n") / F.sum("n").over(W.partitionBy(*key))
     motif = pairs.withColumn("p", p).groupBy(*key).agg(F.sum(-F.col("p") * F.ln("p")).alias("motif3_hh"))
-    return reduce(lambda a, b: a.join(b, list(key), "left"), [from_acf, stretch, stderr, mode, motif])
+    return side_by_side([from_acf, stretch, stderr, mode, motif], key)
 
 
 def feature_matrix(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """One row a series with all features."""
+    df = kept(df, "series")
     parts = [f(df, key) for f in (distribution_features, acf_features, peak_features, zero_crossing, spectral_features, entropy_features, histogram_entropy, dfa_exponent, hurst_exponent, canonical_features)]
-    return reduce(lambda a, b: a.join(b, list(key), "left"), parts)
+    return side_by_side(parts, key)
