@@ -769,3 +769,14 @@ def test_every_language_has_a_landmark(spark):
     assert {r["lang"] for r in langid.training_sample(df).select("lang").distinct().collect()} == learned
     got = langid.identify(df).select("lang", "li_lang").collect()
     assert np.mean([r["lang"] == r["li_lang"] for r in got if r["lang"] in learned]) > 0.95
+
+
+def test_common_words_are_encoded_once_however_many_others_pass(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 600)
+    words, learned = packing.WordIds(packing.vocabulary()), []
+    learn = words._learn
+    monkeypatch.setattr(words, "_learn", lambda new: (learned.extend(new), learn(new)))
+    texts = [f"common word{i}x{i * 7} thing, common" for i in range(1280)]
+    found = list(words.batch(texts))
+    assert learned.count(b"common") == 1 and len(words.known) + len(words.before) <= 1200
+    assert found == [np.array(x.ids, "<u4").tobytes() for x in words.tokenizer.encode_batch(texts, add_special_tokens=False)]

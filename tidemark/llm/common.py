@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
+from itertools import filterfalse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,3 +80,12 @@ def n_words(text: Column | str) -> Column:
     """Number of words, 0 for null."""
     col = F.col(text) if isinstance(text, str) else text
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def recalled(new: Iterable[bytes], known: dict[bytes, bytes], before: dict[bytes, bytes]) -> list[bytes]:
+    """Takes those of ``new`` that ``before`` knows over into ``known``, and returns the others."""
+    if not before:
+        return list(new)
+    new = list(new)
+    known.update([(x, before[x]) for x in filter(before.__contains__, new)])
+    return list(filterfalse(known.__contains__, new))

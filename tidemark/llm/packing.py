@@ -19,7 +19,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -28,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import table, written
+from tidemark.llm.common import recalled, table, written
 
 CAPACITY, END_ID = 2048, 0
 #: Rows per split of a size; ranks are the same for any number of splits.
@@ -78,8 +77,9 @@ class WordIds:
             for byte, shown in zip(chr(c).encode(), visible.pre_tokenize_str(chr(c))[0][0]):
                 by_byte[byte] = shown
         self.shown = "".join(chr(b) if b < 0x80 else by_byte.get(b, "\ufffe") for b in range(256))
-        #: Ids of words and of parts of words.
+        #: Ids of words and of parts of words, and those of the generation before, from which words come back when they are met again.
         self.known: dict[bytes, bytes] = {b"": b""}
+        self.before: dict[bytes, bytes] = {}
 
     def _encode_parts(self, parts: list[bytes]) -> None:
         for i in range(0, len(parts), 1000):
@@ -109,7 +109,7 @@ class WordIds:
             else:
                 whole.append(word)
         wanted = {x[1] for x in split}.union([x[2] for x in split]).difference(self.known)
-        self._encode_parts(list(wanted))
+        self._encode_parts(recalled(wanted, self.known, self.before))
         known = self.known
         for word, core, tail in split:
             known[word] = known[core] + known[tail]
@@ -122,11 +122,9 @@ class WordIds:
             raws = [(x or "").encode("utf-8", "replace") for x in texts[i : i + 128]]
             # The tokenizer lower-cases too, but for its special tokens, which are in lower case and begin with "<|".
             split = [x.split() if b"<|" in x else x.lower().split() for x in raws]
-            if len(self.known) > CACHE_WORDS:  # the older half goes; what is common comes back at once
-                for word in list(islice(self.known, len(self.known) // 2)):
-                    del self.known[word]
-                self.known[b""] = b""
-            new = list(set().union(*split).difference(self.known))
+            if len(self.known) > CACHE_WORDS // 2:  # what has not been met for a generation goes
+                self.before, self.known = self.known, {b"": b""}
+            new = recalled(set().union(*split).difference(self.known), self.known, self.before)
             self._learn(new)
             for words in split:
                 yield b"".join(map(self.known.__getitem__, words))
