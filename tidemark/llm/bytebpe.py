@@ -9,10 +9,16 @@ from collections.abc import Iterator
 from itertools import filterfalse, islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
+from tidemark.llm.common import joined_ids
+
 #: Units, and parts of units, whose ids a task keeps, and the longest of them.
 CACHE_UNITS, CACHE_BYTES = 800_000, 64
+#: Texts that are parted together.
+BATCH = 1024
 #: Fixed value: how a byte-level tokenizer with its standard pattern parts a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -28,7 +34,7 @@ def _unsafe(text: str) -> bool:
 
 class ByteIds:
     """The tokenizer parts a text before any white space, of which a single space goes to the word behind it; BPE never
-    joins parts. So a text can be cut before spaces, unless white space stands on both sides of one, and a unit's ids are the same wherever it stands. Units come back
+    joins parts. So a text can be cut before spaces (by Arrow, which also numbers a batch's different units), unless white space stands on both sides of one, and a unit's ids are the same wherever it stands. Units come back
     often, and their ids are kept. A new unit of letters, with or without punctuation behind them, has one or two parts; any other is parted by the tokenizer's own pattern. Ids of parts are kept as well,
     and new parts are encoded by the tokenizer's model, many in one call. Texts that cannot be cut, or may hold special tokens, are encoded as they are.
     """
@@ -78,8 +84,8 @@ class ByteIds:
                 start = end
 
     def _learn(self, units: list[bytes], known: dict[bytes, bytes], before: bytes) -> None:
-        parts, cores, two, many = self.parts, set(), [], []
-        for unit in units:
+        parts, cores, two, many = self.parts, set(filter(bytes.isalpha, units)), [], []
+        for unit in filterfalse(bytes.isalpha, units):
             core = unit.rstrip(_PUNCTUATION)
             if core.isalpha() or (core and not core.isascii() and core.decode().isalpha()):
                 if core not in known:
@@ -99,34 +105,36 @@ class ByteIds:
         for part in new:
             if len(part) > CACHE_BYTES:
                 del parts[part]
-        for core in set(filterfalse(set(units).__contains__, [x for x in cores if len(x) > CACHE_BYTES])):
+        long = {x for x in cores if len(x) > CACHE_BYTES}
+        for core in long.difference(units if long else ()):
             del known[core]
 
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
         """For each text its ids as little-endian integers of ``kind``."""
-        for i in range(0, len(texts), 128):
-            some = [x or "" for x in texts[i : i + 128]]
-            split = [None if "<|" in x or _unsafe(x) else x.encode().split(b" ") for x in some]
+        for i in range(0, len(texts), BATCH):
+            some = [x or "" for x in texts[i : i + BATCH]]
+            cut = [None if "<|" in x or _unsafe(x) else x.encode().partition(b" ") for x in some]
             for known in (self.starts, self.spaced, self.parts):
                 if len(known) > CACHE_UNITS:  # the older half goes; what is common comes back at once
                     for unit in list(islice(known, len(known) // 2)):
                         del known[unit]
                     if known is not self.spaced:
                         known[b""] = b""
-            cut = [x for x in split if x is not None]
-            first = list({x[0] for x in cut}.difference(self.starts))
-            later = list(set().union(*[islice(x, 1, None) for x in cut]).difference(self.spaced))
-            self._learn(first, self.starts, b"")
-            self._learn(later, self.spaced, b" ")
-            for text, units in zip(some, split):
-                if units is None:
-                    yield self._encode(text)
-                else:
-                    yield self.starts[units[0]] + b"".join(map(self.spaced.__getitem__, islice(units, 1, None)))
-            for units, known in ((first, self.starts), (later, self.spaced)):
-                for unit in units:
-                    if len(unit) > CACHE_BYTES:
-                        del known[unit]
+            first = self._ids_of([b"" if x is None else x[0] for x in cut], self.starts, b"")
+            rest = pc.split_pattern(pa.array([x[2] if x and x[1] else None for x in cut], pa.large_string()), " ")
+            later = joined_ids(rest, lambda units: self._ids_of(units, self.spaced, b" "), self.kind)
+            for text, x, start, ids in zip(some, cut, first, later):
+                yield self._encode(text) if x is None else start + ids
+
+    def _ids_of(self, units: list[bytes], known: dict[bytes, bytes], before: bytes) -> list[bytes]:
+        found = list(map(known.get, units))
+        new = list({unit for unit, x in zip(units, found) if x is None})
+        self._learn(new, known, before)
+        found = [known[unit] if x is None else x for unit, x in zip(units, found)]
+        for unit in new:
+            if len(unit) > CACHE_BYTES:
+                del known[unit]
+        return found
 
 
 _loaded: dict[str, ByteIds] = {}

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from itertools import filterfalse
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,3 +92,20 @@ def recalled(new: Iterable[bytes], known: dict[bytes, bytes], before: dict[bytes
     new = list(new)
     known.update([(x, before[x]) for x in filter(before.__contains__, new)])
     return list(filterfalse(known.__contains__, new))
+
+
+def joined_ids(lists: pa.Array, ids_of: Callable[[list[bytes]], list[bytes]], kind: np.dtype) -> Iterator[bytes]:
+    """For each list of units their ids, one after the other; none for a null list. ``ids_of`` gets the different units of all lists, each of them once."""
+    coded = lists.flatten().dictionary_encode()
+    found = ids_of(coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist())
+    held = np.frombuffer(b"".join(found), kind)
+    lengths = np.fromiter(map(len, found), np.int64, len(found)) // kind.itemsize
+    at = coded.indices.to_numpy()
+    n = lengths[at]
+    ends = np.cumsum(n)
+    ids = held[np.repeat((np.cumsum(lengths) - lengths)[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+    upto = np.concatenate(([0], ends))[np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(), dtype=np.int64)]
+    start = 0
+    for end in upto.tolist():
+        yield ids[start:end].tobytes()
+        start = end
