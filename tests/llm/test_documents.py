@@ -780,3 +780,22 @@ def test_common_words_are_encoded_once_however_many_others_pass(monkeypatch):
     found = list(words.batch(texts))
     assert learned.count(b"common") == 1 and len(words.known) + len(words.before) <= 1200
     assert found == [np.array(x.ids, "<u4").tobytes() for x in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_batchs_words_are_looked_up_once_each():
+    words, asked = packing.WordIds(packing.vocabulary()), []
+    ids_of = words._ids_of
+    words._ids_of = lambda some: (asked.extend(some), ids_of(some))[1]
+    texts = [None, "", " \n", *[f"A common\tword,\x0band word{i} \x1c  ÉTÉ a.'b " for i in range(300)], "<|endoftext|> Common WORD<| <|X Word<|endoftext|>"]
+    found = list(words.batch(texts))
+    assert len(asked) == len(set(asked)) < 400
+    assert found == [np.array(x.ids, "<u4").tobytes() for x in words.tokenizer.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+
+
+def test_a_superstep_deals_its_rows_few_times(spark, monkeypatch):
+    plans, write = [], packing.written
+    monkeypatch.setattr(packing, "written", lambda df, name: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), write(df, name))[1])
+    pieces = spark.createDataFrame([(i, 0, 0, 2048 - 37 * (i % 55), i) for i in range(600)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    check_packing(packing.pack(packing.written(pieces, "pieces")).collect())
+    dealt = {kind: max(len(re.findall(r"\bExchange ", p)) for name, p in plans if name == kind) for kind in ("placed", "gaps")}
+    assert dealt["placed"] <= 4 and dealt["gaps"] <= 1

@@ -5,7 +5,7 @@ the longest lengths not yet placed, a band of lengths, meet the gaps of all open
 size and split and ranks within these give every piece and every gap its place in one order without a task that holds a whole
 size. A sweep over the prefix counts says at which level of that order a gap opens and a piece closes it, so that each piece finds its
 successor, the smallest gap left that holds it; pieces that want the same gap have different ranks and so different levels, and
-a join by level brings them together. What finds no gap opens sequences, as many pieces to each as fit. Then the gaps are
+one grouping by level brings them together. What finds no gap opens sequences, as many pieces to each as fit. Then the gaps are
 updated, and the next band follows.
 
 The driver holds counts by size (at most ``capacity`` of them, whatever the corpus) and the number of sequences; pieces and gaps are rows
@@ -19,21 +19,27 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import recalled, table, written
+from tidemark.llm.common import joined_ids, recalled, table, written
 
 CAPACITY, END_ID = 2048, 0
 #: Rows per split of a size; ranks are the same for any number of splits.
 SPLIT_ROWS = 100_000
 #: Words and parts of words whose ids a task keeps, and the longest of them.
 CACHE_WORDS, CACHE_BYTES = 300_000, 64
+#: Texts that are parted together, fewer where little is kept.
+BATCH = 1024
+_ID = np.dtype("<u4")
 
 PIECES = T.ArrayType(T.StructType([
     T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()),
@@ -55,7 +61,7 @@ class WordIds:
     """Ids of texts by a lower-casing BPE tokenizer that drops white space, word by word.
 
     It splits at white space before anything else, so the ids of a text are those of its
-    words; words come back often, and their ids are kept. A new word of Latin letters, with or without punctuation behind them, has one
+    words; words come back often, and their ids are kept. Arrow parts the texts of a batch and numbers their different words, each of which is looked up once. A new word of Latin letters, with or without punctuation behind them, has one
     or two parts that the tokenizer's own model encodes directly, many parts in one call: the id of a part's last
     token, and no other, ends a word. Any other new word goes through the whole tokenizer.
     """
@@ -95,11 +101,11 @@ class WordIds:
 
     def _learn(self, new: list[bytes]) -> None:
         """Adds words in lower case; those with letters beyond ASCII may still have capitals."""
-        split, rest = [], []
-        for word in new:
+        plain, split, rest = list(filter(bytes.isalpha, new)), [], []
+        for word in filterfalse(bytes.isalpha, new):
             core = word.rstrip(_PUNCTUATION)
             if core.isalpha():  # ASCII letters
-                split.append((word, core, word[len(core) :]))
+                split.append((word, core.lower(), word[len(core) :]))
             else:
                 rest.append((word, core))
         whole = []
@@ -108,8 +114,8 @@ class WordIds:
                 split.append((word, lower.encode(), word[len(core) :]))
             else:
                 whole.append(word)
-        wanted = {x[1] for x in split}.union([x[2] for x in split]).difference(self.known)
-        self._encode_parts(recalled(wanted, self.known, self.before))
+        wanted = {x[1] for x in split}.union([x[2] for x in split]).difference(self.known, plain)
+        self._encode_parts(plain + recalled(wanted, self.known, self.before))
         known = self.known
         for word, core, tail in split:
             known[word] = known[core] + known[tail]
@@ -118,19 +124,25 @@ class WordIds:
 
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        for i in range(0, len(texts), 128):
-            raws = [(x or "").encode("utf-8", "replace") for x in texts[i : i + 128]]
+        some = max(1, min(BATCH, CACHE_WORDS // 200))
+        for i in range(0, len(texts), some):
+            raws = [(x or "").encode("utf-8", "replace") for x in texts[i : i + some]]
             # The tokenizer lower-cases too, but for its special tokens, which are in lower case and begin with "<|".
-            split = [x.split() if b"<|" in x else x.lower().split() for x in raws]
+            lower = pa.array([b" ".join([w if b"<|" in w else w.lower() for w in x.split()]) if b"<|" in x else x.lower() for x in raws], pa.large_string())
             if len(self.known) > CACHE_WORDS // 2:  # what has not been met for a generation goes
                 self.before, self.known = self.known, {b"": b""}
-            new = recalled(set().union(*split).difference(self.known), self.known, self.before)
-            self._learn(new)
-            for words in split:
-                yield b"".join(map(self.known.__getitem__, words))
-            for word in new:
-                if len(word) > CACHE_BYTES:
-                    del self.known[word]
+            yield from joined_ids(pc.ascii_split_whitespace(lower), self._ids_of, _ID)
+
+    def _ids_of(self, words: list[bytes]) -> list[bytes]:
+        known = self.known
+        found = list(map(known.get, words))
+        new = recalled([word for word, x in zip(words, found) if x is None], known, self.before)
+        self._learn(new)
+        found = [known[word] if x is None else x for word, x in zip(words, found)]
+        for word in new:
+            if len(word) > CACHE_BYTES:
+                del known[word]
+        return found
 
 
 _loaded: dict[str, WordIds] = {}
@@ -204,8 +216,10 @@ def sweep(gaps: dict[int, int], pieces: dict[int, int]) -> tuple[list[tuple], li
     return [(g, m, longest, first.get(g, 0), last[g]) for g, m in slots.items()], closed, left
 
 
-def ranked(rows: DataFrame, size: str, order: list[str], split: Column) -> DataFrame:
-    """``rows`` with pk_rank, their places from 0 among those of equal ``size`` in order of split and ``order``, from counts by size and split."""
+def ranked(rows: DataFrame, size: str, order: list[str], split: Column | None) -> DataFrame:
+    """``rows`` with pk_rank, their places from 0 among those of equal ``size`` in order of split and ``order``, from counts by size and split. Without a split the counts aren't needed."""
+    if split is None:
+        return rows.withColumn("pk_rank", (F.row_number().over(W.partitionBy(size).orderBy(*order)) - 1).cast("long"))
     rows = rows.withColumn("pk_split", split)
     sizes = rows.groupBy(F.col(size).alias("pk_size"), F.col("pk_split").alias("pk_of")).agg(F.count(F.lit(1)).alias("pk_n"))
     before = F.coalesce(F.sum("pk_n").over(W.partitionBy("pk_size").orderBy("pk_of").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -230,19 +244,22 @@ def superstep(pieces: DataFrame, gaps: DataFrame | None, counts: dict[int, int],
     levels = spark.createDataFrame(levels, "pk_of int, pk_level long, pk_taken long, pk_unplaced long, pk_new long, pk_fit int")
     band = pieces.join(F.broadcast(levels), F.col("length") == F.col("pk_of"))
     if sum(taken for _, _, taken in closed):
-        slots = [(*x, max(1, n_sequences // SPLIT_ROWS), n_sequences) for x in opened]
+        splits = max(1, n_sequences // SPLIT_ROWS)
+        slots = [(*x, splits, n_sequences) for x in opened]
         slots = spark.createDataFrame(slots, "pk_gap int, pk_slots int, pk_slot long, pk_first long, pk_last long, pk_splits long, pk_total long")
         held = gaps.join(F.broadcast(slots), F.col("gap") == F.col("pk_gap"))
-        held = ranked(held, "gap", ["sequence_id"], F.expr("cast(floor(sequence_id * pk_splits / pk_total) as int)")).withColumn("pk_no", F.explode(F.expr("sequence(0, pk_slots - 1)")))
+        split = F.expr("cast(floor(sequence_id * pk_splits / pk_total) as int)") if splits > 1 else None
+        held = ranked(held, "gap", ["sequence_id"], split).withColumn("pk_no", F.explode(F.expr("sequence(0, pk_slots - 1)")))
         own = held.select(
-            "sequence_id", "gap", "pk_no", F.expr("if(pk_no < pk_slots - 1, pk_slot, gap - (pk_slots - 1) * pk_slot)").alias("size"),
             F.expr("if(pk_no < pk_slots - 1, pk_first + pk_rank * (pk_slots - 1) + pk_no, pk_last + pk_rank)").alias("level"),
+            F.expr("struct(-if(pk_no < pk_slots - 1, pk_slot, gap - (pk_slots - 1) * pk_slot) as size, sequence_id, gap, pk_no)").alias("slot"),
         )
-        asked = band.where("pk_rank < pk_taken").select("length", "pk_rank", F.expr("pk_level - 1 - pk_rank").alias("level"))
-        own = own.withColumn("k", F.row_number().over(W.partitionBy("level").orderBy(F.desc("size"))))
-        asked = asked.withColumn("k", F.row_number().over(W.partitionBy("level").orderBy(F.desc("length"))))
+        asked = band.where("pk_rank < pk_taken").select(F.expr("pk_level - 1 - pk_rank").alias("level"), F.expr("struct(-length as size, length, pk_rank)").alias("asks"))
+        # One exchange brings the slots and pieces of a level together: one of a size at most, so no more than there are sizes.
+        met = own.unionByName(asked, allowMissingColumns=True).groupBy("level").agg(F.sort_array(F.collect_list("slot")).alias("slot"), F.sort_array(F.collect_list("asks")).alias("asks"))
+        asked = met.select(F.explode(F.arrays_zip("slot", "asks")).alias("x")).where("x.slot is not null and x.asks is not null").select("x.asks.length", "x.asks.pk_rank", "x.slot.sequence_id", "x.slot.gap", "x.slot.pk_no")
         earlier = F.coalesce(F.sum("length").over(W.partitionBy("sequence_id").orderBy("pk_no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        parts.append(asked.join(own, ["level", "k"]).select("length", "pk_rank", "sequence_id", (F.lit(capacity) - F.col("gap") + earlier).cast("long").alias("offset")))
+        parts.append(asked.select("length", "pk_rank", "sequence_id", (F.lit(capacity) - F.col("gap") + earlier).cast("long").alias("offset")))
     if left:
         place = F.col("pk_unplaced") + F.col("pk_rank") - F.col("pk_taken")
         new = band.where("pk_rank >= pk_taken").withColumn("pk_place", place).withColumn("sequence_id", F.expr("pk_new + pk_place div pk_fit"))
@@ -250,13 +267,10 @@ def superstep(pieces: DataFrame, gaps: DataFrame | None, counts: dict[int, int],
         parts.append(new.select("length", "pk_rank", "sequence_id", earlier.cast("long").alias("offset")))
         n_sequences += -(-unplaced // fit)
     placed = written(parts[0] if len(parts) == 1 else parts[0].union(parts[1]), "placed")
-    taken = placed.groupBy(F.col("sequence_id").alias("pk_of")).agg(F.sum("length").alias("pk_taken"))
-    if gaps is None:
-        rest = taken.select(F.col("pk_of").alias("sequence_id"), (F.lit(capacity) - F.col("pk_taken")).cast("int").alias("gap"))
-    else:
-        rest = gaps.join(taken, F.col("sequence_id") == F.col("pk_of"), "full").select(
-            F.coalesce("sequence_id", "pk_of").alias("sequence_id"), (F.coalesce("gap", F.lit(capacity)) - F.coalesce("pk_taken", F.lit(0))).cast("int").alias("gap")
-        )
+    room = placed.select("sequence_id", F.lit(None).cast("int").alias("gap"), "length")
+    if gaps is not None:
+        room = gaps.select("sequence_id", "gap", F.lit(0).alias("length")).union(room)
+    rest = room.groupBy("sequence_id").agg((F.coalesce(F.max("gap"), F.lit(capacity)) - F.sum("length")).cast("int").alias("gap"))
     return placed, written(rest.where("gap > 0"), "gaps"), n_sequences
 
 
