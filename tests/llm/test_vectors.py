@@ -182,6 +182,43 @@ def test_units_give_the_ids_of_whole_texts():
         assert np.frombuffer(got, known.kind).tolist() == want.ids, text
 
 
+_HEX = str.maketrans("0123456789", "ghijklmnop")
+
+
+def test_ids_kept_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    known = bytebpe.ByteIds(rans.vocabulary(), *([bytebpe.PATTERN] if hasattr(bytebpe, "PATTERN") else []))
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes()
+        for i in range(0, 400_000, 4000):
+            for _ in known.batch([" ".join([f"{j:x}".translate(_HEX) for j in range(k, k + 1000)]) for k in range(i, i + 4000, 1000)]):
+                pass
+        assert tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before < 30e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_parts_are_the_tokenizers(monkeypatch):
+    """Also where few parts are kept, and few texts parted together."""
+    import random
+
+    for name, value in (("CACHE_PARTS", 12), ("CACHE_BYTES", 6), ("BATCH", 7), ("BATCH_CHARS", 60), ("CALL", 3)):
+        monkeypatch.setattr(bytebpe, name, value)
+    known, r = bytebpe.ByteIds(rans.vocabulary()), random.Random(3)
+    some = ["'", "'s", "'re", "'ll", "'VE", "'l", "re", "s", " ", "  ", "\n", "\x85", "\u3000", "\u200b", "a", "Z", "\u00e9", "\u0301", "\u65e5", "7", "\u00bd", "\u0667", "!", "<", "<|", bytebpe.END, "\0", "\U0001f600"]
+    texts = ["".join(r.choice(some) for _ in range(r.randrange(0, 9))) for _ in range(4000)] + [None, "", bytebpe.END, "'s", "x'", "x'r", "it's", " 's", "''s", "'s's", "a \n", "a \n b"]
+    wanted = known.tokenizer.encode_batch([x or "" for x in texts], add_special_tokens=False)
+    got = list(known.batch(texts))
+    assert len(got) == len(texts) and list(known.batch([])) == []
+    for text, ids, want in zip(texts, got, wanted):
+        assert np.frombuffer(ids, known.kind).tolist() == want.ids, text
+    assert len(known.parts) <= 12
+
+
 def test_numeral_system_round_trips():
     r = np.random.default_rng(0)
     for n, size in ((0, 10), (1, 10), (5, 3), (rans.BLOCK_IDS, 50), (70_000, 50_257), (2 * rans.BLOCK_IDS + 1, 300), (70_000, 1)):

@@ -23,12 +23,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.bytebpe import byte_ids
 from tidemark.llm.common import new_folder, opened, table, written
@@ -41,8 +41,8 @@ BLOCK_IDS = LANES * STEPS * CHECKPOINTS
 #: Least state of a coder; a state has 63 bits at most and gives away 32 at once.
 LOW = np.uint64(1 << 31)
 _TRAILER = struct.Struct("<IIQQIIQ")
-#: Ids that are coded or decoded side by side, and documents of a batch that a reader gives.
-SIDE_IDS, READ_ROWS = 1 << 21, 2000
+#: Ids that are coded or decoded side by side, documents of a batch that a reader gives, and those that a task takes from a batch at a time.
+SIDE_IDS, READ_ROWS, SLICE_ROWS = 1 << 20, 2000, 2000
 TABLE = "frequencies.bin"
 
 
@@ -249,6 +249,14 @@ def read_table(root: str) -> Table:
     return _tables[root]
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spark's batches have as many rows whatever their length; here a task turns some of them at a time into Python's objects."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(i, SLICE_ROWS)
+        pa.default_memory_pool().release_unused()
+
+
 def tokenised(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> tuple[DataFrame, int, int]:
     """(doc_id, tie, ids) of every document, written; the number of the vocabulary's ids; bytes of an id.
 
@@ -258,13 +266,14 @@ def tokenised(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
     known = byte_ids(path)
     size, width = max(known.size, end_id + 1), known.kind.itemsize
 
-    @F.pandas_udf("binary")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, end = byte_ids(path), end_id.to_bytes(width, "little")
-        for texts in batches:
-            yield pd.Series([x + end for x in known.batch(texts.tolist())], dtype=object)
+        for batch in sliced(batches):
+            ids = pa.array([x + end for x in known.batch(batch.column("text").to_pylist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
 
-    rows = docs.select("doc_id", encode.asNondeterministic()("text").alias("ids"))
+    kind = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.BinaryType())])
+    rows = docs.select("doc_id", "text").mapInArrow(encode, kind)
     return written(rows.select("doc_id", F.xxhash64("ids").alias("tie"), "ids"), "token-ids"), size, width
 
 
@@ -273,7 +282,7 @@ def count_ids(tokens: DataFrame, size: int, width: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             total += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), f"<u{width}"), minlength=size)
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total), pa.int32()), pa.array(total[total > 0])], names=["id", "n"])
 
@@ -297,7 +306,7 @@ def write_files(tokens: DataFrame, root: str, n_ids: int, width: int, file_ids:
                 out.write(data)
             return pa.RecordBatch.from_pylist([{"part": part, "number": number, "file": name, "bytes": len(data), "n_documents": len(documents), "n_ids": size}])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
                 held.append(ids)
                 documents.append((doc_id, len(ids) // width))
